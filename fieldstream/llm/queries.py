@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldstream.llm import exact_dedup, simhash
+from fieldstream.llm import exact_dedup, packing, secrets, sentence_pieces, simhash
 from fieldstream.llm.shared import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def span_list(found: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, base = secrets.secrets(table(spark, sf_dir, "documents")), F.filter("found", lambda x: x.base)
+    counts = [F.size(F.filter("found", lambda x, k=k: x.base & (x.kind == k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return rows.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentence_pieces.encode(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_exact_dedup, op10_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op4_exact_dedup, op8_sentence_pieces, op10_simhash)}
 
 
 OP4_SQL = r"""
