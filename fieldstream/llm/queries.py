@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstream.llm import exact_dedup, packing, secrets, sentence_pieces, simhash
+from fieldstream.llm import exact_dedup, packing, quality_rules, secrets, sentence_pieces, simhash
 from fieldstream.llm.shared import table
 
 
@@ -28,6 +28,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.measure(table(spark, sf_dir, "documents"))
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentence_pieces.encode(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -41,7 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_secrets, op4_exact_dedup, op8_sentence_pieces, op10_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op4_exact_dedup, op7_quality_rules, op8_sentence_pieces, op10_simhash)}
 
 
 OP4_SQL = r"""

@@ -1,0 +1,47 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from fieldstream.llm.quality_rules import judge, main_script, measure, repeated_words
+from fieldstream.llm.vocab import byte_bpe, pieces
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def brute(words):
+    seen = {}
+    for i in range(len(words) - 7):
+        seen.setdefault(tuple(words[i : i + 8]), []).append(i)
+    return len({j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + 8)})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=60))
+def test_repeated_words(words):
+    assert repeated_words(words) == brute(words)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab \n\t|é#\x1c\x85日", max_size=80))
+def test_counts(text):
+    words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
+    row = judge(text)
+    assert row[:5] == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), brute(words))
+    assert row[5] == (len(words) < 20 or 100 * brute(words) > 30 * len(words))
+    if text:
+        assert abs(row[9] * len(pieces().ids(text)) - len(text)) < 1e-6
+        assert abs(row[10] * len(byte_bpe().ids(text)) - len(text)) < 1e-6
+
+
+def test_scripts():
+    assert [main_script(t) for t in ("abc", "été", "12 34", "", "слово слово", "漢字 漢字 a", "かなかな漢", "שלום", "한국어")] == ["latin", "latin", "other", "other", "cyrillic", "han", "kana", "hebrew", "hangul"]
+
+
+def test_verdicts(spark):
+    good = "The committee met on Tuesday to discuss the budget for next year, and several members asked for more detail about the cost of repairs before any vote could take place in public."
+    noise = " ".join(f"{k * 2654435761 % 2**32:08x}".translate(str.maketrans("0123456789", "§¤¶ŒƀɅʬϗ҂֍")) for k in range(60))
+    rows = [(1, good, "x"), (2, None, "x"), (3, "", "x"), (4, "few words only", "x"), (5, "spam ham " * 40, "x"), (6, noise, "x"), (1, good, "x"), (None, good * 500, "x")]
+    got = sorted(((r.doc_id, r.kept, r.base_failed) for r in measure(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()), key=str)
+    assert got == sorted([(1, True, False), (1, True, False), (2, False, True), (3, False, True), (4, False, True), (5, False, True), (6, False, False), (None, False, True)], key=str)
+    assert measure(spark.createDataFrame([], "doc_id long, text string")).count() == 0
