@@ -194,6 +194,11 @@ def exact_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops; doc_id must be unique and not null."""
-    lost = exact_groups(docs, budget).where(~F.col("kept")).select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns; of rows that repeat doc_id and text, one.
+
+    The semi join sorts by id and digest, so the last step needs no further shuffle.
+    """
+    stay = exact_groups(docs, budget).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"))
+    keyed = docs.withColumn("__sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
+    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["__id"]) & (keyed["__sha"] == stay["__of"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "__sha"]).select(docs.columns)

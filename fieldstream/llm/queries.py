@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstream.llm import exact_dedup, packing, quality_rules, secrets, sentence_pieces, simhash
+from fieldstream.llm import exact_dedup, packing, pii, quality_rules, secrets, sentence_pieces, simhash
 from fieldstream.llm.shared import table
 
 
@@ -18,10 +18,22 @@ def span_list(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x.kind, x.start, x.end)), ",")
 
 
+def digests(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """From doc_id and ``found``: the number of base spans of each kind, their digest, and all spans."""
+    base = F.filter("found", lambda x: x.base)
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda x: x.base & (x.kind == kind))).cast("long").alias(f"n_{kind}")
+
+    return rows.select("doc_id", *map(count, kinds), F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, base = secrets.secrets(table(spark, sf_dir, "documents")), F.filter("found", lambda x: x.base)
-    counts = [F.size(F.filter("found", lambda x, k=k: x.base & (x.kind == k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return rows.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list(F.col("found")).alias("spans"))
+    return digests(secrets.secrets(table(spark, sf_dir, "documents")), secrets.KINDS[:3])
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(pii.detect(table(spark, sf_dir, "documents")), pii.BASE)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +56,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports the operators beside this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_secrets, op4_exact_dedup, op7_quality_rules, op8_sentence_pieces, op10_simhash)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_pii, op4_exact_dedup, op7_quality_rules, op8_sentence_pieces, op10_simhash, pipeline)}
 
 
 OP4_SQL = r"""

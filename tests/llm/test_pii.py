@@ -1,0 +1,76 @@
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from fieldstream.llm import pii
+
+# The base patterns in their plain form.
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def valid(kind, value):
+    d = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        total = sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d))))
+        return 13 <= len(d) <= 19 and total % 10 == 0
+    return kind == "email" or 9 <= len(d) <= 15
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text or "", re.ASCII) if valid(k, m[0])]
+
+
+def base(df):
+    return [(r.doc_id, [(x.kind, x.start, x.end) for x in r.found if x.base]) for r in pii.detect(df).orderBy("doc_id").collect()]
+
+
+TEXTS = [
+    "", None, "a@b.c_d@e.f a@b@c.d .x@y.z", "é😀 mail bob.x+1@mail.example.com, ok", "1.2.3.4.5.6.7.8 999.1.1.1 0300.1.1.1 007.008.1.1 1.2.3",
+    "4755542458751427 4755 5424 5875 1427 4755-5424-5875-1427 47555424587514271 1 4755542458751427", "+1 (249) 555-1332 +49 (0)30 123456 +1 2 +((((", "+12345678901234567", "5 4755542458751427-",
+    "call (249) 555-1332 or 249-555-1332", "GB82 WEST 1234 5698 7654 32 iban", "write bob (at) example (dot) com now", "x" * 50_000 + "@a.b", "1." * 30_000, "a@" + "b." * 30_000 + "c", "9 " * 20_000,
+]
+
+
+def test_base_spans(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, found string")
+    assert base(df) == [(i, brute(t)) for i, t in enumerate(TEXTS)]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="a1@.+-( )é9_", max_size=40), min_size=60, max_size=60))
+def test_base_spans_of_noise(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [(r.doc_id, [(x.kind, x.start, x.end) for x in r.found if x.base]) for r in df.select("doc_id", pii.candidates(F.col("text")).alias("found")).collect()]
+    assert got == [(i, brute(t)) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def people(spark):
+    rows = [(i, f"Call tel (249) 555-{1000 + i} or mail p{i}@mail.example.com, card 4755542458751427.") for i in range(40)]
+    rows += [(100 + i, f"serial order 123 456.{1000 + i}x and 000-00-0000") for i in range(20)]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_further_spans(people):
+    found = {r.doc_id: {x.kind for x in r.found} for r in pii.detect(people).collect()}
+    assert all(found[i] == {"phone_local", "email", "card"} for i in range(40))
+    assert all(not found[100 + i] for i in range(20))
+
+
+def test_redact(spark, people):
+    got = {r.doc_id: r.text for r in pii.redact(people).collect()}
+    assert got[3] == "Call tel [PHONE_LOCAL] or mail [EMAIL], card [CARD]."
+    assert got[101] == "serial order 123 456.1001x and 000-00-0000"
+    odd = spark.createDataFrame([(1, None, 0), (2, "é😀 +1 (249) 555-1332 x", 99), (2, "é😀 +1 (249) 555-1332 x", 99), (None, "", 0)], "doc_id long, text string, n_chars long")
+    assert sorted(map(tuple, pii.redact(odd).collect()), key=str) == sorted([(1, None, None), (2, "é😀 [PHONE] x", 12), (2, "é😀 [PHONE] x", 12), (None, "", 0)], key=str)
+    assert pii.detect(odd.limit(0)).count() == 0
