@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstream.llm import exact_dedup, packing, pii, quality_rules, secrets, sentence_pieces, simhash
+from fieldstream.llm import exact_dedup, packing, pii, quality_mil, quality_rules, secrets, sentence_pieces, simhash
 from fieldstream.llm.shared import table
 
 
@@ -40,6 +40,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_pii, op4_exact_dedup, op7_quality_rules, op8_sentence_pieces, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_pii, op4_exact_dedup, op5_quality_mil, op7_quality_rules, op8_sentence_pieces, op10_simhash, pipeline)}
 
 
 OP4_SQL = r"""

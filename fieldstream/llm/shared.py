@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,23 @@ def squeeze(text: bytes) -> bytes:
     if not body:
         return b" " if text else b""
     return (b" " if text[:1].isspace() else b"") + body + (b" " if text[-1:].isspace() else b"")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, per_class: int) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``per_class`` rows of either class, for training on the driver.
+
+    Rows are taken by the order of a hash of doc_id, so a rerun takes the same
+    ones; held-out rows, null ids and null labels are never taken.  The ids are bounded, so
+    they are broadcast, and the documents are read once without a shuffle.
+    """
+    open_rows = labels.where(~held_out & F.col(column).isin(0, 1)).select("doc_id", F.col(column).cast("int").alias("__y")).where("doc_id is not null")
+    order = F.xxhash64(F.col("doc_id"), F.lit(7))
+    ids = open_rows.where("__y = 0").orderBy(order, "doc_id").limit(per_class).union(open_rows.where("__y = 1").orderBy(order, "doc_id").limit(per_class)).dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(ids), "doc_id").select("doc_id", "__text", "__y").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["__text"]))
+    return [r["__text"] for r in rows], [r["__y"] for r in rows]
+
+
+def remainder(divisor: int, rest: int) -> Column:
+    """Whether crc32 of doc_id as text leaves ``rest``; false for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % divisor == rest, F.lit(False))
