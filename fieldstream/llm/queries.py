@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstream.llm import exact_dedup, packing, pii, quality_mil, quality_rules, secrets, sentence_pieces, simhash
+from fieldstream.llm import exact_dedup, packing, pii, quality_mil, quality_rules, secrets, sentence_pieces, simhash, toxicity
 from fieldstream.llm.shared import table
 
 
@@ -56,6 +56,10 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_pii, op4_exact_dedup, op5_quality_mil, op7_quality_rules, op8_sentence_pieces, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_pii, op4_exact_dedup, op5_quality_mil, op7_quality_rules, op8_sentence_pieces, op9_toxicity, op10_simhash, pipeline)}
 
 
 OP4_SQL = r"""
