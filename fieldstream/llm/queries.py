@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldstream.llm import exact_dedup, packing, pii, quality_mil, quality_rules, secrets, sentence_pieces, simhash, toxicity
+from fieldstream.llm import exact_dedup, html_extract, packing, pii, quality_mil, quality_rules, secrets, sentence_pieces, simhash, toxicity
 from fieldstream.llm.shared import table
 
 
@@ -44,6 +44,10 @@ def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measure(table(spark, sf_dir, "documents"))
 
@@ -71,7 +75,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_pii, op4_exact_dedup, op5_quality_mil, op7_quality_rules, op8_sentence_pieces, op9_toxicity, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_pii, op4_exact_dedup, op5_quality_mil, op6_html_extract, op7_quality_rules, op8_sentence_pieces, op9_toxicity, op10_simhash, pipeline)}
 
 
 OP4_SQL = r"""
