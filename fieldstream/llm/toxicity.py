@@ -16,6 +16,7 @@ highest and others.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ PER_CLASS = 1500
 #: Words of a window, and between the starts of two.
 WINDOW, STRIDE = 48, 36
 WORDS, GRAMS, WORD_DIM, GRAM_DIM, HIDDEN, ATTENTION = 1 << 13, 1 << 15, 4, 12, 8, 8
-EPOCHS, RATE, SEED, BATCH = 14, 0.01, 5, 128
+EPOCHS, RATE, SEED, BATCH = 10, 0.01, 5, 128
+#: Shares of n-grams and of word vectors that training leaves out, and decay of either at each step.
+DROP_GRAMS, DROP_WORDS, DECAY = 0.2, 0.5, 0.0004
 #: Words whose gate inputs a worker keeps.
 KEPT = 150_000
 #: Windows that one pass of the recurrence takes.
@@ -42,7 +45,8 @@ FOLD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256))
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
+    """Folded words; one that is repeated in a row counts once."""
+    return [w for w, _ in groupby(text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split())]
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,21 +89,27 @@ class Network:
         rng = np.random.default_rng(seed)
         size = WORD_DIM + GRAM_DIM
         draw = lambda scale, *s: (scale * rng.standard_normal(s)).astype(np.float32)
-        self.p = {"word": draw(0.1, WORDS, WORD_DIM), "gram": draw(0.3, GRAMS, GRAM_DIM)}
+        self.p = {"word": draw(0.01, WORDS, WORD_DIM), "gram": draw(0.02, GRAMS, GRAM_DIM)}  # small, so what training never met stays neutral
         for d in "fb":
             self.p |= {f"W{d}": draw(size**-0.5, size, 3 * HIDDEN), f"U{d}": draw(HIDDEN**-0.5, HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"A": draw((2 * HIDDEN) ** -0.5, 2 * HIDDEN, ATTENTION), "a": np.zeros(ATTENTION, np.float32), "v": draw(ATTENTION**-0.5, ATTENTION), "o": draw((2 * HIDDEN) ** -0.5, 2 * HIDDEN), "c": np.zeros(1, np.float32)}
         self.calibration = None  # (slope, bias, weight of the logarithm of the number of windows)
         self.prior = None
 
-    def inputs(self, words: list[bytes]):
-        """Vectors of distinct words, and what their gradients need."""
+    def inputs(self, words: list[bytes], rng: np.random.Generator | None = None):
+        """Vectors of distinct words, and what their gradients need; with ``rng``, some n-grams and most word vectors are left out."""
         grams, of, counts = grams_of(words)
+        whole = np.ones((len(words), 1), np.float32)
+        if rng is not None:
+            stay = rng.random(len(grams)) >= DROP_GRAMS
+            grams, of = grams[stay], of[stay]
+            counts = np.maximum(np.bincount(of, minlength=len(words)), 1)
+            whole = (rng.random((len(words), 1)) >= DROP_WORDS).astype(np.float32)
         mean = np.zeros((len(words), GRAM_DIM), np.float32)
         for k in range(GRAM_DIM):
             mean[:, k] = np.bincount(of, self.p["gram"][grams, k], len(words)) / counts
         hashed = buckets_of(words)
-        return np.concatenate([self.p["word"][hashed], mean], 1), (hashed, grams, of, counts)
+        return np.concatenate([self.p["word"][hashed] * whole, mean], 1), (hashed, grams, of, counts, whole)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """Input parts of the gates of both directions, side by side."""
@@ -153,10 +163,10 @@ class Network:
             dh = dh * (1 - m * z) + back * r + dzr @ u[:, : 2 * n].T
         return du
 
-    def gradients(self, index: np.ndarray, words: list[bytes], lengths: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, index: np.ndarray, words: list[bytes], lengths: np.ndarray, y: np.ndarray, rng: np.random.Generator | None = None) -> dict[str, np.ndarray]:
         """Of the mean logistic loss over the windows."""
         p, trace, n = self.p, {}, 3 * HIDDEN
-        x, (hashed, grams, of, counts) = self.inputs(words)
+        x, (hashed, grams, of, counts, whole) = self.inputs(words, rng)
         logit = self.forward(index, self.gates(x), lengths, trace)
         h, q, w, mask = (trace[k] for k in ("h", "q", "w", "mask"))
         e = ((_sigmoid(logit) - y) / len(y)).astype(np.float32)
@@ -177,7 +187,7 @@ class Network:
         out |= {"Wf": x.T @ dtable[:, :n], "bf": dtable[:, :n].sum(0), "Wb": x.T @ dtable[:, n:], "bb": dtable[:, n:].sum(0)}
         out["word"], out["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
         for k in range(WORD_DIM):
-            out["word"][:, k] = np.bincount(hashed, dx[:, k], WORDS)
+            out["word"][:, k] = np.bincount(hashed, dx[:, k] * whole[:, 0], WORDS)
         share = dx[:, WORD_DIM:] / counts[:, None]
         for k in range(GRAM_DIM):
             out["gram"][:, k] = np.bincount(grams, share[of, k], GRAMS)
@@ -208,10 +218,10 @@ class Network:
             for part in np.array_split(take, max(1, len(take) // BATCH)):
                 index, lengths, own = self._index([spans[k] for k in part], ids)
                 step += 1
-                for k, g in self.gradients(index, [words[j] for j in own], lengths, y[owner[part]]).items():
+                for k, g in self.gradients(index, [words[j] for j in own], lengths, y[owner[part]], rng).items():
                     m[k] += 0.1 * (g - m[k])
                     v[k] += 0.001 * (g * g - v[k])
-                    self.p[k] = (self.p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                    self.p[k] = (self.p[k] * (1 - DECAY * (k in ("word", "gram"))) - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         self._calibrate(self._spans(spans, ids, words), owner, y)
         return self
 
