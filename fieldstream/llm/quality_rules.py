@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstream.llm.shared import in_parts
-from fieldstream.llm.vocab import END, LONGEST, MEMO, SPACE, UNEVEN, byte_bpe, pieces
+from fieldstream.llm.vocab import END, SPACE, UNEVEN, Memo, byte_bpe, pieces
 
 # Fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -99,25 +99,21 @@ def repeated_words(words: list) -> int:
     return int((np.cumsum(edge) > 0).sum())
 
 
-class Fertility(dict):
-    """word -> (ids of the piece vocabulary, tokens of the byte-level one); bounded."""
+class Fertility:
+    """Both vocabularies at once; for a word with a space before it, the ids of one and the number of tokens of the other."""
 
-    def __missing__(self, word: str) -> tuple[bytes, int]:
-        found = (np.asarray(pieces().sp.encode(word), "<u4").tobytes(), len(byte_bpe().enc.encode_ordinary(" " + word)))
-        if len(word) <= LONGEST:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = found
-        return found
+    def __init__(self):
+        self.pieces, self.bpe = pieces(), byte_bpe()
+        self.memo = Memo(lambda words: zip(self.pieces.encode_many(words), [len(b) // 4 for b in self.bpe.encode_many(words)], strict=True))
 
     def measure(self, text: str) -> tuple[np.ndarray, int]:
         """Ids of the piece vocabulary, and the number of tokens of the byte-level one."""
-        if not pieces().apart or UNEVEN.search(text) or SPACE in text or END in text or not text:
-            return pieces().ids(text), len(byte_bpe().ids(text))
+        if not self.pieces.apart or UNEVEN.search(text) or SPACE in text or END in text or not text:
+            return self.pieces.ids(text), len(self.bpe.ids(text))
         first, *words = text.split(" ")
-        found = list(map(self.__getitem__, words))
-        head = pieces().memo[first] if first else b""
-        return np.frombuffer(head + b"".join([f[0] for f in found]), "<u4"), len(byte_bpe().memo[first]) // 4 + sum([f[1] for f in found])
+        found = self.memo.get(words)
+        ids = np.frombuffer(b"".join([self.pieces.encode_many([first])[0], *[f[0] for f in found]]), "<u4")
+        return ids, len(self.bpe.enc.encode_ordinary(first)) + sum([f[1] for f in found])
 
 
 @lru_cache(maxsize=1)

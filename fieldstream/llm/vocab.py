@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -15,38 +16,60 @@ import public_tokenizers
 import sentencepiece
 import tiktoken
 
-#: Words that a memo holds before it starts anew.
-MEMO = 250_000
+#: Words of one generation of a memo.
+MEMO = 200_000
 #: The longest part that is kept.
 LONGEST = 40
-#: White space that doesn't stand alone between two other characters.
+#: White space that isn't alone, beside a space or line feed, or at either end.
 UNEVEN = re.compile(r"\s[ \n]|[ \n]\s|\A\s|\s\Z")
 END = "<|endoftext|>"
 #: The sign that sentencepiece writes for a space.
 SPACE = "▁"
 
 
-class Memo(dict):
-    """part -> the little-endian unsigned 32-bit ids of its tokens."""
+class Memo:
+    """word -> what ``encode_many`` makes of it, in two generations.
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+    When the young one is full it becomes the old one, and a word of the old one
+    that is met again moves over, so frequent words stay.
+    """
 
-    def __missing__(self, part: str) -> bytes:
-        ids = np.asarray(self.encode(part), "<u4").tobytes()
-        if len(part) <= LONGEST:
-            if len(self) >= MEMO:
-                self.clear()
-            self[part] = ids
-        return ids
+    def __init__(self, encode_many: Callable[[list[str]], Iterable]):
+        self.encode_many, self.now, self.old = encode_many, {}, {}
+
+    def get(self, words: list[str]) -> list:
+        now = self.now
+        fresh = []
+        for w in set(words).difference(now):
+            known = self.old.get(w)
+            if known is None:
+                fresh.append(w)
+            else:
+                now[w] = known
+        if fresh:
+            now.update(zip(fresh, self.encode_many(fresh), strict=True))
+        out = [now[w] for w in words]
+        for w in fresh:
+            if len(w) > LONGEST:
+                del now[w]
+        if len(now) > MEMO:
+            self.old, self.now = now, {}
+        return out
+
+
+def _cut(ids: np.ndarray, opens: np.ndarray) -> list[bytes]:
+    """The bytes of ids, cut before each id that ``opens`` marks."""
+    at = np.append(np.flatnonzero(opens[ids]) * 4, 4 * len(ids)).tolist()
+    data = ids.tobytes()
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 class ByteBpe:
     """Byte-level BPE from a ``.tiktoken`` file; ``ids`` equals ``tokenizers`` with the twin ``.json`` file and add_special_tokens=False.
 
-    A lone space or line feed between two non-spaces starts a new pre-token in
-    the vocabulary's pattern, so the text is cut there.
+    A lone space between two other characters starts a new pre-token in the
+    vocabulary's pattern, so the text is cut there; and of the tokens of a word
+    with its space, only the first can start with one.
     """
 
     def __init__(self, name: str = "byte_bpe_50k.tiktoken"):
@@ -54,21 +77,23 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.end_id = len(ranks)
         self.enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.memo = Memo(self.enc.encode_ordinary)
+        self.opens = np.zeros(len(ranks) + 1, bool)
+        self.opens[[k for token, k in ranks.items() if token[:1] == b" "]] = True
+        self.memo = Memo(self.encode_many)
         #: Tokens after which a sentence ends: closing punctuation, or a line feed.
         self.closes = np.zeros(len(ranks) + 1, bool)
         for token, k in ranks.items():
             self.closes[k] = token.rstrip(b"\"')]").endswith((b".", b"!", b"?", "…".encode(), "。".encode())) or b"\n" in token
 
+    def encode_many(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it."""
+        return _cut(np.array(self.enc.encode_ordinary(" " + " ".join(words)), "<u4"), self.opens)
+
     def _plain(self, text: str) -> bytes:
         if UNEVEN.search(text):
-            return np.asarray(self.enc.encode_ordinary(text), "<u4").tobytes()
-        get, out = self.memo.__getitem__, []
-        for k, line in enumerate(text.split("\n")):
-            head, *words = line.split(" ")
-            out.append(get("\n" + head if k else head))
-            out += map(get, [" " + w for w in words])
-        return b"".join(out)
+            return np.array(self.enc.encode_ordinary(text), "<u4").tobytes()
+        first, *words = text.split(" ")
+        return np.array(self.enc.encode_ordinary(first), "<u4").tobytes() + b"".join(self.memo.get(words))
 
     def ids(self, text: str) -> np.ndarray:
         if END not in text:
@@ -91,15 +116,18 @@ class Pieces:
         self.byte = np.array([self.sp.is_byte(i) for i in range(len(names))])
         self.names = names
         self.apart = not any(SPACE in n.lstrip(SPACE) for n in names)
-        self.memo = Memo(self.sp.encode)
+        self.opens = np.array([n.startswith(SPACE) for n in names])
+        self.memo = Memo(self.encode_many)
+
+    def encode_many(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it."""
+        return _cut(np.array(self.sp.encode(" ".join(words)), "<u4"), self.opens)
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.apart or "  " in text or text[:1] == " " or SPACE in text or not text:
-            return np.asarray(self.sp.encode(text), "<u4")
-        words = text.split(" ")
-        if not words[-1]:  # a space at the end is a word of its own; alone, the library would drop its prefix
-            return np.asarray(self.sp.encode(text), "<u4")
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u4")
+        # at the start the library adds a space; one that ends the text would be a word of its own
+        if not self.apart or "  " in text or text[:1] == " " or text[-1:] == " " or SPACE in text or not text:
+            return np.array(self.sp.encode(text), "<u4")
+        return np.frombuffer(b"".join(self.memo.get(text.split(" "))), "<u4")
 
 
 @lru_cache(maxsize=2)
