@@ -37,12 +37,14 @@ BOILERPLATE = frozenset(
 )
 SITE = frozenset("site page global top main logo brand".split())
 BONUS = {"article": 1.6, "main": 1.4, "body": 0.7}
+#: Elements below this depth have the path of the one at it.
+DEEPEST = 40
 #: Containers of a page that vote.
 VOTERS = 3
 #: Parts that the rows of one host are dealt to.
 SALTS = 64
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 NUMBER = re.compile(r"\d+")
@@ -69,7 +71,7 @@ class Page:
         k = len(self.tags)
         self.tags.append(tag)
         self.parents.append(up)
-        self.paths.append(self.paths[up] + ">" + ".".join([tag, *classes]))
+        self.paths.append(self.paths[up] + ">" + ".".join([tag, *classes]) if len(stack) <= DEEPEST else self.paths[up])
         self.ends.append(0)
         self.gone.append(gone)
         self.links.append(self.links[up] or tag == "a")
@@ -83,9 +85,9 @@ class Page:
             self.ends[stack.pop()] = len(self.tags)
 
     def _parse(self, source: str) -> None:
-        stack, at = [0], 0
+        stack, at, last = [0], 0, source.rfind(">")
         while at < len(source):
-            m = TOKEN.search(source, at)
+            m = TOKEN.search(source, at) if at <= last else None  # behind the last ">" nothing can be a tag
             text = source[at : m.start() if m else len(source)]
             if text:
                 self.pieces.append((stack[-1], text))

@@ -31,7 +31,8 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 # A run is a candidate for decoding from this length on.
 LEAST_BLOB = 40
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-DOTTED = re.compile(r"[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{8,}")
+# possessive, and only from the start of a run: linear in a long run without dots
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{8,}+")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|CERTIFICATE|PUBLIC KEY))-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
 SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 OPENSSH = b"openssh-key-v1\0"

@@ -18,9 +18,10 @@ def test_one_page():
 
 
 def test_odd_markup():
-    for source in ("", "plain text", "<", "<p", "</p></div>", "<p>a<p>b</b></i>", "<script>never closed <p>x", "<!-- open", "<div " * 50, "<b>" * 3000 + "deep", "a < b & c &lt; d &#x41; &unknown;"):
+    for source in ("", "plain text", "<", "<p", "</p></div>", "<p>a<p>b</b></i>", "<script>never closed <p>x", "<!-- open", "<div " * 50, "<div " * 40_000, "<p class=x>" + "<div class='y'>" * 20_000 + "z", "<b>" * 3000 + "deep", "a < b & c &lt; d &#x41; &unknown;"):
         assert isinstance(Page(source).extract(None), str)
     assert Page("<p>a<p>b</b></i>").extract(None) == "a b"
+    assert Page("<p title=it's>one</p><p title=\"a>b\">it's</p>").extract(None) == "one it's"
     assert Page("a < b & c &lt; d &#x41;").extract(None) == "a < b & c < d A"
     assert Page("<div>x<b>y</b>z <span>w</span></div>").extract(None) == "xyz w"
 

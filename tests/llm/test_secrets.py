@@ -42,6 +42,7 @@ def test_structure():
     assert kinds("see " + base64.b64encode(bytes(range(90))).decode()) == ([], [])
     assert kinds(f"auth {token()} end") == ([], ["jwt"])
     assert kinds("a" * 12 + "." + "b" * 12 + "." + "c" * 12) == ([], [])
+    assert kinds("eyJ" + "z" * 200_000) == ([], [])
     pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(KEY).decode() + "-----END RSA PRIVATE KEY-----"
     assert "pem" in kinds(pem)[1]
 
