@@ -39,6 +39,17 @@ def parse_message(value: Column) -> Column:
     )
 
 
+def as_message(all_versions: DataFrame) -> DataFrame:
+    """One row with ``value``: the merged configuration in force as the JSON message that is published; what is absent is left out."""
+    c = current(all_versions)
+    return c.select(F.to_json(F.struct(F.col("warn").alias("cpm_warn_threshold"), F.col("danger").alias("cpm_danger_threshold"), "area", "timespan")).alias("value"))
+
+
+def append_update(update: DataFrame, path: str) -> None:
+    """Add updates (the columns of a log) to the log's table."""
+    update.select("version", "effective_at", "warn", "danger", "area", "timespan").write.mode("append").parquet(path)
+
+
 def versions(log: DataFrame) -> DataFrame:
     """Folds a log (version, effective_at, warn, danger, area, timespan; nulls keep what is current) in order.
 

@@ -159,6 +159,15 @@ def test_config_fold(spark):
     assert parsed[0].area.max_lat == 42.0 and parsed[1].area is None and parsed[1].warn == 50.0 and parsed[2:] == [None] * 3
 
 
+def test_config_log_round_trip(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for row in ((1, None, 50.0, None, None, None), (2, None, None, 500.0, (30.0, 42.0, 130.0, 145.0), None)):
+        G.append_update(spark.createDataFrame([row], LOG), path)
+    message = G.as_message(G.versions(spark.read.parquet(path)))
+    got = message.select(G.parse_message(F.col("value")).alias("c")).first().c
+    assert (got.warn, got.danger, got.area.min_lon, got.timespan) == (50.0, 500.0, 130.0, None)
+
+
 def test_as_of(spark):
     v = G.versions(spark.createDataFrame([(1, None, 50.0, None, None, None), (2, None, None, 60.0, None, None)], LOG).withColumn("effective_at", F.timestamp_seconds(F.col("version") * 100_000)))
     e = spark.createDataFrame([(k, 70.0) for k in (0, 99_999, 100_000, 199_999, 200_000, 900_000)], "k long, cpm double").withColumn("captured_at", F.timestamp_seconds("k"))
