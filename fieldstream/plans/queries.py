@@ -241,6 +241,23 @@ def alert_log_newest(spark, sf_dir):
     return flat(V.alert_log(both_kinds(spark, sf_dir)).select("sensor_id", "reason", "window_start", "window_end", "cpm"))
 
 
+def newest_by_key(spark, sf_dir):
+    rows = readings(spark, sf_dir).withColumn("day", F.date_format("captured_at", "yyyy-MM-dd"))
+    return V.newest_of_key(rows, ["sensor_id", "day"]).select("sensor_id", "day", "seq")
+
+
+def delivery_order(spark, sf_dir):
+    rows = classed(spark, sf_dir)
+    return V.delivery(rows.where("classification = 'DANGER'"), rows, "sensor_id").select("lane", "seq", "sensor_id", "cpm")
+
+
+def json_round_trip(spark, sf_dir):
+    """Readings published as keyed JSON and parsed again."""
+    r = readings(spark, sf_dir)
+    back = Q.parse(S.keyed(r.select("sensor_id", "captured_at", "uploaded_at", "latitude", "longitude", "cpm", F.when(F.col("unit") == "cpm", F.col("unit")).alias("unit"), "md5sum")))
+    return back.groupBy("sensor_id").agg(F.count("*").alias("readings"), F.count("unit").alias("with_unit"), F.count("cpm").alias("with_value"), F.max("cpm").alias("peak"), F.count_distinct("md5sum").alias("distinct_md5"), F.date_format(F.max("captured_at"), "yyyy-MM-dd HH:mm:ss").alias("last_captured"))
+
+
 # --- the same in SQL ---
 
 UNITS_SQL = ", ".join(f"'{u}'" for u in X.UNITS)
@@ -390,6 +407,10 @@ SQL = {
     "view_filter_failopen": sql("select seq, sensor_id, latitude, cpm from (select seq, sensor_id, case when seq % 27 <> 0 then latitude end as latitude, longitude, case when seq % 35 <> 0 then captured_at end as t, cpm from readings) where coalesce(latitude between -40 and 50 and longitude between -120 and 120, true) and coalesce(t between timestamp '2024-01-05' and timestamp '2024-01-20 12:00:00', true)"),
     "view_recolor": sql(ACCEPTED_SQL, f"select seq, classification, {class_sql('cpm', '250', '1500')} as shown_class from classed"),
     "alert_log_newest": sql(ACCEPTED_SQL, CELLS_SQL, HIGH_SQL, COOL_SQL, TREND_SQL, UNION_SQL, f"select sensor_id, reason, {text_sql('window_start')} as window_start, {text_sql('window_end')} as window_end, cpm from (select * from both_kinds order by window_end desc, sensor_id, reason, window_start desc limit 50)", recursive=True),
+    "newest_by_key": sql("select sensor_id, strftime(captured_at, '%Y-%m-%d') as day, max(seq) as seq from readings group by 1, 2 order by seq desc limit 100"),
+    "delivery_order": sql(ACCEPTED_SQL, """select 0::int as lane, seq, sensor_id, cpm from (select * from classed where classification = 'DANGER' order by seq desc limit 100)
+      union all select 1::int, seq, sensor_id, cpm from (select * from (select *, row_number() over (partition by sensor_id order by seq desc) as rn from classed) where rn = 1 order by seq desc limit 5000)"""),
+    "json_round_trip": sql(f"select sensor_id, count(*) as readings, count(*) filter (unit = 'cpm') as with_unit, count(cpm) as with_value, max(cpm) as peak, count(distinct md5sum) as distinct_md5, {text_sql('max(captured_at)')} as last_captured from readings group by sensor_id"),
 }
 
 
