@@ -196,9 +196,9 @@ def exact_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 def drop_copies(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns; of rows that repeat doc_id and text, one.
 
-    The semi join sorts by id and digest, so the last step needs no further shuffle.
+    The join deals rows by id and digest, so the last step needs no further shuffle.
     """
-    stay = exact_groups(docs, budget).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__of"))
-    keyed = docs.withColumn("__sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
-    found = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["__id"]) & (keyed["__sha"] == stay["__of"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "__sha"]).select(docs.columns)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))  # a plain key, so that all steps deal rows alike
+    stay = exact_groups(docs, budget).where("kept").select(name.alias("__id"), F.col("text_sha256").alias("__sha"))
+    keyed = docs.withColumn("__id", name).withColumn("__sha", F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), 256))
+    return keyed.join(stay, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(docs.columns)
