@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldstream.llm.shared import in_parts
-from fieldstream.llm.vocab import END, SPACE, UNEVEN, Memo, byte_bpe, pieces
+from fieldstream.llm.vocab import END, SPACE, Memo, byte_bpe, pieces, uneven
 
 # Fixed values of the base rules.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -83,9 +83,9 @@ def repeated_words(words: list) -> int:
     """
     if len(words) <= WINDOW:
         return 0
-    seen: dict = {}
-    rank = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
-    distinct, half = len(seen), 1
+    places = dict(zip(dict.fromkeys(words), range(len(words)), strict=False))
+    rank = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+    distinct, half = len(places), 1
     while half < WINDOW:
         _, rank, counts = np.unique(rank[:-half] * distinct + rank[half:], return_inverse=True, return_counts=True)
         distinct = len(counts)
@@ -108,7 +108,7 @@ class Fertility:
 
     def measure(self, text: str) -> tuple[np.ndarray, int]:
         """Ids of the piece vocabulary, and the number of tokens of the byte-level one."""
-        if not self.pieces.apart or UNEVEN.search(text) or SPACE in text or END in text or not text:
+        if not self.pieces.apart or uneven(text) or SPACE in text or END in text or not text:
             return self.pieces.ids(text), len(self.bpe.ids(text))
         first, *words = text.split(" ")
         found = self.memo.get(words)

@@ -22,11 +22,19 @@ MEMO = 200_000
 LONGEST = 40
 #: White space that isn't alone, beside a space or line feed, or at either end.
 UNEVEN = re.compile(r"\s[ \n]|[ \n]\s|\A\s|\s\Z")
+OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 END = "<|endoftext|>"
 #: The sign that sentencepiece writes for a space.
 SPACE = "▁"
 
 
+def uneven(text: str) -> bool:
+    """Whether ``UNEVEN`` matches; without other white space than spaces and line feeds, plain searches tell."""
+    if OTHER_SPACE.search(text):
+        return UNEVEN.search(text) is not None
+    return text[:1] in " \n" or text[-1:] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+
+
 class Memo:
     """word -> what ``encode_many`` makes of it, in two generations.
 
@@ -39,8 +47,11 @@ class Memo:
 
     def get(self, words: list[str]) -> list:
         now = self.now
+        out = list(map(now.get, words))
+        if None not in out:
+            return out
         fresh = []
-        for w in set(words).difference(now):
+        for w in {w for w, known in zip(words, out, strict=True) if known is None}:
             known = self.old.get(w)
             if known is None:
                 fresh.append(w)
@@ -48,7 +59,7 @@ class Memo:
                 now[w] = known
         if fresh:
             now.update(zip(fresh, self.encode_many(fresh), strict=True))
-        out = [now[w] for w in words]
+        out = list(map(now.__getitem__, words))
         for w in fresh:
             if len(w) > LONGEST:
                 del now[w]
@@ -90,7 +101,7 @@ class ByteBpe:
         return _cut(np.array(self.enc.encode_ordinary(" " + " ".join(words)), "<u4"), self.opens)
 
     def _plain(self, text: str) -> bytes:
-        if UNEVEN.search(text):
+        if uneven(text):
             return np.array(self.enc.encode_ordinary(text), "<u4").tobytes()
         first, *words = text.split(" ")
         return np.array(self.enc.encode_ordinary(first), "<u4").tobytes() + b"".join(self.memo.get(words))
