@@ -6,9 +6,10 @@ is compared completely with numpy's exclusive-or and bit counts.
 
 * ``fingerprints``: 64 bits, radius r.  Keys: r + 1 blocks of bits.  Two
   fingerprints within r differ in at most r blocks, so they share one.
-* ``near_groups``: 512 bits, for a wanted Jaccard similarity.  Keys: the size
-  class of the shingle set and the next one (a Jaccard of 0.8 or more bounds the ratio
-  of the sizes by 1.25).
+* ``near_groups``: 512 bits find candidates for a wanted Jaccard similarity.  Keys: the size
+  class of the shingle set, compared with itself and the next one (a Jaccard of 0.8 or more
+  bounds the ratio of the sizes by 1.25); tiles are in order of size.  Then the candidates of
+  a component are compared again, and linked by the exact Jaccard of their shingle sets.
 
 A tile emits no pairs but a spanning forest of what it linked, so a group of
 copies costs one edge for each member, and ``components`` joins the forests.
@@ -35,8 +36,9 @@ SEED = 42
 #: Lanes of the wide fingerprint: odd multipliers by the golden-ratio step of splitmix64.
 LANES = 8
 STEP, ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
-#: A pair within the wide radius exceeds this on the first 64 bits with a chance under 0.00001.
-FIRST_LANE = 24
+#: Candidates at a Jaccard of 0.8: bits of all lanes, and of the first ones, that may differ.  A bit differs with a chance of 0.152 for large
+#: sets and 0.188 at most (4 of 5 shingles shared), so a pair exceeds either with a chance under 1e-11.
+RADIUS, FIRST_LANES, FIRST_BITS = 160, 3, 80
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -82,47 +84,85 @@ def _narrow(words: int):
     return run
 
 
-def _wide(words: int):
+def _wide(words: int, sets: bool = False):
+    """doc_id, size, fp and sig (a 128-bit hash of the whole shingle set); with ``sets``, the sorted set of shingle hashes too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_parts(batches):
-            sizes, pops, fps = [], [], []
+            sizes, fps, sigs, all_hashes = [], [], [], []
             for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, words))
                 sizes.append(len(h))
-                fp = np.array([majority(_mixed(h, lane)) for lane in range(LANES)], np.uint64)
-                pops.append(int(np.bitwise_count(fp).sum()))
-                fps.append(fp.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(pops, pa.int64()), pa.array(fps, pa.binary())], names=["doc_id", "size", "pop", "fp"])
+                fps.append(np.array([majority(_mixed(h, lane)) for lane in range(LANES)], np.uint64).tobytes())
+                sigs.append(xxhash.xxh3_128_digest(h.tobytes()))
+                if sets:
+                    all_hashes.append(h.tobytes())
+            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())]
+            more = [pa.array(all_hashes, pa.binary())] if sets else []
+            yield pa.RecordBatch.from_arrays(columns + more, names=["doc_id", "size", "fp", "sig", "hashes"][: len(columns + more)])
 
     return run
 
 
-def _link(fps: np.ndarray, other: np.ndarray | None, radius: int) -> np.ndarray:
+def _link_alike(label: np.ndarray, x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], flag: np.ndarray, similarity: float) -> None:
+    """Joins the labels of the pairs (x, y), in order of x, whose sets of ranks have this exact Jaccard or more."""
+    at = np.flatnonzero(np.diff(x)) + 1
+    for k, ys in zip(x[np.r_[0, at]], np.split(y, at), strict=True):
+        ys = ys[label[ys] != label[k]]
+        if not len(ys):
+            continue
+        flag[sets[k]] = True
+        sizes = np.array([len(sets[q]) for q in ys])
+        shared = np.add.reduceat(flag[np.concatenate([sets[q] for q in ys])], np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+        flag[sets[k]] = False
+        ys = ys[shared >= similarity * (len(sets[k]) + sizes - shared)]
+        if len(ys):
+            joined = np.unique(np.r_[label[k], label[ys]])
+            label[np.isin(label, joined)] = joined[0]
+
+
+def _link(fps: np.ndarray, other: np.ndarray | None, radius: int, sizes: np.ndarray | None = None, similarity: float = 0.0, sets: list[np.ndarray] | None = None) -> np.ndarray:
     """Local component labels of the rows of ``fps`` (then of ``other``) within the radius.
 
-    With ``other``, only pairs between the two are compared.
+    With ``other``, only pairs between the two are compared.  With ``sizes``, only those whose
+    sizes allow the similarity; with ``sets`` (of shingle hashes, not empty), only those that have it.
     """
     n = len(fps)
     rows = fps if other is None else np.concatenate([fps, other])
-    pops = np.bitwise_count(rows).sum(1, dtype=np.int64)
-    left = np.argsort(pops[:n], kind="stable")
-    right = left if other is None else n + np.argsort(pops[n:], kind="stable")
+    by = np.bitwise_count(rows).sum(1, dtype=np.int64) if sizes is None else sizes
+    far = (lambda low, high: high - low > radius) if sizes is None else (lambda low, high: low < similarity * high)
+    left = np.argsort(by[:n], kind="stable")
+    right = left if other is None else n + np.argsort(by[n:], kind="stable")
     label = np.arange(len(rows))
+    if sets is not None:
+        ranks = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        flag = np.zeros(len(ranks), bool)
+        sets = np.split(ranks, np.cumsum([len(h) for h in sets])[:-1])
+    first = FIRST_LANES if rows.shape[1] > 1 else 1
     for i in range(0, len(left), BLOCK):
         a = left[i : i + BLOCK]
         for j in range(i if other is None else 0, len(right), BLOCK):
             b = right[j : j + BLOCK]
-            if pops[b[0]] - pops[a[-1]] > radius or pops[a[0]] - pops[b[-1]] > radius:
+            if far(by[a[-1]], by[b[0]]) or far(by[b[-1]], by[a[0]]):
                 continue
             if label[a[0]] == label[b[0]] and (label[a] == label[a[0]]).all() and (label[b] == label[a[0]]).all():
                 continue
-            x, y = np.nonzero(np.bitwise_count(rows[a, None, 0] ^ rows[None, b, 0]) <= (radius if rows.shape[1] == 1 else FIRST_LANE))
+            bits = np.bitwise_count(rows[a, None, 0] ^ rows[None, b, 0])
+            for lane in range(1, first):
+                bits += np.bitwise_count(rows[a, None, lane] ^ rows[None, b, lane])
+            x, y = np.nonzero(bits <= (radius if rows.shape[1] == 1 else FIRST_BITS))
             x, y = a[x], b[y]
             apart = label[x] != label[y]
             x, y = x[apart], y[apart]
             if rows.shape[1] > 1 and len(x):
+                near = ~far(np.minimum(by[x], by[y]), np.maximum(by[x], by[y]))
+                x, y = x[near], y[near]
                 near = np.bitwise_count(rows[x] ^ rows[y]).sum(1, dtype=np.int64) <= radius
                 x, y = x[near], y[near]
+            if sets is not None:
+                if len(x):
+                    _link_alike(label, x, y, sets, flag, similarity)
+                continue
             while len(x):
                 p, q = label[x], label[y]
                 low = np.minimum(p, q)
@@ -135,24 +175,31 @@ def _link(fps: np.ndarray, other: np.ndarray | None, radius: int) -> np.ndarray:
     return label
 
 
-def _forest(radius: int, lanes: int):
+def _forest(radius: int, lanes: int, similarity: float | None = None):
     """One edge for each linked row of a tile (column ``a``), or of a pair of tiles (``a`` and ``b``)."""
 
-    def members(cell: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def members(cell: pa.Array, k: int) -> dict:
         part = cell.slice(k, 1).flatten()
-        fps = np.frombuffer(b"".join(part.field("fp").to_pylist()), np.uint64).reshape(-1, lanes)
-        return fps, part.field("vid").to_numpy(zero_copy_only=False)
+        got = {f.name: part.field(f.name) for f in part.type}
+        out = {"fp": np.frombuffer(b"".join(got["fp"].to_pylist()), np.uint64).reshape(-1, lanes), "vid": got["vid"].to_numpy(zero_copy_only=False), "size": None, "hashes": None}
+        if "size" in got:
+            out["size"] = got["size"].to_numpy(zero_copy_only=False)
+        if "hashes" in got:
+            out["hashes"] = [np.frombuffer(h, np.uint64) for h in got["hashes"].to_pylist()]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v = [], []
             for k in range(batch.num_rows):
-                fps, vid = members(batch.column(0), k)
-                other = None
+                one = members(batch.column(0), k)
+                vid, size, hashes, other = one["vid"], one["size"], one["hashes"], None
                 if batch.num_columns > 1:
-                    other, more = members(batch.column(1), k)
-                    vid = np.concatenate([vid, more])
-                label = _link(fps, other, radius)
+                    two = members(batch.column(1), k)
+                    other, vid = two["fp"], np.concatenate([vid, two["vid"]])
+                    size = None if size is None else np.concatenate([size, two["size"]])
+                    hashes = None if hashes is None else hashes + two["hashes"]
+                label = _link(one["fp"], other, radius, size, similarity or 0.0, hashes)
                 moved = np.flatnonzero(label != np.arange(len(label)))
                 u.append(vid[moved])
                 v.append(vid[label[moved]])
@@ -162,21 +209,32 @@ def _forest(radius: int, lanes: int):
     return run
 
 
-def _edges(rows: DataFrame, radius: int, lanes: int, tile: int) -> DataFrame:
-    """Edges (u, v) between the vids of ``rows`` (key, pop, fp binary, vid) that share a key and lie within the radius."""
-    order = Window.partitionBy("key").orderBy("pop")
+def _edges(rows: DataFrame, radius: int, lanes: int, tile: int, similarity: float | None = None, reach: int = 0) -> DataFrame:
+    """Edges (u, v) between the vids of ``rows`` that share a key and lie within the radius.
+
+    Columns: key, fp binary and vid; pop, or with ``similarity`` size, by which tiles are in order; perhaps
+    hashes, the sets whose exact similarity decides.  With ``reach``, keys that differ by so much meet too.
+    """
+    by = "pop" if similarity is None else "size"
+    carried = [c for c in ("fp", "vid", "size", "hashes") if c in rows.columns]
+    room = F.lit(1) if "hashes" not in rows.columns else 1 + F.floor(F.col("size") / 256)
+    order = Window.partitionBy("key").orderBy(by)
     whole = Window.partitionBy("key")
-    counts = rows.groupBy("key", "pop").count().select("key", "pop", "count", (F.sum("count").over(order) - F.col("count")).alias("before"), F.sum("count").over(whole).alias("all"))
-    placed = rows.join(counts.where("all > 1").drop("all"), ["key", "pop"])
-    at = F.floor((F.col("before") + F.pmod(F.xxhash64("vid"), F.col("count"))) / tile)
-    tiles = keep(placed.groupBy("key", at.alias("tile")).agg(F.collect_list(F.struct("fp", "vid")).alias("rows"), F.min("pop").alias("low"), F.max("pop").alias("high")), "tiles")
-    found = tiles.select("rows").mapInArrow(_forest(radius, lanes), "u long, v long")
-    a = tiles.select("key", F.col("tile").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    b = tiles.select("key", F.col("tile").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    pairs = a.join(b, "key").where(f"ta < tb and lb - ha <= {radius} and la - hb <= {radius}").select("key", "ta", "tb")
-    ra = tiles.select("key", F.col("tile").alias("ta"), F.col("rows").alias("a"))
-    rb = tiles.select("key", F.col("tile").alias("tb"), F.col("rows").alias("b"))
-    across = pairs.join(ra, ["key", "ta"]).join(rb, ["key", "tb"]).select("a", "b").mapInArrow(_forest(radius, lanes), "u long, v long")
+    counts = rows.groupBy("key", by).count().withColumn("room", F.col("count") * room)
+    counts = counts.select("key", by, "count", (F.sum("room").over(order) - F.col("room")).alias("before"), F.sum("count").over(whole).alias("all"))
+    placed = rows.join((counts if reach else counts.where("all > 1")).drop("all"), ["key", by])
+    at = F.floor((F.col("before") + F.pmod(F.xxhash64("vid"), F.col("count")) * room) / tile)
+    tiles = keep(placed.groupBy("key", at.alias("tile")).agg(F.collect_list(F.struct(*carried)).alias("rows"), F.min(by).alias("low"), F.max(by).alias("high")), "tiles")
+    run = _forest(radius, lanes, similarity)
+    found = tiles.select("rows").mapInArrow(run, "u long, v long")
+    meet = F.explode(F.array(*(F.col("key") + k for k in range(reach + 1)))) if reach else F.col("key")
+    a = tiles.select(meet.alias("meet"), F.col("key").alias("ka"), F.col("tile").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    b = tiles.select(F.col("key").alias("meet"), F.col("key").alias("kb"), F.col("tile").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    within = f"lb - ha <= {radius} and la - hb <= {radius}" if similarity is None else f"lb * {similarity}D <= ha and la * {similarity}D <= hb"
+    pairs = a.join(b, "meet").where(f"(ka < kb or ta < tb) and {within}").select("ka", "ta", "kb", "tb")
+    ra = tiles.select(F.col("key").alias("ka"), F.col("tile").alias("ta"), F.col("rows").alias("a"))
+    rb = tiles.select(F.col("key").alias("kb"), F.col("tile").alias("tb"), F.col("rows").alias("b"))
+    across = pairs.join(ra, ["ka", "ta"]).join(rb, ["kb", "tb"]).select("a", "b").mapInArrow(run, "u long, v long")
     return found.union(across)
 
 
@@ -201,28 +259,27 @@ def fingerprints(docs: DataFrame, words: int = 3, radius: int = 2, tile: int = T
     return marks.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_radius(similarity: float, slack: float = 1.0) -> int:
-    """Bits of the wide fingerprint that sets of this Jaccard similarity differ in, plus ``slack`` standard deviations.
-
-    Sets of Jaccard J have a cosine of 2J / (1 + J); each bit differs with the angle's share of half a turn.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(64 * LANES * p + slack * math.sqrt(64 * LANES * p * (1 - p)))
-
-
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
-    """(doc_id, root) for each document.  Near copies: texts whose sets of ``words``-word shingles are alike by ``similarity`` or more.
+    """(doc_id, root) for each document.  Near copies: texts whose sets of ``words``-word shingles are alike by ``similarity`` (0.8 at least).
 
     root is the smallest doc_id of the document's group.  Rows with a null doc_id are absent.
+    Only documents that the fingerprints make candidates are read again, for their sets.
     """
-    marks = keep(texts_of(docs).mapInArrow(_wide(words), "doc_id long, size long, pop long, fp binary"), "fp")
-    vertices = marks.groupBy("fp").agg(F.min("doc_id").alias("vid"), F.max("size").alias("size"), F.max("pop").alias("pop")).where("vid is not null")
-    level = F.floor(F.log(F.col("size")) / math.log(1 / similarity))
-    key = F.when(F.col("size") > 0, F.array(level, level + 1)).otherwise(F.array(F.lit(-1).cast("long")))
-    rows = vertices.select(F.explode(key).alias("key"), "pop", "fp", "vid")
-    roots = components(_edges(rows, wide_radius(similarity), LANES, tile))
-    named = vertices.join(roots.withColumnRenamed("id", "vid"), "vid", "left").select("fp", F.coalesce("root", "vid").alias("root"))
-    return marks.select("doc_id", "fp").join(named, "fp").select("doc_id", "root").where("doc_id is not null")
+    if similarity < 0.8:
+        raise ValueError("the radius of the candidates holds for similarities of 0.8 or more")
+    marks = keep(texts_of(docs).mapInArrow(_wide(words), "doc_id long, size long, fp binary, sig binary"), "fp")
+    vertices = keep(marks.groupBy("sig").agg(F.min("doc_id").alias("vid"), F.max("size").alias("size"), F.first("fp").alias("fp")).where("vid is not null"), "vertices")
+    level = F.when(F.col("size") > 0, F.floor(F.log(F.col("size")) / math.log(1 / similarity))).otherwise(-1).cast("long")
+    rows = vertices.select(level.alias("key"), "size", "fp", "vid")
+    maybe = components(_edges(rows, RADIUS, LANES, tile, similarity, reach=1))
+    held = docs.join(maybe.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    sets = texts_of(held).mapInArrow(_wide(words, sets=True), "vid long, size long, fp binary, sig binary, hashes binary")
+    sets = sets.groupBy("vid", "sig").agg(*(F.first(c).alias(c) for c in ("size", "fp", "hashes")))
+    # a doc_id that repeats has sets of its own that other documents stand for
+    named = vertices.join(maybe.withColumnRenamed("id", "vid"), "vid").select("vid", "sig", F.col("root").alias("key"))
+    roots = components(_edges(sets.join(named, ["vid", "sig"]).drop("sig"), RADIUS, LANES, tile, similarity))
+    named = vertices.join(roots.withColumnRenamed("id", "vid"), "vid", "left").select("sig", F.coalesce("root", "vid").alias("root"))
+    return marks.select("doc_id", "sig").join(named, "sig").select("doc_id", "root").where("doc_id is not null")
 
 
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -72,3 +72,30 @@ def test_near_groups(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, ""), (5, None)], "doc_id long, text string")
     assert {r.doc_id: r.root for r in simhash.near_groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
     assert sorted(r.doc_id for r in simhash.drop_near(df).collect()) == [1, 3, 4]
+
+
+def test_near_groups_are_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(120):
+        w = [f"a{x}" for x in rng.integers(0, 5000, int(rng.choice([8, 14, 60, 300])))]
+        rows.append((10 * i, w))
+        for k in range(2):
+            v = list(w)
+            for at in rng.choice(len(v) // 5, max(1, round(len(v) * rng.uniform(0.015, 0.035))), replace=False):
+                v[5 * at] = f"b{rng.integers(5000)}"
+            rows.append((10 * i + 1 + k, v if len(w) > 20 else w[: len(w) - 1 - k]))
+    sets = [{*zip(*(w[i:] for i in range(5)), strict=False)} for _, w in rows]
+    group, close = list(range(len(rows))), 0
+    for i in range(len(rows)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            close += 0.7 <= alike < 0.9
+            if alike >= 0.8 and group[i] != group[j]:
+                p, q = sorted((group[i], group[j]))
+                group = [p if g == q else g for g in group]
+    assert close > 100
+    want = {d: rows[g][0] for (d, _), g in zip(rows, group, strict=True)}
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    for tile in (simhash.TILE, 5):
+        assert {r.doc_id: r.root for r in simhash.near_groups(df, tile=tile).collect()} == want
