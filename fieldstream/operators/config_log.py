@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from fieldstream.functions import expr as X
 from fieldstream.schemas import AREA, CONFIG, SPAN
 
-DAY_S = 86_400
+#: Events and versions are dealt to slices of so many seconds; a log to so many slices of about equal size.
+SLICE_S, LOG_SLICES = 600, 256
 
 
 def fault(u: Column) -> Column:
@@ -50,25 +51,54 @@ def append_update(update: DataFrame, path: str) -> None:
     update.select("version", "effective_at", "warn", "danger", "area", "timespan").write.mode("append").parquet(path)
 
 
+def _carried(rows: DataFrame, names: list[str], part: list[str], order: list[str]) -> DataFrame:
+    """Adds ``__last_<name>``: the last value of each name that is not null, up to each row in ``order``.
+
+    ``part`` are columns that ``order`` never takes back: the first is the slice, which carries on from the slices before it; the rest tell
+    rows of a slice apart that need nothing.  Only one row for each slice meets in one task.
+    """
+    so_far = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = F.struct(*order)
+    ends = rows.groupBy(part[0]).agg(*(F.max_by(F.when(F.col(n).isNotNull(), F.col(n)), F.when(F.col(n).isNotNull(), key)).alias(f"__end_{n}") for n in names))
+    before = Window.orderBy(part[0]).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.where(F.col(part[0]).isNotNull()).select(part[0], *(F.last(f"__end_{n}", ignorenulls=True).over(before).alias(f"__in_{n}") for n in names))
+    inside = rows.select("*", *(F.last(n, ignorenulls=True).over(so_far).alias(f"__own_{n}") for n in names))
+    joined = inside.join(ends, part[0], "left")
+    return joined.select(*rows.columns, *(F.coalesce(f"__own_{n}", f"__in_{n}").alias(f"__last_{n}") for n in names))
+
+
 def versions(log: DataFrame) -> DataFrame:
     """Folds a log (version, effective_at, warn, danger, area, timespan; nulls keep what is current) in order.
 
     One row per accepted update: version, effective_at and the merged state.  An update whose
-    merged state is invalid changes nothing.  The log of a configuration is small, so one row holds it.
+    merged state is invalid changes nothing.  An update that is invalid by itself is never accepted; a valid one with both thresholds
+    always is, whatever came before.  So the log is cut at these, and each piece is folded on its own; areas and
+    timespans are carried over the accepted updates.  Only a run of updates with one threshold each is folded in one row.
     """
-    state_type = f"struct<warn: double, danger: double, area: {AREA.simpleString()}, timespan: {SPAN.simpleString()}>"
-    rows = F.array_sort(F.collect_list(F.struct("version", "effective_at", "warn", "danger", "area", "timespan")))
-    first = F.expr(f"named_struct('now', cast(named_struct('warn', {X.WARN}D, 'danger', {X.DANGER}D, 'area', null, 'timespan', null) as {state_type}), 'out', cast(array() as array<struct<version: bigint, effective_at: timestamp, state: {state_type}>>))")
+    columns = ["version", "effective_at", "warn", "danger", "area", "timespan"]
+    # plain numbers, so that both uses of the slices agree
+    cuts = log.agg(F.percentile_approx("version", [k / LOG_SLICES for k in range(1, LOG_SLICES)]).alias("c")).first().c or []
+    cuts = F.lit(sorted({int(c) for c in cuts})).cast("array<long>") if cuts else F.array().cast("array<long>")
+    sound = log.select(*columns).where(fault(F.struct("warn", "danger", "area", "timespan")).isNull())
+    sliced = sound.withColumn("__slice", F.size(F.filter(cuts, lambda c: c <= F.col("version"))))
+    sliced = sliced.withColumn("__reset", F.when(F.col("warn").isNotNull() & F.col("danger").isNotNull(), F.struct("version", "effective_at")))
+    pieces = _carried(sliced, ["__reset"], ["__slice"], columns)
+    state_type = "struct<warn: double, danger: double>"
+    rows = F.array_sort(F.collect_list(F.struct(*columns, "__slice")))
+    out_type = f"struct<version: bigint, effective_at: timestamp, warn: double, danger: double, area: {AREA.simpleString()}, timespan: {SPAN.simpleString()}, __slice: int>"
+    first = F.expr(f"named_struct('now', cast(named_struct('warn', {X.WARN}D, 'danger', {X.DANGER}D) as {state_type}), 'out', cast(array() as array<{out_type}>))")
 
     def merge(acc: Column, u: Column) -> Column:
         now = acc["now"]
-        new = F.struct(*(F.coalesce(u[n], now[n]).alias(n) for n in ("warn", "danger", "area", "timespan")))
-        ok = fault(new).isNull()
-        row = F.struct(u["version"].cast("long").alias("version"), u["effective_at"].alias("effective_at"), new.alias("state"))
+        new = F.struct(*(F.coalesce(u[n], now[n]).alias(n) for n in ("warn", "danger")))
+        ok = fault(F.struct(new["warn"].alias("warn"), new["danger"].alias("danger"), u["area"].alias("area"), u["timespan"].alias("timespan"))).isNull()
+        row = F.struct(u["version"].cast("long").alias("version"), u["effective_at"].alias("effective_at"), new["warn"].alias("warn"), new["danger"].alias("danger"), u["area"].alias("area"), u["timespan"].alias("timespan"), u["__slice"].alias("__slice")).cast(out_type)
         return F.struct(F.when(ok, new).otherwise(now).alias("now"), F.when(ok, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
 
-    folded = log.agg(F.aggregate(rows, first, merge, lambda acc: acc["out"]).alias("v"))
-    return folded.select(F.explode("v").alias("v")).select("v.version", "v.effective_at", "v.state.*")
+    folded = pieces.groupBy("__last___reset").agg(F.aggregate(rows, first, merge, lambda acc: acc["out"]).alias("v"))
+    accepted = folded.select(F.explode("v").alias("v")).select("v.*")
+    whole = _carried(accepted, ["area", "timespan"], ["__slice"], columns)
+    return whole.select("version", "effective_at", "warn", "danger", F.col("__last_area").alias("area"), F.col("__last_timespan").alias("timespan"))
 
 
 def current(all_versions: DataFrame) -> DataFrame:
@@ -80,24 +110,17 @@ def current(all_versions: DataFrame) -> DataFrame:
 def as_of(events: DataFrame, all_versions: DataFrame, time: str = "captured_at") -> DataFrame:
     """Adds ``config``: the version in force at each event's time, null before the first.
 
-    Versions become intervals, and intervals are dealt to days, so the join is an
-    equi-join on the day with a range test; of versions with equal times the later one holds.
+    One ordered pass: versions and events of a slice of time are sorted together, versions first, and each event looks
+    back to the last version, or to the one its slice began with; of versions with equal times the later one holds.
     """
-    fields = ("version", "warn", "danger", "area", "timespan")
-    latest = all_versions.groupBy("effective_at").agg(*(F.max_by(c, "version").alias(f"__{c}") for c in fields[1:]), F.max("version").alias("__version"))
-    upper = F.lead("effective_at").over(Window.orderBy("effective_at"))
-    day = lambda c: F.floor(F.unix_seconds(c) / DAY_S)
-    # the last interval is open: it is dealt to the days of the events, which one small aggregate bounds
-    end = events.agg(F.max(day(F.col(time))).alias("__last"))
-    spans = latest.withColumn("__until", upper).crossJoin(F.broadcast(end))
-    # a version later than every event has no day
-    last = F.least(F.coalesce(day(F.col("__until")), F.col("__last")), F.col("__last"))
-    dealt = spans.where(day(F.col("effective_at")) <= last).withColumn("__day", F.explode(F.sequence(day(F.col("effective_at")), last))).drop("__last")
-    e = events.withColumn("__day", day(F.col(time)))
-    inside = (e[time] >= dealt["effective_at"]) & (dealt["__until"].isNull() | (e[time] < dealt["__until"]))
-    return e.join(dealt, (e["__day"] == dealt["__day"]) & inside, "left").select(
-        *(e[c] for c in events.columns), F.when(dealt["__version"].isNotNull(), F.struct(*(dealt[f"__{c}"].alias(c) for c in fields))).alias("config")
-    )
+    part = F.floor(F.unix_seconds("__t") / SLICE_S)
+    config = F.struct("version", "warn", "danger", "area", "timespan")
+    side = all_versions.where("effective_at is not null").select(F.col("effective_at").alias("__t"), F.lit(0).alias("__kind"), F.col("version").alias("__v"), config.alias("__config"), F.lit(None).cast(events.schema).alias("__event"))
+    main = events.select(F.col(time).cast("timestamp").alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__v"), F.lit(None).cast(side.schema["__config"].dataType).alias("__config"), F.struct(*events.columns).alias("__event"))
+    # events without a time need no version, so they needn't meet
+    both = side.union(main).withColumn("__slice", part).withColumn("__lane", F.when(F.col("__t").isNull(), F.spark_partition_id()).otherwise(0))
+    seen = _carried(both, ["__config"], ["__slice", "__lane"], ["__t", "__kind", "__v"])
+    return seen.where("__kind = 1").select("__event.*", F.col("__last___config").alias("config"))
 
 
 def classify_as_of(events: DataFrame, all_versions: DataFrame) -> DataFrame:

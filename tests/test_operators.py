@@ -175,6 +175,26 @@ def test_as_of(spark):
     assert {r.classification for r in G.classify_as_of(e, v.limit(0)).collect()} == {"SAFE"} and G.classify_as_of(e.limit(0), v).count() == 0
 
 
+def test_long_log_in_pieces(spark):
+    rng = random.Random(3)
+    pick = lambda *v: rng.choice(v)
+    rows = [(k, None, pick(None, None, -5.0, float(rng.randint(1, 900))), pick(None, None, float(rng.randint(1, 900))), pick(None, None, None, (30.0, float(rng.randint(25, 60)), 0.0, 1.0)), None) for k in range(1, 501)]
+    now, want = (100.0, 1000.0, None), []
+    for k, _, *u, _ in rows:
+        w, d, a = (new if new is not None else old for new, old in zip(u, now, strict=True))
+        if w > 0 and d > 0 and w < d and (a is None or a[0] < a[1]):
+            now = (w, d, a)
+            want.append((k, *now))
+    log = spark.createDataFrame(rows, LOG).withColumn("effective_at", F.timestamp_seconds(F.col("version") * 40))
+    v = G.versions(log)
+    assert [(r.version, r.warn, r.danger, r.area and tuple(r.area)) for r in v.orderBy("version").collect()] == want
+    e = spark.range(0, 21_000, 7).select("id", F.timestamp_seconds("id").alias("captured_at")).union(spark.sql("select -1L, cast(null as timestamp)"))
+    joined = G.as_of(e, v)
+    got = {r.id: r.config and r.config.version for r in joined.collect()}
+    assert got == {k: max((n for n, *_ in want if 40 * n <= k), default=None) for k in [*range(0, 21_000, 7), -1]}
+    assert "Join" not in "".join(line for line in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if ">=" in line)
+
+
 def test_views(spark):
     with pytest.raises(ValueError):
         V.View.of({"min_lat": 1})
