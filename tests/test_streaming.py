@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,9 +31,12 @@ def run(stream, name, checkpoint):
 
 
 def put(path, batches):
+    """One file for each batch, with times that rise: a stream of files reads them in the order of their times."""
     path.mkdir()
     for k, rows in enumerate(batches):
-        (path / f"{k}.txt").write_text("\n".join(rows) + "\n")
+        file = path / f"{k}.txt"
+        file.write_text("\n".join(rows) + "\n")
+        os.utime(file, (1_780_000_000 + 10 * k, 1_780_000_000 + 10 * k))
     return str(path)
 
 
