@@ -113,7 +113,7 @@ class Fertility:
         first, *words = text.split(" ")
         found = self.memo.get(words)
         ids = np.frombuffer(b"".join([self.pieces.encode_many([first])[0], *[f[0] for f in found]]), "<u4")
-        return ids, len(self.bpe.enc.encode_ordinary(first)) + sum([f[1] for f in found])
+        return ids, len(self.bpe.plain(first)) // 4 + sum([f[1] for f in found])
 
 
 @lru_cache(maxsize=1)

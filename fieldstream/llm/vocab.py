@@ -23,6 +23,9 @@ LONGEST = 40
 #: White space that isn't alone, beside a space or line feed, or at either end.
 UNEVEN = re.compile(r"\s[ \n]|[ \n]\s|\A\s|\s\Z")
 OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Runs of white space from this length on are taken out before the pre-token pattern sees them: its look-ahead backtracks over a run and gives up on very long ones.
+LONG_BLANKS = 4096
+BLANK_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANKS)
 END = "<|endoftext|>"
 #: The sign that sentencepiece writes for a space.
 SPACE = "▁"
@@ -88,6 +91,7 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.end_id = len(ranks)
         self.enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.one_piece = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.opens = np.zeros(len(ranks) + 1, bool)
         self.opens[[k for token, k in ranks.items() if token[:1] == b" "]] = True
         #: Tokens after which a sentence ends: closing punctuation, or a line feed.
@@ -97,16 +101,29 @@ class ByteBpe:
 
     def encode_many(self, words: list[str]) -> list[bytes]:
         """The ids of each word with a space before it."""
-        return _cut(np.array(self.enc.encode_ordinary(" " + " ".join(words)), "<u4"), self.opens)
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.enc.encode_ordinary(text), "<u4").tobytes()
+        return _cut(np.frombuffer(self.plain(" " + " ".join(words)), "<u4"), self.opens)
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without the special string.
+
+        Of a run of white space, all but the last character is one pre-token, or the whole run where it ends the
+        text; so the text may be cut there.
+        """
+        if len(text) < LONG_BLANKS:
+            return np.array(self.enc.encode_ordinary(text), "<u4").tobytes()
+        out, at = [], 0
+        for m in BLANK_RUN.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += [self.enc.encode_ordinary(text[at : m.start()]), self.one_piece.encode_ordinary(text[m.start() : end])]
+            at = end
+        out.append(self.enc.encode_ordinary(text[at:]))
+        return b"".join(np.array(ids, "<u4").tobytes() for ids in out)
 
     def ids(self, text: str) -> np.ndarray:
         if END not in text:
-            return np.frombuffer(self._plain(text), "<u4")
+            return np.frombuffer(self.plain(text), "<u4")
         end = np.array([self.end_id], "<u4").tobytes()
-        return np.frombuffer(end.join(map(self._plain, text.split(END))), "<u4")
+        return np.frombuffer(end.join(map(self.plain, text.split(END))), "<u4")
 
 
 class Pieces:

@@ -29,6 +29,22 @@ def test_ids_of_odd_texts():
     assert [byte_bpe().ids(t).tolist() for t in ODD] == reference_ids(ODD)
 
 
+LONG = [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "x" + " " * 100_000 + "y" + " \t" * 50_000, "a b" + "\t" * 300_000 + "b c", "\u3000" * 100_000 + "漢", " " * 5000 + "\x1c" + " " * 5000 + "'s"]
+
+
+def test_ids_of_long_runs():
+    for text in LONG:
+        assert byte_bpe().ids(text).tolist() == reference_ids([text])[0]
+
+
+def test_packs_long_runs(spark):
+    rows = pack(spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string")).collect()
+    got = defaultdict(int)
+    for r in rows:
+        got[r.doc_id] += r.length
+    assert got == {i: len(ids) + 1 for i, ids in enumerate(reference_ids(LONG))}
+
+
 def brute(at, tolls, w, stride, inner):
     cost = [0.0]
     for j in range(1, len(at)):

@@ -34,6 +34,12 @@ def test_counts(text):
         assert abs(row[10] * len(byte_bpe().ids(text)) - len(text)) < 1e-6
 
 
+def test_long_runs():
+    for text in (" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "a b" + "\t" * 300_000 + "b c"):
+        row = judge(text)
+        assert row[0] == len(WORD.findall(text)) and row[5] and not row[6]
+
+
 def test_scripts():
     assert [main_script(t) for t in ("abc", "été", "12 34", "", "слово слово", "漢字 漢字 a", "かなかな漢", "שלום", "한국어")] == ["latin", "latin", "other", "other", "cyrillic", "han", "kana", "hebrew", "hangul"]
 
