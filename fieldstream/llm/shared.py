@@ -79,19 +79,33 @@ def squeeze(text: bytes) -> bytes:
     return (b" " if text[:1].isspace() else b"") + body + (b" " if text[-1:].isspace() else b"")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, per_class: int) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``per_class`` rows of either class, for training on the driver.
+#: Bytes of text that the training sample of either class holds at most.
+TRAIN_BYTES = 32 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, per_class: int, per_class_bytes: int = TRAIN_BYTES) -> tuple[list[str], list[int]]:
+    """Texts and labels of at most ``per_class`` rows and ``per_class_bytes`` bytes of either class, for training on the driver.
 
     Rows are taken by the order of a hash of doc_id, so a rerun takes the same
-    ones; held-out rows, null ids and null labels are never taken.  The ids are bounded, so
-    they are broadcast, and the documents are read once without a shuffle.
+    ones; held-out rows, null ids and null labels are never taken.  An id that is labelled both 0 and 1 is left out; of
+    rows that share a doc_id, the text with the smallest hash is taken.  A text that doesn't fit into what is left of the bytes is passed over.
+    The ids are bounded, so they are broadcast, and the documents are read once; one row for each id is shuffled.
     """
-    open_rows = labels.where(~held_out & F.col(column).isin(0, 1)).select("doc_id", F.col(column).cast("int").alias("__y")).where("doc_id is not null")
+    open_rows = labels.where(~held_out & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(column).cast("int").alias("__y"))
+    agreed = open_rows.groupBy("doc_id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z").drop("__z")
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    ids = open_rows.where("__y = 0").orderBy(order, "doc_id").limit(per_class).union(open_rows.where("__y = 1").orderBy(order, "doc_id").limit(per_class)).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(ids), "doc_id").select("doc_id", "__text", "__y").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["__text"]))
-    return [r["__text"] for r in rows], [r["__y"] for r in rows]
+    ids = agreed.where("__y = 0").orderBy(order, "doc_id").limit(per_class).union(agreed.where("__y = 1").orderBy(order, "doc_id").limit(per_class))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")).join(F.broadcast(ids), "doc_id")
+    one = found.groupBy("doc_id", "__y").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), F.col("__text"))).alias("__text"))
+    rows = keep(one.select("doc_id", "__y", "__text", F.octet_length("__text").alias("__n"), order.alias("__order")), "labelled")
+    left, taken = {0: per_class_bytes, 1: per_class_bytes}, []
+    for r in sorted(rows.select("doc_id", "__y", "__n", "__order").collect(), key=lambda r: (r["__order"], r["doc_id"])):
+        if r["__n"] <= left[r["__y"]]:
+            left[r["__y"]] -= r["__n"]
+            taken.append(r["doc_id"])
+    got = rows.where(F.col("doc_id").isin(taken)).select("doc_id", "__text", "__y").collect() if taken else []
+    got.sort(key=lambda r: r["doc_id"])
+    return [r["__text"] for r in got], [r["__y"] for r in got]
 
 
 def remainder(divisor: int, rest: int) -> Column:
