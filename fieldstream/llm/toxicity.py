@@ -16,7 +16,6 @@ highest and others.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +39,28 @@ KEPT = 150_000
 #: Windows that one pass of the recurrence takes.
 AT_ONCE = 2048
 
+#: A word of more bytes and more characters than this is read as overlapping chunks of so many characters, each so many characters after the
+#: start of the last: a text in a script without spaces has windows like any other.
+LONG_WORD, CHUNK, CHUNK_STEP = 24, 12, 8
+
 #: ASCII letters become lower case, other ASCII signs than letters and digits a space.
 FOLD = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 
 
 def words_of(text: str) -> list[bytes]:
-    """Folded words; one that is repeated in a row counts once."""
-    return [w for w, _ in groupby(text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split())]
+    """Folded words in order, each one that the text has; very long ones as overlapping chunks."""
+    words = text.lower().encode("utf-8", "surrogatepass").translate(FOLD).split()
+    if max(map(len, words), default=0) <= LONG_WORD:
+        return words
+    return [x for w in words for x in (chunks_of(w) if len(w) > LONG_WORD else (w,))]
+
+
+def chunks_of(word: bytes) -> list[bytes]:
+    """Overlapping chunks of a word of more than LONG_WORD characters; together they cover it."""
+    c = word.decode("utf-8", "surrogatepass")
+    if len(c) <= LONG_WORD:
+        return [word]
+    return [c[k : k + CHUNK].encode("utf-8", "surrogatepass") for k in range(0, len(c) - CHUNK + CHUNK_STEP, CHUNK_STEP)]
 
 
 def grams_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +220,10 @@ class Network:
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         spans = [(i, s, e) for i, d in enumerate(docs) for s, e in windows_of(len(d))]
-        owner = np.array([i for i, _, _ in spans])
+        if not spans:  # no text has a word
+            self.prior = float(y.mean())
+            return self
+        owner = np.array([i for i, _, _ in spans], np.int64)
         for epoch in range(max(epochs, min(60, 12_000 // len(y)))):
             # by score, the toxic documents' highest windows; of clean ones the highest and two others
             z = self._spans(spans, ids, words) if epoch else rng.random(len(spans))
@@ -320,6 +337,6 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFram
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Labels of held-out rows are never read for training; nothing but the text
-    makes a score, so equal texts score alike.  Without labels of both classes every score is the share of label 1, or 0.
+    makes a score, so equal texts score alike.  Without labels of both classes, or where no labelled text has a word, every score is the share of label 1, or 0.
     """
     return score(docs, train(docs, labels)).select("doc_id", remainder(4, 2).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

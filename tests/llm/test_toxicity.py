@@ -71,3 +71,53 @@ def test_held_out_accuracy(spark):
     assert len(held) > 60 and sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) > 0.93 * len(held)
     assert {r.score for r in classify(docs, known.limit(0)).collect()} == {0.0}
     assert classify(docs.limit(0), known).count() == 0
+
+
+def test_every_word_is_read():
+    assert words_of("no no no") == [b"no"] * 3
+    long = "漢字" * 500
+    parts = words_of(f"a {long} b")
+    assert parts[0] == b"a" and parts[-1] == b"b" and len(parts) > 100 and set(long.encode()) == set(b"".join(parts[1:-1]))
+    chunks = [p.decode() for p in parts[1:-1]]
+    assert all(a[toxicity.CHUNK_STEP :] == b[: toxicity.CHUNK - toxicity.CHUNK_STEP] for a, b in zip(chunks, chunks[1:], strict=False)) and long.endswith(chunks[-1])
+
+
+def plain_score(net, text):
+    """The forward pass for one text, window by window and word by word."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    words = words_of(text)
+    vectors = [net.inputs([w])[0][0] for w in words]
+    tops = []
+    for s, e in windows_of(len(words)):
+        states = []
+        for d, order in (("f", range(s, e)), ("b", range(e - 1, s - 1, -1))):
+            h, n, own = np.zeros(toxicity.HIDDEN), toxicity.HIDDEN, {}
+            for t in order:
+                g = vectors[t] @ net.p[f"W{d}"] + net.p[f"b{d}"]
+                zr = sigmoid(g[: 2 * n] + h @ net.p[f"U{d}"][:, : 2 * n])
+                k = np.tanh(g[2 * n :] + (zr[n:] * h) @ net.p[f"U{d}"][:, 2 * n :])
+                h = own[t] = h + zr[:n] * (k - h)
+            states.append([own[t] for t in range(s, e)])
+        h = np.concatenate(states, 1)
+        a = np.exp(np.tanh(h @ net.p["A"] + net.p["a"]) @ net.p["v"])
+        tops.append((a / a.sum()) @ h @ net.p["o"] + net.p["c"][0])
+    if not tops:
+        return 0.0
+    slope, bias, per = net.calibration
+    return float(sigmoid(slope * np.clip(max(tops), -12, 12) + bias + per * np.log(len(tops))))
+
+
+def test_scores_equal_a_plain_reading():
+    rng = random.Random(6)
+    net = Network()
+    net.calibration = np.array([3.0, 0.2, 0.1])
+    texts = ["", " ", "one", "a a a a", " ".join(f"w{rng.randrange(40)}" for _ in range(200)), " ".join(f"v{rng.randrange(9)}" for _ in range(49)), "字" * 300]
+    assert np.allclose(Reader(net).scores(texts), [plain_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_training_without_words_and_repeats(spark):
+    net = Network().fit(["", " !"], [0, 1])
+    assert Reader(net).scores(["", "word"]).tolist() == [0.5, 0.5]
+    docs = spark.createDataFrame([(k, "" if k % 2 else None, "x") for k in range(8)] + [(9, "word " * 50_000, "x")] * 2, "doc_id long, text string, held_out string")
+    got = classify(docs, spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, toxic int")).collect()
+    assert len(got) == 10 and len({r.score for r in got}) == 1
