@@ -58,21 +58,62 @@ LABELERS = ("rule", "gazetteer", "context", "shape")
 ROUNDS, STEPS, RATE = 25, 200, 1.0
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` with ``value`` computed once: inside a lambda, an expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def blocks(items: Column, body) -> Column:
+    """Array of ``body`` of each stretch of the array ``items``, a column or a variable, cut into as many stretches as a stretch is long; none for an empty one."""
+    n = F.size(items)
+    width = F.ceil(F.sqrt(n)).cast("int")
+    return _let(width, lambda w: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, w), lambda at: body(F.slice(items, at + 1, w)))).otherwise(F.array()))
+
+
+def walk(items: Column, state: Column, out_type: str, step) -> Column:
+    """Array of outputs: ``step`` takes a state and an item and gives the next state and an output.
+
+    An array that grows by one is copied each time, so outputs are gathered in blocks: n items cost n^1.5 copies of a reference at most.
+    """
+    empty, wide = (F.expr(f"cast(array() as {'array<' * k}{out_type}{'>' * k})") for k in (1, 2))
+
+    def inner(acc: Column, x: Column) -> Column:
+        now, out = step(acc.state, x)
+        return F.struct(now.alias("state"), F.concat(acc.out, F.array(out)).alias("out"))
+
+    def outer(acc: Column, block: Column) -> Column:
+        done = F.aggregate(block, F.struct(acc.state.alias("state"), empty.alias("out")), inner)
+        return _let(done, lambda d: F.struct(d.state.alias("state"), F.concat(acc.out, F.array(d.out)).alias("out")))
+
+    return _let(items, lambda xs: F.flatten(F.aggregate(blocks(xs, lambda b: b), F.struct(state.alias("state"), wide.alias("out")), outer, lambda acc: acc.out)))
+
+
+MATCH = "struct<start: int, end: int, value: string, before: string, after: string>"
+
+
 def in_text(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the matches of ``pattern``; code points, end exclusive.
+    """Array of (start, end, value, before, after) of the matches of ``pattern``; code points, end exclusive.
 
-    The parts between the matches and the matches themselves give the places.
+    The parts between the matches and the matches themselves give the places, what stands
+    before a match (``CONTEXT`` characters) and the one character after it.
     """
-    parts, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(parts, 1, F.size(values)), values, lambda p, v: F.struct(F.length(p).alias("gap"), v.alias("value")))
-    empty = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
+    found = F.struct(F.split(text, pattern, -1).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
 
-    def put(acc: Column, x: Column) -> Column:
-        start = acc.at + x.gap
+    def put(state: Column, x: Column) -> tuple[Column, Column]:
+        start = state.at + F.length(x.part)
         end = start + F.length(x.value)
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("start"), end.alias("end"), x.value.alias("value")))).alias("out"))
+        before = F.right(F.concat(state.tail, x.part), F.lit(CONTEXT))
+        out = F.struct(start.alias("start"), end.alias("end"), x.value.alias("value"), before.alias("before"), x.after.alias("after"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, x.value), F.lit(CONTEXT)).alias("tail")), out
+
+    def places(f: Column) -> Column:
+        n = F.size(f["values"])
+        after = F.zip_with(F.slice(f.parts, 2, n), F.slice(f["values"], 2, n), lambda p, v: F.coalesce(F.nullif(F.left(p, F.lit(1)), F.lit("")), F.left(v, F.lit(1)), F.lit("")))
+        named = F.zip_with(F.slice(f.parts, 1, n), f["values"], lambda p, v: F.struct(p.alias("part"), v.alias("value")))
+        items = F.zip_with(named, after, lambda x, a: F.struct(x.part.alias("part"), x.value.alias("value"), a.alias("after")))
+        return walk(items, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail")), MATCH, put)
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), put, lambda acc: acc.out)
+    return _let(found, places)
 
 
 def digits(value: Column) -> Column:
@@ -151,12 +192,12 @@ def candidates(text: Column) -> Column:
 
     def described(kind: str) -> Column:
         def describe(x: Column) -> Column:
-            before = F.substring(text, F.greatest(x.start - CONTEXT, F.lit(0)) + 1, F.least(x.start, F.lit(CONTEXT)))
+            before = x.before
             ok = holds(kind, x.value)
             votes = F.array(
                 F.when(ok, 1).otherwise(-1), listed(kind, x.value), F.when(before.rlike(CUES[kind]), 1).when(before.rlike(AGAINST), -1).otherwise(0), shaped(kind, x.value)
             )
-            bare = ~before.rlike("[A-Za-z0-9]$") & ~F.substring(text, x.end + 1, F.lit(1)).rlike("[A-Za-z0-9]")
+            bare = ~before.rlike("[A-Za-z0-9]$") & ~x.after.rlike("[A-Za-z0-9]")
             return F.struct(F.lit(kind).alias("kind"), x.start.alias("start"), x.end.alias("end"), (ok if kind in BASE else F.lit(False)).alias("base"), votes.alias("votes"), bare.alias("bare"))
 
         return F.when(has[kind], F.transform(in_text(text, PATTERNS[kind]), describe)).otherwise(F.expr(f"cast(array() as array<{kind_type}>)"))
@@ -179,11 +220,6 @@ class Weights:
         return 1 / (1 + F.exp(-z))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
@@ -244,10 +280,25 @@ def train(marks: DataFrame, rounds: int = ROUNDS, steps: int = STEPS) -> Weights
 
 
 def spans(found: Column, weights: Weights, least: float = 0.5) -> Column:
-    """The spans to report: all base ones, and further ones that the classifier accepts and that overlap no base span."""
+    """The spans to report: all base ones, and further ones that the classifier accepts and that overlap no base span.
+
+    One pass over all ends of further spans and starts of base ones in order: a further span is free if no
+    base span that starts before its end goes beyond its start.
+    """
     base = F.filter(found, lambda x: x.base)
-    more = F.filter(found, lambda x: x.kind.isin(*MORE) & (weights.score(x) >= least) & ~F.exists(base, lambda b: (b.start < x.end) & (x.start < b.end)))
-    return F.concat(base, more)
+    more = F.filter(found, lambda x: x.kind.isin(*MORE) & (weights.score(x) >= least))
+    start = F.transform(base, lambda x: F.struct(x.start.alias("at"), F.lit(1).alias("side"), x.start.alias("start"), x.end.alias("end"), F.lit(-1).alias("place")))
+    stop = F.transform(more, lambda x, k: F.struct(x.end.alias("at"), F.lit(0).alias("side"), x.start.alias("start"), x.end.alias("end"), k.alias("place")))
+
+    def look(furthest: Column, x: Column) -> tuple[Column, Column]:
+        return F.greatest(furthest, F.when(x.side == 1, x.end).otherwise(0)), F.when((x.side == 0) & (furthest <= x.start), x.place)
+
+    def chosen(both: Column) -> Column:
+        free = F.array_sort(F.filter(walk(F.array_sort(F.concat(both.start, both.stop)), F.lit(0), "int", look), lambda k: k.isNotNull()))
+        return F.concat(both.base, F.transform(free, lambda k: F.get(both.more, k)))
+
+    parts = F.struct(base.alias("base"), more.alias("more"), start.alias("start"), stop.alias("stop"))
+    return _let(parts, lambda p: F.when((F.size(p.base) == 0) | (F.size(p.more) == 0), F.concat(p.base, p.more)).otherwise(chosen(p)))
 
 
 def _text() -> Column:
@@ -265,24 +316,41 @@ def detect(docs: DataFrame) -> DataFrame:
     return marks.select("doc_id", spans(F.col("found"), train(marks)).alias("found"))
 
 
+def covered(text: Column, found: Column) -> Column:
+    """``text`` with each span of ``found`` replaced by its kind in brackets.
+
+    Spans are cut in order, in blocks: a substring counts characters from its start, so each is taken from the stretch of text of its block.
+    """
+    order = F.array_sort(F.transform(found, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind"))))
+    cut_type = "struct<since: int, begin: int, end: int, kind: string>"
+
+    def cut(at: Column, x: Column) -> tuple[Column, Column]:
+        own = F.struct(at.alias("since"), F.greatest(x.start, at).alias("begin"), x.end.alias("end"), x.kind.alias("kind"))
+        return F.greatest(x.end, at), F.when(x.end > at, own)
+
+    def written(block: Column) -> Column:
+        first, last = F.get(block, F.lit(0)), F.element_at(block, -1)
+        stretch = F.struct(F.substring(text, first.since + 1, last.begin - first.since).alias("text"), first.since.alias("at"))
+        gap = lambda r, c: F.substring(r.text, c.since - r.at + 1, c.begin - c.since)
+        return _let(stretch, lambda r: F.array_join(F.transform(block, lambda c: F.concat(gap(r, c), F.lit("["), F.upper(c.kind), F.lit("]"))), ""))
+
+    def whole(cuts: Column) -> Column:
+        return F.concat(F.array_join(blocks(cuts, written), ""), F.substr(text, F.element_at(cuts, -1).end + 1))
+
+    cuts = F.filter(walk(order, F.lit(0), cut_type, cut), lambda c: c.isNotNull())
+    return F.when(F.size(found) > 0, _let(cuts, whole)).otherwise(text)
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each reported span replaced by its kind in brackets, and n_chars counted anew.
 
     Overlapping spans are replaced by order of their starts; what an earlier one
-    covered is not replaced again.  A null text stays null.
+    covered is not replaced again.  A null text stays null, an empty one empty; repeated rows give equal rows; an empty
+    table stays empty; other columns stay as they are.  The documents are written once with their candidates, and read for training and for the result.
     """
-    weights = train(keep(docs.select(candidates(_text()).alias("found")), "pii"))
-
-    def put(acc: Column, x: Column) -> Column:
-        begin = F.greatest(x.start, acc.at)
-        more = F.concat(acc.out, F.substring(F.col("text"), acc.at + 1, begin - acc.at), F.when(x.end > acc.at, F.concat(F.lit("["), F.upper(x.kind), F.lit("]"))).otherwise(""))
-        return F.struct(F.greatest(x.end, acc.at).alias("at"), more.alias("out"))
-
-    order = F.array_sort(F.transform("__spans", lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind"))))
-    whole = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), put, lambda acc: F.concat(acc.out, F.substr(F.col("text"), acc.at + 1)))
-    marked = docs.withColumn("__spans", spans(candidates(_text()), weights))
-    clean = F.when(F.size("__spans") > 0, whole).otherwise(F.col("text"))
+    marked = keep(docs.withColumn("__found", candidates(_text())), "pii")
+    shown = marked.withColumn("__spans", spans(F.col("__found"), train(marked.select(F.col("__found").alias("found")))))
     # under names of their own: inside a lambda, "text" would mean a new column of that name in the same select
-    marked = marked.withColumn("__clean", clean)
+    shown = shown.withColumn("__clean", covered(F.col("text"), F.col("__spans")))
     changed = {"text": F.col("__clean"), "n_chars": F.length("__clean").cast("long")}
-    return marked.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
+    return shown.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
