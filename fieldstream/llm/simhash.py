@@ -6,10 +6,10 @@ is compared completely with numpy's exclusive-or and bit counts.
 
 * ``fingerprints``: 64 bits, radius r.  Keys: r + 1 blocks of bits.  Two
   fingerprints within r differ in at most r blocks, so they share one.
-* ``near_groups``: 512 bits find candidates for a wanted Jaccard similarity.  Keys: the size
-  class of the shingle set, compared with itself and the next one (a Jaccard of 0.8 or more
-  bounds the ratio of the sizes by 1.25); tiles are in order of size.  Then the candidates of
-  a component are compared again, and linked by the exact Jaccard of their shingle sets.
+* ``near_groups``: 512 bits find candidates for a wanted Jaccard similarity.  Keys: shingles.  Of two sets alike
+  by 0.8, the first fifths (and one more) in any common order of shingles share one, so each set is dealt to these; the order
+  puts rare shingles first, so passages that many documents share bring nobody together, and a document with enough shingles of its own
+  is dealt to none.  Tiles are in order of size.  Then the candidates of a component are compared again, and linked by the exact Jaccard of their shingle sets.
 
 A tile emits no pairs but a spanning forest of what it linked, so a group of
 copies costs one edge for each member, and ``components`` joins the forests.
@@ -39,6 +39,10 @@ STEP, ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 #: Candidates at a Jaccard of 0.8: bits of all lanes, and of the first ones, that may differ.  A bit differs with a chance of 0.152 for large
 #: sets and 0.188 at most (4 of 5 shingles shared), so a pair exceeds either with a chance under 1e-11.
 RADIUS, FIRST_LANES, FIRST_BITS = 160, 3, 80
+#: One in so many shingles, by hash, comes before all others in the order and is counted.
+FIRST_CLASS = 3
+#: Keys of a document that candidates are sought by first.
+FIRST_KEYS = 2
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -84,22 +88,32 @@ def _narrow(words: int):
     return run
 
 
-def _wide(words: int, sets: bool = False):
-    """doc_id, size, fp and sig (a 128-bit hash of the whole shingle set); with ``sets``, the sorted set of shingle hashes too."""
+def reach_of(size: int, similarity: float) -> int:
+    """How many shingles of a set, the first in any order, hold one of every set that is alike."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
+
+
+def first_ones(hashes: np.ndarray, reach: int) -> np.ndarray:
+    """All first-class hashes of a sorted set; where they are fewer than ``reach``, the smallest others as well."""
+    first = hashes % np.uint64(FIRST_CLASS) == 0
+    own = hashes[first]
+    return own if len(own) >= reach else np.concatenate([own, hashes[~first][: reach - len(own)]])
+
+
+def _wide(words: int, similarity: float | None = None):
+    """doc_id, size, fp and sig (a 128-bit hash of the whole shingle set); with ``similarity`` the hashes that may become keys, else the sorted set of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_parts(batches):
-            sizes, fps, sigs, all_hashes = [], [], [], []
+            sizes, fps, sigs, held = [], [], [], []
             for t in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(t, words))
                 sizes.append(len(h))
                 fps.append(np.array([majority(_mixed(h, lane)) for lane in range(LANES)], np.uint64).tobytes())
                 sigs.append(xxhash.xxh3_128_digest(h.tobytes()))
-                if sets:
-                    all_hashes.append(h.tobytes())
-            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())]
-            more = [pa.array(all_hashes, pa.binary())] if sets else []
-            yield pa.RecordBatch.from_arrays(columns + more, names=["doc_id", "size", "fp", "sig", "hashes"][: len(columns + more)])
+                held.append(h.tobytes() if similarity is None else first_ones(h, reach_of(len(h), similarity)).view(np.int64))
+            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary()), pa.array(held, pa.binary() if similarity is None else pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "fp", "sig", "hashes"])
 
     return run
 
@@ -121,57 +135,71 @@ def _link_alike(label: np.ndarray, x: np.ndarray, y: np.ndarray, sets: list[np.n
             label[np.isin(label, joined)] = joined[0]
 
 
-def _link(fps: np.ndarray, other: np.ndarray | None, radius: int, sizes: np.ndarray | None = None, similarity: float = 0.0, sets: list[np.ndarray] | None = None) -> np.ndarray:
-    """Local component labels of the rows of ``fps`` (then of ``other``) within the radius.
+def _link(fps: np.ndarray, other: np.ndarray | None, radius: int, vids: np.ndarray, sizes: np.ndarray | None = None, similarity: float = 0.0, sets: list[np.ndarray] | None = None) -> np.ndarray:
+    """Local component labels of the rows of ``fps`` (then of ``other``) within the radius; rows with equal ``vids`` are one from the start.
 
     With ``other``, only pairs between the two are compared.  With ``sizes``, only those whose
     sizes allow the similarity; with ``sets`` (of shingle hashes, not empty), only those that have it.
     """
     n = len(fps)
     rows = fps if other is None else np.concatenate([fps, other])
+    wide = rows.shape[1] > 1
     by = np.bitwise_count(rows).sum(1, dtype=np.int64) if sizes is None else sizes
     far = (lambda low, high: high - low > radius) if sizes is None else (lambda low, high: low < similarity * high)
     left = np.argsort(by[:n], kind="stable")
     right = left if other is None else n + np.argsort(by[n:], kind="stable")
-    label = np.arange(len(rows))
+    _, first_of, place = np.unique(vids, return_index=True, return_inverse=True)
+    label = first_of[place]
     if sets is not None:
         ranks = np.unique(np.concatenate(sets), return_inverse=True)[1]
         flag = np.zeros(len(ranks), bool)
         sets = np.split(ranks, np.cumsum([len(h) for h in sets])[:-1])
-    first = FIRST_LANES if rows.shape[1] > 1 else 1
+    lanes, most = (FIRST_LANES, FIRST_BITS) if wide else (1, radius)
+
+    def compare(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal label
+        bits = np.bitwise_count(rows[a, None, 0] ^ rows[None, b, 0])
+        for lane in range(1, lanes):
+            bits += np.bitwise_count(rows[a, None, lane] ^ rows[None, b, lane])
+        x, y = np.nonzero(bits <= most)
+        x, y = a[x], b[y]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        if wide and len(x):
+            near = ~far(np.minimum(by[x], by[y]), np.maximum(by[x], by[y]))
+            x, y = x[near], y[near]
+            near = np.bitwise_count(rows[x] ^ rows[y]).sum(1, dtype=np.int64) <= radius
+            x, y = x[near], y[near]
+        if sets is not None:
+            if len(x):
+                _link_alike(label, x, y, sets, flag, similarity)
+            return
+        while len(x):
+            p, q = label[x], label[y]
+            low = np.minimum(p, q)
+            np.minimum.at(label, p, low)
+            np.minimum.at(label, q, low)
+            while (label[label] != label).any():
+                label = label[label]
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+
     for i in range(0, len(left), BLOCK):
         a = left[i : i + BLOCK]
         for j in range(i if other is None else 0, len(right), BLOCK):
             b = right[j : j + BLOCK]
             if far(by[a[-1]], by[b[0]]) or far(by[b[-1]], by[a[0]]):
                 continue
-            if label[a[0]] == label[b[0]] and (label[a] == label[a[0]]).all() and (label[b] == label[a[0]]).all():
-                continue
-            bits = np.bitwise_count(rows[a, None, 0] ^ rows[None, b, 0])
-            for lane in range(1, first):
-                bits += np.bitwise_count(rows[a, None, lane] ^ rows[None, b, lane])
-            x, y = np.nonzero(bits <= (radius if rows.shape[1] == 1 else FIRST_BITS))
-            x, y = a[x], b[y]
-            apart = label[x] != label[y]
-            x, y = x[apart], y[apart]
-            if rows.shape[1] > 1 and len(x):
-                near = ~far(np.minimum(by[x], by[y]), np.maximum(by[x], by[y]))
-                x, y = x[near], y[near]
-                near = np.bitwise_count(rows[x] ^ rows[y]).sum(1, dtype=np.int64) <= radius
-                x, y = x[near], y[near]
-            if sets is not None:
-                if len(x):
-                    _link_alike(label, x, y, sets, flag, similarity)
+            # rows that are joined already needn't meet: of the commonest label, only against others
+            names, counts = np.unique(label[np.concatenate([a, b])], return_counts=True)
+            if len(names) == 1:
                 continue
-            while len(x):
-                p, q = label[x], label[y]
-                low = np.minimum(p, q)
-                np.minimum.at(label, p, low)
-                np.minimum.at(label, q, low)
-                while (label[label] != label).any():
-                    label = label[label]
-                apart = label[x] != label[y]
-                x, y = x[apart], y[apart]
+            same = names[counts.argmax()]
+            odd = b[label[b] != same]
+            inside = label[a] == same
+            for p, q in ((a[~inside], b), (a[inside], odd)):
+                if len(p) and len(q):
+                    compare(p, q)
     return label
 
 
@@ -199,21 +227,21 @@ def _forest(radius: int, lanes: int, similarity: float | None = None):
                     other, vid = two["fp"], np.concatenate([vid, two["vid"]])
                     size = None if size is None else np.concatenate([size, two["size"]])
                     hashes = None if hashes is None else hashes + two["hashes"]
-                label = _link(one["fp"], other, radius, size, similarity or 0.0, hashes)
-                moved = np.flatnonzero(label != np.arange(len(label)))
-                u.append(vid[moved])
-                v.append(vid[label[moved]])
+                to = vid[_link(one["fp"], other, radius, vid, size, similarity or 0.0, hashes)]
+                moved = np.unique(np.stack([vid, to], 1)[vid != to], axis=0)
+                u.append(moved[:, 0])
+                v.append(moved[:, 1])
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], names=["u", "v"])
 
     return run
 
 
-def _edges(rows: DataFrame, radius: int, lanes: int, tile: int, similarity: float | None = None, reach: int = 0) -> DataFrame:
+def _edges(rows: DataFrame, radius: int, lanes: int, tile: int, similarity: float | None = None) -> DataFrame:
     """Edges (u, v) between the vids of ``rows`` that share a key and lie within the radius.
 
     Columns: key, fp binary and vid; pop, or with ``similarity`` size, by which tiles are in order; perhaps
-    hashes, the sets whose exact similarity decides.  With ``reach``, keys that differ by so much meet too.
+    hashes, the sets whose exact similarity decides, and own, which tells rows of one vid apart.
     """
     by = "pop" if similarity is None else "size"
     carried = [c for c in ("fp", "vid", "size", "hashes") if c in rows.columns]
@@ -222,19 +250,18 @@ def _edges(rows: DataFrame, radius: int, lanes: int, tile: int, similarity: floa
     whole = Window.partitionBy("key")
     counts = rows.groupBy("key", by).count().withColumn("room", F.col("count") * room)
     counts = counts.select("key", by, "count", (F.sum("room").over(order) - F.col("room")).alias("before"), F.sum("count").over(whole).alias("all"))
-    placed = rows.join((counts if reach else counts.where("all > 1")).drop("all"), ["key", by])
-    at = F.floor((F.col("before") + F.pmod(F.xxhash64("vid"), F.col("count")) * room) / tile)
-    tiles = keep(placed.groupBy("key", at.alias("tile")).agg(F.collect_list(F.struct(*carried)).alias("rows"), F.min(by).alias("low"), F.max(by).alias("high")), "tiles")
+    placed = rows.join(counts.where("all > 1").drop("all"), ["key", by])
+    at = F.floor((F.col("before") + F.pmod(F.xxhash64("own" if "own" in rows.columns else "vid"), F.col("count")) * room) / tile)
+    tiles = keep(placed.groupBy("key", at.alias("tile")).agg(F.collect_list(F.struct(*carried)).alias("rows"), *(f(c).alias(f"{n}_{c}") for c in (by, "vid") for n, f in (("low", F.min), ("high", F.max)))), "tiles")
     run = _forest(radius, lanes, similarity)
-    found = tiles.select("rows").mapInArrow(run, "u long, v long")
-    meet = F.explode(F.array(*(F.col("key") + k for k in range(reach + 1)))) if reach else F.col("key")
-    a = tiles.select(meet.alias("meet"), F.col("key").alias("ka"), F.col("tile").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha"))
-    b = tiles.select(F.col("key").alias("meet"), F.col("key").alias("kb"), F.col("tile").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
-    within = f"lb - ha <= {radius} and la - hb <= {radius}" if similarity is None else f"lb * {similarity}D <= ha and la * {similarity}D <= hb"
-    pairs = a.join(b, "meet").where(f"(ka < kb or ta < tb) and {within}").select("ka", "ta", "kb", "tb")
-    ra = tiles.select(F.col("key").alias("ka"), F.col("tile").alias("ta"), F.col("rows").alias("a"))
-    rb = tiles.select(F.col("key").alias("kb"), F.col("tile").alias("tb"), F.col("rows").alias("b"))
-    across = pairs.join(ra, ["ka", "ta"]).join(rb, ["kb", "tb"]).select("a", "b").mapInArrow(run, "u long, v long")
+    found = tiles.where("low_vid < high_vid").select("rows").mapInArrow(run, "u long, v long")
+    ends = lambda x: tiles.select("key", F.col("tile").alias(f"t{x}"), *(F.col(f"{n}_{c}").alias(f"{n}_{c}_{x}") for c in (by, "vid") for n in ("low", "high")))
+    within = f"low_{by}_b - high_{by}_a <= {radius} and low_{by}_a - high_{by}_b <= {radius}" if similarity is None else f"low_{by}_b * {similarity}D <= high_{by}_a and low_{by}_a * {similarity}D <= high_{by}_b"
+    apart = "least(low_vid_a, low_vid_b) < greatest(high_vid_a, high_vid_b)"
+    pairs = ends("a").join(ends("b"), "key").where(f"ta < tb and {within} and {apart}").select("key", "ta", "tb")
+    ra = tiles.select("key", F.col("tile").alias("ta"), F.col("rows").alias("a"))
+    rb = tiles.select("key", F.col("tile").alias("tb"), F.col("rows").alias("b"))
+    across = pairs.join(ra, ["key", "ta"]).join(rb, ["key", "tb"]).select("a", "b").mapInArrow(run, "u long, v long")
     return found.union(across)
 
 
@@ -243,37 +270,70 @@ def fingerprints(docs: DataFrame, words: int = 3, radius: int = 2, tile: int = T
 
     Repeated shingles count each time.  A text of fewer than ``words`` words has
     one shingle, its whole sequence of words; one without words, or a null text, has the
-    fingerprint zero.  Rows with equal fingerprints are one vertex, so copies
-    cost nothing.  A row with a null doc_id gets a fingerprint and its
-    component, but does not name one: a component of such rows only has component_id null.
+    fingerprint zero.  Very long texts count whole.  Rows with equal fingerprints are one vertex, so copies
+    and repeated rows cost nothing.  A row with a null doc_id gets a fingerprint and links like any other, but does
+    not name its component: one of such rows only has component_id null.  An empty table gives no rows; other columns are not read.
     """
     marks = keep(texts_of(docs).mapInArrow(_narrow(words), "doc_id long, fp long"), "fp")
-    vertices = marks.groupBy("fp").agg(F.min("doc_id").alias("vid")).where("vid is not null")
+    vertices = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
     blocks = radius + 1
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     key = F.array(*(F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) * blocks + k for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
     # the order of the bytes is of no account to exclusive-or and bit counts
-    rows = vertices.select(F.explode(key).alias("key"), F.bit_count("fp").alias("pop"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp"), "vid")
-    roots = components(_edges(rows, radius, 1, tile))
-    named = vertices.join(roots.withColumnRenamed("id", "vid"), "vid", "left").select("fp", F.coalesce("root", "vid").alias("component_id"))
+    rows = vertices.select(F.explode(key).alias("key"), F.bit_count("fp").alias("pop"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits"), F.col("fp").alias("vid"))
+    roots = components(_edges(rows.withColumnRenamed("bits", "fp"), radius, 1, tile))
+    rooted = vertices.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marks.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _dealt(vertices: DataFrame, similarity: float) -> DataFrame:
+    """own, vid, size, fp and keys of the vertices that have any: the first shingles of each, rare ones first, which others have too."""
+    each = vertices.select("own", F.explode("hashes").alias("key"))
+    known = each.groupBy("key").count().where("count > 1")
+    shared = each.join(known, "key").groupBy("own").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("shared"))
+    reach = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
+    # those that nobody else has come first in the order and take up places
+    alone = F.size("hashes") - F.size("shared")
+    keys = F.transform(F.slice("shared", 1, F.greatest(reach - alone, F.lit(0)).cast("int")), lambda x: x.key)
+    return vertices.join(shared, "own").select("own", "vid", "size", "fp", keys.alias("keys")).where(F.size("keys") > 0)
+
+
+def _candidates(vertices: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """(id, root): components of vertices whose fingerprints are near.
+
+    A group of copies shares many keys.  So a few keys of each document come first, and then only the
+    keys that still hold more than one component, with components for vertices: no link is lost, and few pairs are compared twice.
+    """
+    dealt = keep(_dealt(vertices, similarity), "dealt")
+    few = dealt.select(F.explode(F.slice(F.sort_array("keys"), 1, FIRST_KEYS)).alias("key"), "size", "fp", "vid", "own")
+    first = keep(components(_edges(few, RADIUS, LANES, tile, similarity)), "roots")
+    rooted = dealt.join(first.withColumnRenamed("id", "vid"), "vid", "left").select("own", "size", "fp", "keys", F.coalesce("root", "vid").alias("root"))
+    rooted = keep(rooted, "rooted")
+    open_keys = rooted.select(F.explode("keys").alias("key"), "root").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest = rooted.select(F.explode("keys").alias("key"), "size", "fp", F.col("root").alias("vid"), "own").join(open_keys, "key", "left_semi")
+    then = keep(components(_edges(rest, RADIUS, LANES, tile, similarity)), "roots").select(F.col("id").alias("root"), F.col("root").alias("last"))
+    every = first.union(first.select("root", "root")).union(then.select("root", "root")).distinct()
+    return every.join(then, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
     """(doc_id, root) for each document.  Near copies: texts whose sets of ``words``-word shingles are alike by ``similarity`` (0.8 at least).
 
-    root is the smallest doc_id of the document's group.  Rows with a null doc_id are absent.
+    root is the smallest doc_id of the document's group, over links of any number.  A null text is empty; empty texts and texts of white space are alike; a
+    text of fewer than ``words`` words has one shingle, its whole sequence.  Very long texts count whole.  Repeated rows share their root; rows with a null
+    doc_id are absent; an empty table gives no rows; other columns are not read.
     Only documents that the fingerprints make candidates are read again, for their sets.
     """
     if similarity < 0.8:
         raise ValueError("the radius of the candidates holds for similarities of 0.8 or more")
-    marks = keep(texts_of(docs).mapInArrow(_wide(words), "doc_id long, size long, fp binary, sig binary"), "fp")
-    vertices = keep(marks.groupBy("sig").agg(F.min("doc_id").alias("vid"), F.max("size").alias("size"), F.first("fp").alias("fp")).where("vid is not null"), "vertices")
-    level = F.when(F.col("size") > 0, F.floor(F.log(F.col("size")) / math.log(1 / similarity))).otherwise(-1).cast("long")
-    rows = vertices.select(level.alias("key"), "size", "fp", "vid")
-    maybe = components(_edges(rows, RADIUS, LANES, tile, similarity, reach=1))
+    marks = keep(texts_of(docs).mapInArrow(_wide(words, similarity), "doc_id long, size long, fp binary, sig binary, hashes array<long>"), "fp")
+    firsts = (F.first(c).alias(c) for c in ("size", "fp", "hashes"))
+    vertices = marks.groupBy("sig").agg(F.min("doc_id").alias("vid"), *firsts).where("vid is not null")
+    vertices = keep(vertices.withColumn("own", F.monotonically_increasing_id()), "vertices")  # once written, the numbers are settled
+    maybe = keep(_candidates(vertices, similarity, tile), "maybe")
     held = docs.join(maybe.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    sets = texts_of(held).mapInArrow(_wide(words, sets=True), "vid long, size long, fp binary, sig binary, hashes binary")
+    sets = texts_of(held).mapInArrow(_wide(words), "vid long, size long, fp binary, sig binary, hashes binary")
     sets = sets.groupBy("vid", "sig").agg(*(F.first(c).alias(c) for c in ("size", "fp", "hashes")))
     # a doc_id that repeats has sets of its own that other documents stand for
     named = vertices.join(maybe.withColumnRenamed("id", "vid"), "vid").select("vid", "sig", F.col("root").alias("key"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from fieldstream.llm import simhash
@@ -54,11 +55,18 @@ def test_null_ids_and_empty(spark):
     assert simhash.fingerprints(df.limit(0)).count() == 0
 
 
+def test_rows_without_id_link_too(spark, monkeypatch):
+    fps = {b"a": 0, b"b": 3, b"c": 15, b"d": 31 << 40}
+    monkeypatch.setattr(simhash, "_narrow", lambda words: lambda batches: (pa.RecordBatch.from_arrays([b.column(0), pa.array([fps[t] for t in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "fp"]) for b in batches))
+    df = spark.createDataFrame([(5, "a"), (None, "b"), (9, "c"), (None, "d"), (5, "a")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in simhash.fingerprints(df).collect()) == [("5", "5"), ("5", "5"), ("9", "5"), ("None", "5"), ("None", "None")]
+
+
 def test_link_matches_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(6 << 20)]).reshape(-1, 1)
-    label = simhash._link(fps, None, 2)
+    label = simhash._link(fps, None, 2, np.arange(len(fps)))
     near = np.bitwise_count(fps ^ fps.T) <= 2
     assert all(label[i] == label[j] for i, j in zip(*np.nonzero(near), strict=True))
     assert len(set(label)) == 40
@@ -74,6 +82,37 @@ def test_near_groups(spark):
     assert sorted(r.doc_id for r in simhash.drop_near(df).collect()) == [1, 3, 4]
 
 
+def test_first_shingles_meet():
+    """Two sets alike by 0.8 share one of their first shingles in any order that holds for both."""
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 60)), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 2**63, int(rng.integers(0, 4)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if both and both >= 0.8 * (len(a) + len(b) - both):
+            reach = [simhash.reach_of(len(x), 0.8) for x in (a, b)]
+            firsts = [set(sorted(simhash.first_ones(x, r).tolist(), key=lambda h: (h % simhash.FIRST_CLASS != 0, h))[:r]) for x, r in zip((a, b), reach, strict=True)]
+            assert firsts[0] & firsts[1]
+
+
+def test_long_common_and_repeated(spark):
+    """A passage that all share links nobody; a group of near copies with edits at other places is one; long texts and repeated rows count whole."""
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    passage, base, long = words(60), words(200), words(60_000)
+    rows = [(k, [*passage, *words(120)]) for k in range(60)]
+    for k in range(60):
+        v = list(base)
+        v[int(rng.integers(200))] = f"e{k}"
+        rows.append((100 + k, v))
+    rows += [(300, long), (301, [*long[:-50], *words(50)]), (302, ["x"]), (302, ["x"]), (303, ["x", "X"]), (304, words(3))]
+    df = spark.createDataFrame([(d, " ".join(w), "k") for d, w in rows], "doc_id long, text string, key string")
+    for tile in (simhash.TILE, 7):
+        got = simhash.near_groups(df, tile=tile).collect()
+        assert len(got) == len(rows)
+        assert {r.doc_id: r.root for r in got} == {d: 100 if 100 <= d < 160 else 300 if d == 301 else d for d, _ in rows}
+
+
 def test_near_groups_are_exact(spark):
     rng = np.random.default_rng(4)
     rows = []
