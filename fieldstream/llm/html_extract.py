@@ -2,8 +2,11 @@
 
 First pass: in each page, containers gain the lengths of their paragraphs, and
 the best ones vote, by share, for their generalised tag-class path.  Votes are
-summed per host and path.  Second pass: a page is extracted again at its host's
-winning path; where a page has no text at that path, at its own best container.
+summed per host and path.  Second pass: a page is extracted again at the first of its host's
+winning paths that holds a fair share of what its own best container has; without one, at that container.
+
+Words of a class that mark comments, adverts and the like only make an element a suspect: one
+that holds most of the page's text together with its article or title stays and takes part in the vote.
 """
 
 from __future__ import annotations
@@ -14,7 +17,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldstream.llm.shared import in_parts, keep
@@ -22,7 +26,7 @@ from fieldstream.llm.shared import in_parts, keep
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template svg iframe math select object audio video canvas".split())
-GONE = frozenset("head nav footer aside form button dialog menu label".split()) | RAW
+GONE = frozenset("head nav footer aside button dialog menu label".split()) | RAW
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("article main section div td body".split())
 PARAGRAPHS = frozenset("p pre blockquote li dd h1 h2 h3 h4 h5 h6".split())
@@ -35,14 +39,22 @@ BOILERPLATE = frozenset(
     share sharing social related recommended recommendations sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies respond footer popup modal overlay
     login signup register search widget widgets pagination pager toolbar skip complementary contentinfo disclaimer masthead topbar""".split()
 )
+# Words beside them that speak of how a page looks, not of what an element holds.
+QUALIFIERS = frozenset("has no not with without free open closed enabled disabled".split())
+#: Elements that mark an article.
+MARKERS = frozenset("article main h1".split())
 SITE = frozenset("site page global top main logo brand".split())
 BONUS = {"article": 1.6, "main": 1.4, "body": 0.7}
-#: Elements below this depth have the path of the one at it.
+#: Below this depth a path is a hash of its parent's and the element's own step.
 DEEPEST = 40
-#: Containers of a page that vote.
-VOTERS = 3
-#: Parts that the rows of one host are dealt to.
-SALTS = 64
+#: Containers of a page that vote, and winning paths of a host that are tried.
+VOTERS, WINNERS = 3, 3
+#: The share of the own best container's text that the text at a host's path must have, as a page may lack what its host's others have.
+FAIR = 0.05
+#: Parts that the rows of a host with many pages are dealt to; the share of all pages that makes a host such a one, so there are at most 1,000.
+SALTS, MANY = 64, 0.001
+#: Bytes of all hosts and paths up to which they are broadcast; beyond, pages and paths are joined by host.
+BROADCAST_BYTES = 32 << 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>", re.DOTALL)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -51,41 +63,63 @@ NUMBER = re.compile(r"\d+")
 
 
 class Page:
-    """Elements in page order with parent, tag, path and end; text pieces in page order with their element."""
+    """Elements in page order with parent, tag, path, end and place of their text; text pieces in page order with their element."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.paths, self.ends, self.gone, self.links = ["#"], [0], [""], [0], [False], [False]
+        self.tags, self.parents, self.paths, self.ends = ["#"], [0], [""], [0]
+        self.first, self.last = [0], [0]  # pieces of the subtree
+        self.gone, self.suspect, self.links, self.depth = [False], [False], [False], [0]
+        self.holder, self.inside = [0], [False]  # the container that holds the element, and whether a paragraph lies between
         self.pieces: list[tuple[int, str]] = []
+        self._stack, self._open_at = [0], {}
         self._parse(source)
+        self._judge()
 
-    def _open(self, tag: str, attributes: str, stack: list[int]) -> None:
-        up = stack[-1]
+    def _open(self, tag: str, attributes: str) -> None:
+        stack = self._stack
+        up, k = stack[-1], len(self.tags)
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes.strip(" /") else {}
-        classes = sorted(NUMBER.sub("#", c.lower()) for c in found.get("class", "").split())
+        step = ".".join([tag, *sorted(NUMBER.sub("#", c.lower()) for c in found.get("class", "").split())])
         gone = self.gone[up] or tag in GONE or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        suspect = tag == "form"  # some sites wrap the whole page in one
         if not gone and found and tag not in ("html", "body"):
-            words = {w.lower() for k in ("class", "id", "role") for w in PART.findall(found.get(k, ""))}
-            gone = bool(words & BOILERPLATE)
+            for token in f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}".split():
+                words = {w.lower() for w in PART.findall(token)}
+                suspect = suspect or bool(words & BOILERPLATE) and not words & QUALIFIERS
         if tag == "header" and not gone:  # a site's; an article's own header has its title
             gone = self.tags[up] in ("#", "html", "body") or bool(SITE & {w.lower() for k in ("class", "id") for w in PART.findall(found.get(k, ""))})
-        k = len(self.tags)
         self.tags.append(tag)
         self.parents.append(up)
-        self.paths.append(self.paths[up] + ">" + ".".join([tag, *classes]) if len(stack) <= DEEPEST else self.paths[up])
-        self.ends.append(0)
+        deep = self.depth[up] + 1
+        self.depth.append(deep)
+        self.paths.append((self.paths[up] if deep <= DEEPEST else "~" + xxhash.xxh3_64_hexdigest(self.paths[up].encode("utf-8", "surrogatepass"))) + ">" + step)
+        self.ends.append(k + 1)
+        self.first.append(len(self.pieces))
+        self.last.append(len(self.pieces))
         self.gone.append(gone)
+        self.suspect.append(suspect)
         self.links.append(self.links[up] or tag == "a")
+        own = tag in CONTAINERS
+        self.holder.append(k if own else self.holder[up])
+        self.inside.append(not own and (self.inside[up] or tag in PARAGRAPHS))
         if tag not in VOID:
+            self._open_at.setdefault(tag, []).append(len(stack))
             stack.append(k)
-        else:
-            self.ends[k] = k + 1
 
-    def _close(self, stack: list[int], down_to: int) -> None:
+    def _close(self, down_to: int) -> None:
+        stack = self._stack
         while len(stack) > down_to:
-            self.ends[stack.pop()] = len(self.tags)
+            k = stack.pop()
+            self.ends[k], self.last[k] = len(self.tags), len(self.pieces)
+            if k:
+                self._open_at[self.tags[k]].pop()
+
+    def _highest(self, tags) -> int:
+        """Place on the stack of the innermost open element with one of these tags; 0 without one."""
+        return max((at[-1] for t in tags if (at := self._open_at.get(t))), default=0)
 
     def _parse(self, source: str) -> None:
-        stack, at, last = [0], 0, source.rfind(">")
+        stack, at, last = self._stack, 0, source.rfind(">")
         while at < len(source):
             m = TOKEN.search(source, at) if at <= last else None  # behind the last ">" nothing can be a tag
             text = source[at : m.start() if m else len(source)]
@@ -99,37 +133,44 @@ class Page:
             tag = m[2].lower()
             block = tag not in INLINE
             if m[1]:
-                places = [i for i, k in enumerate(stack) if self.tags[k] == tag]
-                if places:
+                if place := self._highest((tag,)):
                     if block:
                         self.pieces.append((stack[-1], "\n"))
-                    self._close(stack, places[-1])
+                    self._close(place)
                 continue
             if block:
                 self.pieces.append((stack[-1], "\n"))
-                self._end_implied(tag, stack)
-            self._open(tag, m[3], stack)
+                # a block ends an open paragraph; an item ends its sibling
+                enders = SAME.get(tag, set()) | ({CLOSED_BY_BLOCK} if tag not in VOID or tag == "hr" else set())
+                place = self._highest(enders)
+                if place and place >= self._highest(WALLS):
+                    self._close(place)
+            self._open(tag, m[3])
             if tag in RAW and not m[3].endswith("/"):  # what it holds isn't markup of the page
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
                 at = end.end() if end else len(source)
-                self._close(stack, len(stack) - 1)
-        self._close(stack, 0)
-
-    def _end_implied(self, tag: str, stack: list[int]) -> None:
-        """A block ends an open paragraph; an item ends its sibling."""
-        enders = SAME.get(tag, set()) | ({CLOSED_BY_BLOCK} if tag not in VOID or tag == "hr" else set())
-        for i in range(len(stack) - 1, 0, -1):
-            name = self.tags[stack[i]]
-            if name in enders:
-                self._close(stack, i)
-                return
-            if name in WALLS:
-                return
+                self._close(len(stack) - 1)
+        self._close(0)
+
+    def _judge(self) -> None:
+        """Suspects go, but for one that holds most of the page's text and its article or title, or nearly all of the text."""
+        if any(self.suspect):
+            weight, marks = [0], [0]
+            for e, t in self.pieces:
+                weight.append(weight[-1] + (0 if self.gone[e] or self.links[e] else len(t.strip())))
+            for tag, gone, suspect in zip(self.tags, self.gone, self.suspect, strict=True):
+                marks.append(marks[-1] + (tag in MARKERS and not gone and not suspect))
+            for k in range(1, len(self.tags)):
+                if self.suspect[k]:
+                    own = weight[self.last[k]] - weight[self.first[k]]
+                    marked = self.tags[k] in MARKERS or marks[self.ends[k]] > marks[k]
+                    self.suspect[k] = not (2 * own > weight[-1] and (marked or 10 * own >= 9 * weight[-1]))
+        for k in range(1, len(self.tags)):
+            self.gone[k] = self.gone[k] or self.suspect[k] or self.gone[self.parents[k]]
 
     def text(self, k: int) -> str:
         """Text of the subtree of element k without what is no part of an article."""
-        end = self.ends[k]
-        parts = [html.unescape(t) if "&" in t else t for e, t in self.pieces if k <= e < end and not self.gone[e]]
+        parts = [html.unescape(t) if "&" in t else t for e, t in self.pieces[self.first[k] : self.last[k]] if not self.gone[e]]
         return " ".join("".join(parts).split())
 
     def scores(self) -> dict[int, float]:
@@ -140,17 +181,13 @@ class Page:
             if not n or self.gone[e]:
                 continue
             n = -n if self.links[e] else n
-            inside = False
-            while e and self.tags[e] not in CONTAINERS:
-                inside |= self.tags[e] in PARAGRAPHS
-                e = self.parents[e]
-            share = 1.0 if inside else 0.3
+            share = 1.0 if self.inside[e] else 0.3
+            e = self.holder[e]
             for _ in range(3):
-                if e and self.tags[e] in CONTAINERS:
-                    weight[e] = weight.get(e, 0.0) + share * n
-                e, share = self.parents[e], share / 2
-                while e and self.tags[e] not in CONTAINERS:
-                    e = self.parents[e]
+                if not e:
+                    break
+                weight[e] = weight.get(e, 0.0) + share * n
+                e, share = self.holder[self.parents[e]], share / 2
         return {k: w * BONUS.get(self.tags[k], 1.0) for k, w in weight.items() if w > 0}
 
     def best(self) -> int:
@@ -167,8 +204,13 @@ class Page:
                 end = self.ends[k]
         return " ".join(filter(None, out))
 
-    def extract(self, path: str | None) -> str:
-        return (path and self.at_path(path)) or self.text(self.best())
+    def extract(self, paths: list[str] | None) -> str:
+        own = self.text(self.best())
+        for path in paths or ():
+            found = self.at_path(path)
+            if found and len(found) >= FAIR * len(own):
+                return found
+        return own
 
 
 def votes(source: str) -> list[tuple[str, float]]:
@@ -205,20 +247,35 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with the most votes of each host; ties go to the smaller path."""
+    """(host, paths): the path with the most votes of each host, and others with at least half as many; ties go to the smaller path."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).where("host is not null")
     tally = rows.mapInArrow(_vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return tally.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
+    most = F.max("votes").over(Window.partitionBy("host"))
+    top = tally.withColumn("n", rank).withColumn("most", most).where((F.col("n") <= WINNERS) & (2 * F.col("votes") >= F.col("most")))
+    return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda x: x.path).alias("paths"))
 
 
-def extract(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text ("" if none), n_chars.
 
-    A null html is empty.  A page without a host, or without text at its host's
-    path, gives the text of its own best container.  A host with many pages is dealt to
-    ``salts`` parts; the paths, one row per host, are repeated for them.
+    A null html is empty.  A page without a host, or without a fair share of text at its host's
+    paths, gives the text of its own best container.  Very long and very deep pages are read whole, in time that grows with their length.  Rows that repeat
+    give equal rows; an empty table gives no rows; other columns are not read.
+    The paths are broadcast if all of them, as counted, take ``broadcast_bytes`` at most, and pages are not shuffled.
+    Else pages meet their host's paths in a join that deals hosts with many pages to ``salts`` parts.
     """
-    paths = keep(host_paths(pages), "paths").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    paths = keep(host_paths(pages), "paths")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    return dealt.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    size = paths.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("paths", "")) + 100)).first()[0] or 0
+    if size <= broadcast_bytes:
+        joined = rows.join(F.broadcast(paths), "host", "left")
+    else:
+        per_host = keep(rows.groupBy("host").count(), "hosts")
+        every = per_host.agg(F.sum("count")).first()[0]
+        many = F.broadcast(per_host.where((F.col("count") >= MANY * every) & F.col("host").isNotNull()).select("host", F.lit(True).alias("many")))
+        salt = F.when(F.col("many") | F.col("host").isNull(), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts))).otherwise(0).cast("int")
+        dealt = rows.join(many, "host", "left").withColumn("salt", salt).withColumn("host", F.coalesce("host", F.lit("")))
+        spread = F.when(F.col("many"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        joined = dealt.join(paths.join(many, "host", "left").withColumn("salt", F.explode(spread)).select("host", "salt", "paths").hint("merge"), ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "paths").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

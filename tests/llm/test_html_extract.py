@@ -1,3 +1,6 @@
+import random
+import time
+
 from fieldstream.llm.html_extract import Page, extract, votes
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{margin:0}}</style><script>var t="</p><article>no</article>";</script></head>
@@ -14,7 +17,7 @@ def page(box="article", close="article", more=""):
 
 def test_one_page():
     assert Page(page()).extract(None) == WANT.format(more="")
-    assert Page(page()).extract("no>such") == WANT.format(more="")
+    assert Page(page()).extract(["no>such"]) == WANT.format(more="")
 
 
 def test_odd_markup():
@@ -40,6 +43,75 @@ def test_hosts_agree(spark):
     rows += [(10, "http://a.example/odd", odd), (11, "http://b.example/", odd), (12, None, page()), (13, "http://c.example", None), (14, "not a url", ""), (10, "http://a.example/odd", odd), (None, "http://a.example", page(*box))]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
     got = sorted(map(tuple, extract(df).collect()), key=str)
+    assert got == sorted(map(tuple, extract(df, broadcast_bytes=0, salts=3).collect()), key=str)
     text = {**{i: WANT.format(more=long) for i in range(6)}, 10: WANT.format(more=""), 11: ("other text " * 60).strip(), 12: WANT.format(more=""), 13: "", 14: "", None: WANT.format(more="")}
     assert got == sorted(((i, u, text[i], len(text[i])) for i, u, _ in rows), key=str)
     assert extract(df.limit(0)).count() == 0
+
+
+ARTICLE = "<h1>Title</h1>" + "".join(f"<p>Paragraph {k} of the story has several words in it.</p>" for k in range(8))
+STORY = "Title " + " ".join(f"Paragraph {k} of the story has several words in it." for k in range(8))
+
+
+def test_class_words_do_not_lose_an_article():
+    nav, comments = "<nav><a href='/'>Home</a></nav>", "<section id='comments'><article class='comment'><p>" + "A reader says much about this. " * 30 + "</p></article></section>"
+    for before, after in (
+        ('<article class="post comments-open">', "</article>"), ('<div class="has-sidebar"><article>', "</article></div>"), ('<main class="ad-free">', "</main>"), ('<div class="page sidebar-left"><div class="text">', "</div></div>"),
+        ('<form id="aspnetForm"><div>', "</div></form>"), ('<div class="widget-area"><main>', "</main></div>"), ('<article id="related">', "</article>"),
+    ):
+        assert Page(f"<body>{nav}{before}{ARTICLE}{after}<div class='ad'>Buy now</div><footer>f</footer></body>").extract(None) == STORY, before
+        assert Page(f"<body>{nav}{before}{ARTICLE}{comments}{after}<div class='sidebar'>Side</div></body>").extract(None) == STORY, before
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    deep = 50_000
+    began = time.perf_counter()
+    assert Page("<div>" * deep + "<p>" + "word " * 20).extract(None) == "word " * 19 + "word"
+    assert Page("<b>" * deep + "x" + "</b>" * deep).extract(None) == "x"
+    assert Page("<h2>" * deep + "x").extract(None) == "x"
+    assert Page("<body><div><b>x" * deep).extract(None)
+    assert Page("<i>" * deep + "</b>" * deep + "x").extract(None) == "x"
+    wide = Page("<div class='a'><p>text</p></div>" * deep)
+    assert wide.at_path(">div.a") == " ".join(["text"] * deep)
+    assert time.perf_counter() - began < 30
+
+
+def test_deep_paths_differ():
+    page = Page("<div>" * 60 + "<div class='a'><p>one</p></div><div class='b'><p>two</p></div>")
+    assert page.at_path(next(p for p in page.paths if p.endswith("div.a"))) == "one"
+    assert len(set(page.paths)) == len(page.paths)
+    assert max(map(len, page.paths)) < 1000
+
+
+def test_a_page_without_its_hosts_layout_keeps_its_article(spark):
+    common = "<body><div class='body'><p>" + "words of the story " * 40 + "</p></div></body>"
+    other = "<body><div class='body'><p>teaser</p></div><div class='gallery'><p>" + "a long caption of a picture " * 30 + "</p></div></body>"
+    rows = [(k, "http://a.example", common) for k in range(5)] + [(9, "http://a.example", other)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ("words of the story " * 40).strip() and got[9] == ("a long caption of a picture " * 30).strip()
+
+
+def made_page(rng, k):
+    """A page made from random parts, and the text of its article by the way that it was made."""
+    word = lambda: rng.choice(["alpha", "beta", "&amp;", "gamma&nbsp;", "d&#233;lta", "x&lt;y"])
+    plain = lambda w: {"&amp;": "&", "gamma&nbsp;": "gamma", "d&#233;lta": "d\u00e9lta", "x&lt;y": "x<y"}.get(w, w)
+    body, want = [], []
+    for _ in range(rng.randint(3, 9)):
+        words = [word() for _ in range(rng.randint(8, 40))]
+        inner = " ".join(rng.choice(["{}", "<b>{}</b>", "<a href='/x'>{}</a>" if rng.random() < 0.2 else "<i>{}</i>", "{}\n"]).format(w) for w in words)
+        tag = rng.choice(["p", "p", "p", "h2", "blockquote"])
+        body.append(f"<{tag}>{inner}</{tag}>" if tag != "p" or rng.random() < 0.7 else f"<p>{inner}")
+        want += map(plain, words)
+        if rng.random() < 0.4:
+            body.append(rng.choice(["<script>if (a < b) x('</p>');</script>", "<!-- no -->", "<form>Mail <input></form>", "<div class='share-buttons'>Share</div>", "<aside>Side note</aside>", "<style>p{}</style>"]))
+    tag, name = ("article", "story s%d" % k) if k % 2 else ("div", "content")
+    around = "<header><a href='/'>Site</a></header><nav><ul><li><a href='/a'>A</a></ul></nav>", "<div class='newsletter'><p>Subscribe now</p></div><footer><p>Imprint</p></footer>"
+    return f"<html><head><title>t</title></head><body>{around[0]}<{tag} class='{name}'>{''.join(body)}</{tag}>{around[1]}</body></html>", " ".join(want)
+
+
+def test_made_pages(spark):
+    rng = random.Random(12)
+    made = [made_page(rng, k) for k in range(200)]
+    rows = [(k, f"https://h{k % 2}.example/{k}", source) for k, (source, _) in enumerate(made)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(made)}
