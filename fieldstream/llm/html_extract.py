@@ -250,9 +250,14 @@ def host_paths(pages: DataFrame) -> DataFrame:
     """(host, paths): the path with the most votes of each host, and others with at least half as many; ties go to the smaller path."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).where("host is not null")
     tally = rows.mapInArrow(_vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))
-    most = F.max("votes").over(Window.partitionBy("host"))
-    top = tally.withColumn("n", rank).withColumn("most", most).where((F.col("n") <= WINNERS) & (2 * F.col("votes") >= F.col("most")))
+
+    def first_of(rows: DataFrame, *part: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*part).orderBy(F.desc("votes"), "path"))
+        return rows.withColumn("n", rank).where(F.col("n") <= WINNERS)
+
+    # a host may have as many paths as pages, so the first of each part come first
+    parts = first_of(tally.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(SALTS))), "host", "part")
+    top = first_of(parts, "host").withColumn("most", F.max("votes").over(Window.partitionBy("host"))).where(2 * F.col("votes") >= F.col("most"))
     return top.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "path"))), lambda x: x.path).alias("paths"))
 
 
