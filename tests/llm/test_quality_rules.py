@@ -1,9 +1,10 @@
+import random
 import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fieldstream.llm.quality_rules import judge, main_script, measure, repeated_words
+from fieldstream.llm.quality_rules import judge, keep_good, main_script, measure, repeated_words
 from fieldstream.llm.vocab import byte_bpe, pieces
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,3 +52,28 @@ def test_verdicts(spark):
     got = sorted(((r.doc_id, r.kept, r.base_failed) for r in measure(spark.createDataFrame(rows, "doc_id long, text string, kept string")).collect()), key=str)
     assert got == sorted([(1, True, False), (1, True, False), (2, False, True), (3, False, True), (4, False, True), (5, False, True), (6, False, False), (None, False, True)], key=str)
     assert measure(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def planted(kind, rng):
+    """A text that passes the base rules and breaks one band."""
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8)))
+    if kind == "fertility":  # dumps of keys and numbers
+        return " ".join("".join(rng.choice("QXZJVKW0123456789") for _ in range(24)) for _ in range(40))
+    if kind == "bytes":  # a damaged encoding: letters that no piece has
+        return " ".join(rng.choice(["because", "morning", "between", "question", "several", "together"]) + chr(rng.randint(0x1200, 0x1300)) * (k % 3 == 0) for k in range(150))
+    if kind == "entropy":  # few words in ever other order
+        own = [word() for _ in range(5)]
+        return " ".join(rng.choice(own) for _ in range(400))
+    return " ".join(rng.choice(["the", "of", "and", "to", "in", "house", "river", "people", "winter", "because", "morning", "between", "letter", "garden", "question", "several"]) + rng.choice(["", "", ",", "."]) + " " + word() for _ in range(120))
+
+
+def test_each_band_rejects(spark):
+    rng = random.Random(3)
+    kinds = ["fertility", "bytes", "entropy", None] * 25
+    rows = [(k, planted(kind, rng), "x", 1) for k, kind in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, reason string, kept int")
+    got = {r.doc_id: (r.reason, r.kept) for r in measure(df).collect()}
+    assert got == {k: (kind, kind is None) for k, kind in enumerate(kinds)}
+    stay = keep_good(df)
+    assert stay.columns == df.columns and {r.doc_id for r in stay.collect()} == {k for k, kind in enumerate(kinds) if kind is None}
+    assert keep_good(df.limit(0)).count() == 0
