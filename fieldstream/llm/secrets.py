@@ -31,9 +31,16 @@ KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "ssh")
 # A run is a candidate for decoding from this length on.
 LEAST_BLOB = 40
 BLOB = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+ANY_HEX = re.compile(r"[0-9A-Fa-f]{40,}")
+# lines of a wrapped base64 text, without a frame
+WRAPPED = re.compile(r"^[ \t]*[A-Za-z0-9+/]{40,128}(?:\r?\n[ \t]*[A-Za-z0-9+/]{1,128}={0,2}(?![A-Za-z0-9+/=]))+", re.MULTILINE)
 # possessive, and only from the start of a run: linear in a long run without dots
-DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]{8,}+")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|CERTIFICATE|PUBLIC KEY))-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
+# in a string of a program, line ends are written as a backslash and a letter
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|CERTIFICATE|PUBLIC KEY))-----((?:\s|\\[rn])*+(?:[A-Za-z-]++: [^\n\\]*+(?:\s|\\[rn])++)*+)((?:[A-Za-z0-9+/=\s]|\\[rn])*+)-----END \1-----")
+# what a key file of the older form says of its encryption
+LOCKED = re.compile(r"Proc-Type: 4,ENCRYPTED(?:\s|\\[rn])+DEK-Info: [A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})(?![0-9A-Fa-f])")
+LINE_END = re.compile(r"\s|\\[rn]")
 SSH_KINDS = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-")
 OPENSSH = b"openssh-key-v1\0"
 SIGNING = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EDDSA"}
@@ -89,11 +96,15 @@ def _outer_ends(data: bytes) -> bool:
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields to the end, the first one a key type; or the frame of a private key file."""
+    """Length-prefixed fields to the end, the first one a key type; or the frame of a private key file, whose public keys and private part end with it."""
     if data.startswith(OPENSSH):
-        data = data[len(OPENSSH) :]
-        fields = _ssh_fields(data, 3)
-        return fields is not None
+        head = _ssh_fields(data[len(OPENSSH) :], 3)  # cipher, derivation of the key, its options
+        if head is None:
+            return False
+        at = len(OPENSSH) + sum(4 + len(x) for x in head)
+        n = int.from_bytes(data[at : at + 4], "big")
+        rest = _ssh_fields(data[at + 4 :], None)
+        return rest is not None and 1 <= n <= 64 and len(rest) == n + 1 and rest[0][4:].startswith(SSH_KINDS)
     fields = _ssh_fields(data, None)
     return bool(fields) and len(fields) >= 2 and fields[0].startswith(SSH_KINDS)
 
@@ -112,14 +123,42 @@ def _ssh_fields(data: bytes, most: int | None) -> list[bytes] | None:
     return out if most is None or len(out) == most else None
 
 
-def is_signed_token(run: str) -> bool:
-    """header.payload.signature: JSON objects in both, a known signing algorithm in the header."""
-    head, body, _ = run.split(".")
+def _json_object(part: str) -> dict | None:
+    data = unbase64(part) if len(part) >= 4 else None
+    if not data or data.lstrip()[:1] != b"{":
+        return None
     try:
-        header, claims = (json.loads(unbase64(x) or b"") for x in (head, body))
+        found = json.loads(data)
     except (ValueError, RecursionError):
-        return False
-    return isinstance(header, dict) and isinstance(claims, dict) and str(header.get("alg", "")).upper() in SIGNING
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def signed_tokens(run: str) -> Iterator[tuple[int, int]]:
+    """Places in a dotted run of header.payload.signature: JSON objects in the first two, a known signing algorithm in the header."""
+    parts, at = run.split("."), 0
+    objects = [_json_object(p) for p in parts]
+    for k, part in enumerate(parts[:-2]):
+        header = objects[k]
+        if header is not None and objects[k + 1] is not None and len(parts[k + 2]) >= 8 and str(header.get("alg", "")).upper() in SIGNING:
+            yield at, at + len(part) + len(parts[k + 1]) + len(parts[k + 2]) + 2
+        at += len(part) + 1
+
+
+def unframed(text: str) -> Iterator[tuple[int, int, bytes | None]]:
+    """(start, end, bytes) of base64 texts wrapped in lines of one length, the last one shorter perhaps."""
+    for m in WRAPPED.finditer(text):
+        lines, at, width, own = m[0].splitlines(keepends=True), m.start(), None, []
+        for line in lines:
+            body = line.strip()
+            width = width or len(body)
+            if len(body) <= width:
+                own.append((at + line.index(body), at + line.index(body) + len(body), body))
+            if len(body) != width:
+                break
+            at += len(line)
+        if len(own) > 1:
+            yield own[0][0], own[-1][1], unbase64("".join(b for _, _, b in own))
 
 
 def confirmed(data: bytes | None) -> str | None:
@@ -139,19 +178,27 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     hexes = [m.span() for m in HEX.finditer(text)]
     base += [(s, 2, e) for s, e in hexes]
     more = []
-    for s, e in hexes:
-        if (e - s) % 2 == 0 and e - s >= LEAST_BLOB and (kind := confirmed(bytes.fromhex(text[s:e]))):
+    for m in ANY_HEX.finditer(text):
+        s, e = m.span()
+        if (e - s) % 2 == 0 and (kind := confirmed(bytes.fromhex(m[0]))):
             more.append((s, KINDS.index(kind), e))
+    framed = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = unbase64("".join(m[2].split()))
-            if data and (data.startswith(OPENSSH) or confirmed(data) or "ENCRYPTED" in m[1]):
+            data, locked = unbase64(LINE_END.sub("", m[3])), LOCKED.search(m[2])
+            if confirmed(data) or (locked and data and len(data) % (len(locked[1]) // 2) == 0):
+                framed.append(m.span())
                 more.append((m.start(), 3, m.end()))
-    if "eyJ" in text:  # how base64 writes the start of a JSON object
-        more += [(m.start(), 4, m.end()) for m in DOTTED.finditer(text) if is_signed_token(m[0])]
-    for m in BLOB.finditer(text):
+    for m in DOTTED.finditer(text):
+        more += [(m.start() + s, 4, m.start() + e) for s, e in signed_tokens(m[0])]
+    blobs = list(BLOB.finditer(text))
+    for m in blobs:
         if kind := confirmed(unbase64(m[0])):
             more.append((m.start(), KINDS.index(kind), m.end()))
+    if blobs:
+        for s, e, data in unframed(text):
+            if (kind := confirmed(data)) and not any(a < e and s < b for a, b in framed):
+                more.append((s, KINDS.index(kind), e))
     return sorted(base), sorted(set(more))
 
 
@@ -173,6 +220,7 @@ def secrets(docs: DataFrame) -> DataFrame:
     """doc_id and found: array of (start, end, kind, base) by start, then kind.
 
     ``base`` marks the three base patterns; the others are confirmed by structure.
-    A null or empty text has none.  Each row is scanned on its own: equal rows give equal rows.
+    A null or empty text has none; a very long one is scanned whole, in time that grows with its length.  Each row is scanned on its own: equal rows give
+    equal rows, a null doc_id stays null, an empty table gives no rows.  Other columns are not read.
     """
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_run, "doc_id long, found array<struct<start: int, end: int, kind: string, base: boolean>>")

@@ -1,5 +1,9 @@
 import base64
 import json
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from fieldstream.llm.secrets import KINDS, der_items, is_ssh_key, scan, secrets
 
@@ -47,6 +51,49 @@ def test_structure():
     assert "pem" in kinds(pem)[1]
 
 
+def pem(label, data, wrap="\n", head=""):
+    return f"-----BEGIN {label}-----{wrap}{head}{base64.encodebytes(data).decode().replace(chr(10), wrap)}-----END {label}-----"
+
+
+def test_pem_is_parsed_before_it_is_reported():
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    openssh = b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + (1).to_bytes(4, "big") + string(SSH) + string(b"p" * 64)
+    assert kinds(pem("OPENSSH PRIVATE KEY", openssh))[1] == ["pem"] and kinds(pem("OPENSSH PRIVATE KEY", openssh[:-9]))[1] == []
+    assert kinds(pem("OPENSSH PRIVATE KEY", b"openssh-key-v1\0" + bytes(range(200))))[1] == []
+    assert kinds(pem("ENCRYPTED PRIVATE KEY", KEY))[1] == ["pem"] and kinds(pem("ENCRYPTED PRIVATE KEY", bytes(range(200))))[1] == []
+    assert kinds("key = '" + pem("RSA PRIVATE KEY", KEY, "\\n") + "'")[1] == ["pem"]
+    locked = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + "0A" * 16 + "\n\n"
+    assert kinds(pem("RSA PRIVATE KEY", bytes(range(192)), head=locked))[1] == ["pem"]
+    assert kinds(pem("RSA PRIVATE KEY", bytes(range(191)), head=locked))[1] == [] == kinds(pem("RSA PRIVATE KEY", bytes(range(192)), head="Proc-Type: 4,CLEAR\n"))[1]
+
+
+def test_more_candidates():
+    assert kinds("key " + SSH.hex().upper() + " x") == ([], ["ssh"])
+    wrapped = base64.encodebytes(KEY).decode()
+    assert kinds("see\n" + wrapped + "more words\n")[1] == ["der"] and kinds("  " + wrapped.replace("\n", "\r\n  "))[1] == ["der"]
+    assert kinds("see\n" + base64.encodebytes(bytes(range(200))).decode())[1] == []
+    spaced = ".".join([base64.urlsafe_b64encode(b' { "alg" : "ES256" }').decode().rstrip("="), base64.urlsafe_b64encode(b'{"a":1}').decode().rstrip("="), "c2lnbmF0dXJl"])
+    for before in ("", "www-example-com.", "a.b.", ".."):
+        assert kinds(f"go {before}{spaced} end") == ([], ["jwt"]), before
+        start = 3 + len(before)
+        assert scan(f"go {before}{spaced} end")[1] == [(start, 4, start + len(spaced))]
+    for odd in ("a." * 100_000, "A" * 300_000, ("B" * 64 + "\n") * 4000, "-----BEGIN RSA PRIVATE KEY-----" * 2000, "x-" * 100_000, "0f" * 200_000, "token=" * 20_000):
+        scan(odd)
+
+
+PLAIN = (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PassWD", "api_key", "apikey", "token", "secret", '"', "'", " ", ":", "=", "abc", "123456", "AKIA", "Z" * 16, "0f" * 11, "0", "é", "-", "\n"]), max_size=40))
+def test_base_equals_plain_patterns(parts):
+    text = "".join(parts)
+    want = [(m.start(), 0, m.end()) for m in PLAIN[0].finditer(text) if len(m[2]) >= 6]
+    want += [(m.start(), 1, m.end()) for m in PLAIN[1].finditer(text) if len(m[0]) >= 20]
+    want += [(m.start(), 2, m.end()) for m in PLAIN[2].finditer(text) if len(m[0]) >= 24]
+    assert scan(text)[0] == sorted(want)
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "é token=abcdef", 1), (2, None, 1), (3, "", 1), (1, "é token=abcdef", 1), (None, "a" * 200_000, 2)], "doc_id long, text string, found int")
     got = sorted(((r.doc_id, [tuple(x) for x in r.found]) for r in secrets(df).collect()), key=str)
