@@ -57,6 +57,7 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_bytes"),
+        F.sha2(F.concat_ws("|", *(F.array_join(F.col(c).cast("array<string>"), " ") for c in ("begins", "ends"))), 256).alias("spans_sha256"),
     )
 
 
