@@ -54,6 +54,8 @@ CUES |= {"phone_local": CUES["phone"], "email_spoken": CUES["email"]}
 AGAINST = r"(?i)\b(?:version|release|isbn|issn|order|item|section|chapter|figure|sku|ref|serial)\b"
 #: Code points before a span that the context labeler reads.
 CONTEXT = 40
+#: Kinds whose check many other texts of the form fail; for the rest, passing it says nothing, and the labeler abstains.
+CHECKED = ("ip", "card", "phone", "iban")
 LABELERS = ("rule", "gazetteer", "context", "shape")
 ROUNDS, STEPS, RATE = 25, 200, 1.0
 
@@ -195,7 +197,7 @@ def candidates(text: Column) -> Column:
             before = x.before
             ok = holds(kind, x.value)
             votes = F.array(
-                F.when(ok, 1).otherwise(-1), listed(kind, x.value), F.when(before.rlike(CUES[kind]), 1).when(before.rlike(AGAINST), -1).otherwise(0), shaped(kind, x.value)
+                F.when(ok, int(kind in CHECKED)).otherwise(-1), listed(kind, x.value), F.when(before.rlike(CUES[kind]), 1).when(before.rlike(AGAINST), -1).otherwise(0), shaped(kind, x.value)
             )
             bare = ~before.rlike("[A-Za-z0-9]$") & ~x.after.rlike("[A-Za-z0-9]")
             return F.struct(F.lit(kind).alias("kind"), x.start.alias("start"), x.end.alias("end"), (ok if kind in BASE else F.lit(False)).alias("base"), votes.alias("votes"), bare.alias("bare"))
@@ -232,8 +234,9 @@ def train(marks: DataFrame, rounds: int = ROUNDS, steps: int = STEPS) -> Weights
     """
     patterns = marks.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes", "x.bare").agg(F.count("*").cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("kind", "votes", "bare", "n"))).alias("p"))
-    # at first, the share of the votes that speak for a span
-    start = F.transform("p", lambda x: 0.1 + 0.8 * (F.aggregate(x.votes, F.lit(0), lambda a, v: a + v) + len(LABELERS)) / (2.0 * len(LABELERS)))
+    # at first, the share of the votes that speak for a span; little for one that fails its check
+    share = lambda x: (F.aggregate(x.votes, F.lit(0), lambda a, v: a + v) + len(LABELERS)) / (2.0 * len(LABELERS))
+    start = F.transform("p", lambda x: F.when(F.get(x.votes, F.lit(0)) < 0, 0.1).otherwise(0.1 + 0.8 * share(x)))
 
     def mass(q: Column, weigh) -> Column:
         return _total(F.zip_with("p", q, weigh))

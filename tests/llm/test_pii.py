@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -74,3 +76,50 @@ def test_redact(spark, people):
     odd = spark.createDataFrame([(1, None, 0), (2, "é😀 +1 (249) 555-1332 x", 99), (2, "é😀 +1 (249) 555-1332 x", 99), (None, "", 0)], "doc_id long, text string, n_chars long")
     assert sorted(map(tuple, pii.redact(odd).collect()), key=str) == sorted([(1, None, None), (2, "é😀 [PHONE] x", 12), (2, "é😀 [PHONE] x", 12), (None, "", 0)], key=str)
     assert pii.detect(odd.limit(0)).count() == 0
+
+
+def iban(rng, good=True):
+    account = "".join(rng.choice("0123456789") for _ in range(18))
+    check = 98 - int(account + "131400") % 97  # DE counts as 1314
+    return f"DE{check if good else check % 97 + 1:02d}{account}"
+
+
+def planted(rng, k):
+    """A text with one further span and its kind, or with a decoy of the same form and None."""
+    filler = " ".join(rng.choice(["river", "market", "window", "letter", "green", "slowly", "walked", "under"]) for _ in range(12))
+    local = f"({rng.randint(201, 989)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    kind, text = [
+        ("phone_local", f"please call {local}"), ("phone_local", f"phone: {local.replace('(', '').replace(') ', '-')}"), ("email_spoken", f"write mail to anna{k} (at) example (dot) org"), ("iban", f"bank account {iban(rng)}"),
+        ("ssn", f"social security {rng.randint(101, 665)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"),
+        (None, f"order serial {rng.randint(100, 199)} {rng.randint(100, 199)}.{rng.randint(1000, 9999)}"), (None, f"section ref {iban(rng, False)}"), (None, f"order ref 000-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"), (None, f"version {rng.randint(100, 199)}-{rng.randint(100, 199)}.{rng.randint(1000, 9999)}"),
+    ][k % 9]
+    return f"{filler} {text} {filler}", kind
+
+
+def test_planted_spans(spark):
+    rng = random.Random(21)
+    made = [planted(rng, k) for k in range(450)]
+    found = {r.doc_id: [x.kind for x in r.found] for r in pii.detect(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(made)], "doc_id long, text string")).collect()}
+    hits = sum(kind in found[k] for k, (_, kind) in enumerate(made) if kind)
+    wanted, reported = sum(kind is not None for _, kind in made), sum(map(len, found.values()))
+    assert hits >= 0.95 * wanted and hits >= 0.95 * reported
+
+
+def test_plans_have_no_python(spark, people, capsys):
+    for df in (pii.detect(people), pii.redact(people)):
+        plan = df._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow|MapIn|SerializeFromObject|ExistingRDD", plan.replace("LogicalRDD", ""))
+
+
+def test_dense_text(spark):
+    """Ten thousand numbers in one text, among mails: one pass each."""
+    text = " tel ".join(f"(249) 555-{k % 9000 + 1000}" if k % 2 else f"a{k}@b.com" for k in range(20_000))
+    began = time.perf_counter()
+    (row,) = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.text == " tel ".join("[PHONE_LOCAL]" if k % 2 else "[EMAIL]" for k in range(20_000))
+    assert time.perf_counter() - began < 60
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "mail a@b.com now", "x", 2, "y")], "doc_id long, text string, found string, start int, kind string")
+    assert [tuple(r) for r in pii.redact(df).collect()] == [(1, "mail [EMAIL] now", "x", 2, "y")]
