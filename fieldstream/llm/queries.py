@@ -69,6 +69,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def rules_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quality rules count, without the verdict of the bands."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secrets_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_secrets(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in secrets.KINDS[:3]))
+
+
+def pii_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.BASE))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports the operators beside this module
 
@@ -76,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_pii, op4_exact_dedup, op5_quality_mil, op6_html_extract, op7_quality_rules, op8_sentence_pieces, op9_toxicity, op10_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_secrets, op3_pii, op4_exact_dedup, op5_quality_mil, op6_html_extract, op7_quality_rules, op8_sentence_pieces, op9_toxicity, op10_simhash, pipeline, rules_base_counts, secrets_base_counts, pii_base_counts)}
 
 
 OP4_SQL = r"""
@@ -87,5 +100,42 @@ from t
 """
 
 
+
+RULES_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as s from documents),
+w as (select doc_id, s, regexp_extract_all(s, '[^\x20\x09-\x0D]+') as words, list_filter(string_split(s, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+windows as (select doc_id, unnest(range(len(words) - 7)) as i, words from w where len(words) > 8),
+texts as (select doc_id, i, array_to_string(words[i + 1 : i + 8], ' ') as part from windows),
+twice as (select doc_id, i from texts qualify count(*) over (partition by doc_id, part) > 1),
+covered as (select doc_id, count(distinct i + k) as n from twice, (select unnest(range(8)) as k) group by doc_id),
+counts as (select w.doc_id, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+    (length(s) - length(regexp_replace(s, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words from w left join covered using (doc_id))
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counts
+"""
+
+
+def either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+ASSIGN_NAMES = "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key")))
+SECRETS_SQL = f"""
+with t as (select doc_id, coalesce(text, '') as s from documents)
+select doc_id, len(list_filter(regexp_extract_all(s, '({ASSIGN_NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6))::bigint as n_assign,
+  len(list_filter(regexp_extract_all(s, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::bigint as n_access, len(list_filter(regexp_extract_all(s, '[0-9a-f]+'), lambda x: length(x) >= 24))::bigint as n_hex
+from t
+"""
+PII_SQL = r"""
+with t as (select doc_id, coalesce(text, '') as s from documents),
+found as (select doc_id, regexp_extract_all(s, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') as email, regexp_extract_all(s, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') as ip,
+    list_transform(regexp_extract_all(s, '[0-9]([\x20-]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) as card, list_transform(regexp_extract_all(s, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) as phone from t),
+sized as (select doc_id, email, phone, list_filter(card, lambda x: length(x) between 13 and 19) as card, list_transform(ip, lambda x: list_transform(string_split(x, '.'), lambda p: ltrim(p, '0'))) as ip from found)
+select doc_id, len(email)::bigint as n_email, len(list_filter(ip, lambda x: len(list_filter(x, lambda p: length(p) > 3 or coalesce(try_cast(nullif(p, '') as int), 0) > 255)) = 0))::bigint as n_ip,
+  len(list_filter(card, lambda x: list_sum(list_transform(range(length(x)), lambda i: case when i % 2 = 0 then x[i + 1]::int when x[i + 1]::int > 4 then 2 * x[i + 1]::int - 9 else 2 * x[i + 1]::int end)) % 10 = 0))::bigint as n_card,
+  len(list_filter(phone, lambda x: length(x) between 9 and 15))::bigint as n_phone
+from sized
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "rules_base_counts": RULES_SQL, "secrets_base_counts": SECRETS_SQL, "pii_base_counts": PII_SQL}

@@ -53,3 +53,18 @@ def test_held_out_accuracy(spark):
     none = classify(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert {r.score for r in none} == {0.5}
     assert classify(docs.limit(0), spark.createDataFrame(labels, "doc_id long, quality int")).count() == 0
+
+
+def test_scores_equal_a_plain_reading():
+    """Gated attention over the passages of one text, passage by passage."""
+    model, texts = Model(), ["", "one", "Word, " * 250, " ".join(f"w{k % 37}" for k in range(1000)), "x" * 100_000]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p, want = model.p, []
+    for t in texts:
+        h = [np.tanh(x @ p["W"] + p["c"]) for x in passages(t)]
+        a = np.exp([p["w"] @ (np.tanh(x @ p["V"]) * sigmoid(x @ p["U"])) for x in h])
+        z = sum(w * x for w, x in zip(a / a.sum(), h, strict=True))
+        want.append(sigmoid(z @ p["o"] + p["d"][0]))
+    assert np.allclose(model.scores([passages(t) for t in texts]), want, atol=1e-5)
+    again = model.scores([passages(t) for t in texts * 2])
+    assert np.allclose(again[: len(texts)], again[len(texts) :], atol=1e-6)
