@@ -6,7 +6,7 @@ is compared completely with numpy's exclusive-or and bit counts.
 
 * ``fingerprints``: 64 bits, radius r.  Keys: r + 1 blocks of bits.  Two
   fingerprints within r differ in at most r blocks, so they share one.
-* ``near_groups``: 512 bits find candidates for a wanted Jaccard similarity.  Keys: shingles.  Of two sets alike
+* ``near_groups``: 256 bits find candidates for a wanted Jaccard similarity.  Keys: shingles.  Of two sets alike
   by 0.8, the first fifths (and one more) in any common order of shingles share one, so each set is dealt to these; the order
   puts rare shingles first, so passages that many documents share bring nobody together, and a document with enough shingles of its own
   is dealt to none.  Tiles are in order of size.  Then the candidates of a component are compared again, and linked by the exact Jaccard of their shingle sets.
@@ -34,13 +34,13 @@ from fieldstream.llm.shared import in_parts, keep, texts_of
 TILE, BLOCK = 4096, 512
 SEED = 42
 #: Lanes of the wide fingerprint: odd multipliers by the golden-ratio step of splitmix64.
-LANES = 8
+LANES = 4
 STEP, ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
-#: Candidates at a Jaccard of 0.8: bits of all lanes, and of the first ones, that may differ.  A bit differs with a chance of 0.152 for large
-#: sets and 0.188 at most (4 of 5 shingles shared), so a pair exceeds either with a chance under 1e-11.
-RADIUS, FIRST_LANES, FIRST_BITS = 160, 3, 80
+#: Candidates at a Jaccard of 0.8: bits that may differ.  A bit differs with a chance of 0.152 for large
+#: sets and 0.188 at most (4 of 5 shingles shared), so a pair exceeds the radius with a chance under 1e-11.
+RADIUS = 94
 #: One in so many shingles, by hash, comes before all others in the order and is counted.
-FIRST_CLASS = 3
+FIRST_CLASS = 4
 #: Keys of a document that candidates are sought by first.
 FIRST_KEYS = 2
 
@@ -143,7 +143,6 @@ def _link(fps: np.ndarray, other: np.ndarray | None, radius: int, vids: np.ndarr
     """
     n = len(fps)
     rows = fps if other is None else np.concatenate([fps, other])
-    wide = rows.shape[1] > 1
     by = np.bitwise_count(rows).sum(1, dtype=np.int64) if sizes is None else sizes
     far = (lambda low, high: high - low > radius) if sizes is None else (lambda low, high: low < similarity * high)
     left = np.argsort(by[:n], kind="stable")
@@ -154,22 +153,21 @@ def _link(fps: np.ndarray, other: np.ndarray | None, radius: int, vids: np.ndarr
         ranks = np.unique(np.concatenate(sets), return_inverse=True)[1]
         flag = np.zeros(len(ranks), bool)
         sets = np.split(ranks, np.cumsum([len(h) for h in sets])[:-1])
-    lanes, most = (FIRST_LANES, FIRST_BITS) if wide else (1, radius)
 
     def compare(a: np.ndarray, b: np.ndarray) -> None:
         nonlocal label
         bits = np.bitwise_count(rows[a, None, 0] ^ rows[None, b, 0])
-        for lane in range(1, lanes):
+        if rows.shape[1] > 1:
+            bits = bits.astype(np.uint16)
+        for lane in range(1, rows.shape[1]):
             bits += np.bitwise_count(rows[a, None, lane] ^ rows[None, b, lane])
-        x, y = np.nonzero(bits <= most)
+        x, y = np.nonzero(bits <= radius)
         x, y = a[x], b[y]
         apart = label[x] != label[y]
         x, y = x[apart], y[apart]
-        if wide and len(x):
+        if sizes is not None:
             near = ~far(np.minimum(by[x], by[y]), np.maximum(by[x], by[y]))
             x, y = x[near], y[near]
-            near = np.bitwise_count(rows[x] ^ rows[y]).sum(1, dtype=np.int64) <= radius
-            x, y = x[near], y[near]
         if sets is not None:
             if len(x):
                 _link_alike(label, x, y, sets, flag, similarity)
@@ -287,25 +285,26 @@ def fingerprints(docs: DataFrame, words: int = 3, radius: int = 2, tile: int = T
     return marks.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _dealt(vertices: DataFrame, similarity: float) -> DataFrame:
-    """own, vid, size, fp and keys of the vertices that have any: the first shingles of each, rare ones first, which others have too."""
-    each = vertices.select("own", F.explode("hashes").alias("key"))
+def _dealt(marks: DataFrame, vertices: DataFrame, similarity: float) -> DataFrame:
+    """own, vid, size, fp and keys of the vertices that have any: the first shingles of each, rare ones first, which other rows have too."""
+    each = marks.select("own", F.explode("hashes").alias("key"))
     known = each.groupBy("key").count().where("count > 1")
     shared = each.join(known, "key").groupBy("own").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("shared"))
     reach = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
     # those that nobody else has come first in the order and take up places
-    alone = F.size("hashes") - F.size("shared")
+    alone = F.col("n") - F.size("shared")
     keys = F.transform(F.slice("shared", 1, F.greatest(reach - alone, F.lit(0)).cast("int")), lambda x: x.key)
-    return vertices.join(shared, "own").select("own", "vid", "size", "fp", keys.alias("keys")).where(F.size("keys") > 0)
+    named = marks.select("own", "size", "fp", "n").join(vertices.select("own", "vid"), "own")
+    return named.join(shared, "own").select("own", "vid", "size", "fp", keys.alias("keys")).where(F.size("keys") > 0)
 
 
-def _candidates(vertices: DataFrame, similarity: float, tile: int) -> DataFrame:
+def _candidates(marks: DataFrame, vertices: DataFrame, similarity: float, tile: int) -> DataFrame:
     """(id, root): components of vertices whose fingerprints are near.
 
     A group of copies shares many keys.  So a few keys of each document come first, and then only the
     keys that still hold more than one component, with components for vertices: no link is lost, and few pairs are compared twice.
     """
-    dealt = keep(_dealt(vertices, similarity), "dealt")
+    dealt = keep(_dealt(marks, vertices, similarity), "dealt")
     few = dealt.select(F.explode(F.slice(F.sort_array("keys"), 1, FIRST_KEYS)).alias("key"), "size", "fp", "vid", "own")
     first = keep(components(_edges(few, RADIUS, LANES, tile, similarity)), "roots")
     rooted = dealt.join(first.withColumnRenamed("id", "vid"), "vid", "left").select("own", "size", "fp", "keys", F.coalesce("root", "vid").alias("root"))
@@ -327,11 +326,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile:
     """
     if similarity < 0.8:
         raise ValueError("the radius of the candidates holds for similarities of 0.8 or more")
-    marks = keep(texts_of(docs).mapInArrow(_wide(words, similarity), "doc_id long, size long, fp binary, sig binary, hashes array<long>"), "fp")
-    firsts = (F.first(c).alias(c) for c in ("size", "fp", "hashes"))
-    vertices = marks.groupBy("sig").agg(F.min("doc_id").alias("vid"), *firsts).where("vid is not null")
-    vertices = keep(vertices.withColumn("own", F.monotonically_increasing_id()), "vertices")  # once written, the numbers are settled
-    maybe = keep(_candidates(vertices, similarity, tile), "maybe")
+    marks = texts_of(docs).mapInArrow(_wide(words, similarity), "doc_id long, size long, fp binary, sig binary, hashes array<long>")
+    marks = keep(marks.select("*", F.size("hashes").alias("n"), F.monotonically_increasing_id().alias("own")), "fp")  # once written, the numbers are settled
+    # one row stands for all that have one set, under their smallest doc_id
+    vertices = keep(marks.where("doc_id is not null").groupBy("sig").agg(F.min("own").alias("own"), F.min("doc_id").alias("vid")), "vertices")
+    maybe = keep(_candidates(marks, vertices, similarity, tile), "maybe")
     held = docs.join(maybe.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     sets = texts_of(held).mapInArrow(_wide(words), "vid long, size long, fp binary, sig binary, hashes binary")
     sets = sets.groupBy("vid", "sig").agg(*(F.first(c).alias(c) for c in ("size", "fp", "hashes")))
