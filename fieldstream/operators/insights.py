@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_WINDOWS, MOST_HOTSPOTS, BINS, NEWEST = 5000, 100, 60, 5000
@@ -78,16 +78,16 @@ def hotspots(archive: DataFrame, limit: int = 10) -> DataFrame:
 
 def share_of_peak(rows: DataFrame, column: str) -> DataFrame:
     """Adds share: the value against the highest one (1 at least), and never under 0.03; for a short ranked list."""
-    peak = rows.agg(F.greatest(F.lit(1.0), F.coalesce(F.max(column), F.lit(1.0))).alias("__peak"))
-    return rows.crossJoin(F.broadcast(peak)).withColumn("share", F.greatest(F.lit(0.03), F.col(column) / F.col("__peak"))).drop("__peak")
+    peak = F.greatest(F.lit(1.0), F.coalesce(F.max(column).over(Window.partitionBy()), F.lit(1.0)))
+    return rows.withColumn("share", F.greatest(F.lit(0.03), F.col(column) / peak))
 
 
 def density(events: DataFrame, time: str = "captured_at", order: str = "seq", newest: int = NEWEST, bins: int = BINS) -> DataFrame:
     """(bin, count) over the times of the newest events: equal bins from the first to the last time, which falls into the last bin; empty ones count 0."""
     recent = events.where(F.col(time).isNotNull()).orderBy(F.desc(order), F.desc(time)).limit(newest).select(F.unix_millis(time).alias("t"))
-    ends = recent.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    span = F.greatest(F.col("hi") - F.col("lo"), F.lit(1))
-    placed = recent.crossJoin(F.broadcast(ends)).select(F.least(F.expr(f"(t - lo) * {bins} div greatest(hi - lo, 1)"), F.lit(bins - 1)).cast("int").alias("bin"), span.alias("s"))
+    every_row = Window.partitionBy()  # at most ``newest`` rows
+    held = recent.select("t", F.min("t").over(every_row).alias("lo"), F.max("t").over(every_row).alias("hi"))
+    placed = held.select(F.least(F.expr(f"(t - lo) * {bins} div greatest(hi - lo, 1)"), F.lit(bins - 1)).cast("int").alias("bin"))
     counts = placed.groupBy("bin").count()
     every = events.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return every.join(counts, "bin", "left").select("bin", F.coalesce("count", F.lit(0).cast("long")).alias("count"))
@@ -96,3 +96,9 @@ def density(events: DataFrame, time: str = "captured_at", order: str = "seq", ne
 def observed(df: DataFrame, name: str, sensor_time: str = "captured_at") -> DataFrame:
     """``df`` with metrics that a listener can read: rows, rows without a count, and the last event time."""
     return df.observe(name, F.count("*").alias("rows"), F.count_if(F.col("cpm").isNull()).alias("without_value"), F.max(sensor_time).alias("last_event"))
+
+
+def observed_messages(messages: DataFrame, name: str, value: str = "value") -> DataFrame:
+    """Messages with metrics: how many came, their bytes, and how many are no JSON objects."""
+    malformed = ~F.coalesce(F.try_parse_json(value).isNotNull() & F.trim(value).startswith("{"), F.lit(False))
+    return messages.observe(name, F.count("*").alias("consumed"), F.coalesce(F.sum(F.octet_length(value)), F.lit(0)).alias("bytes"), F.count_if(malformed).alias("malformed"))

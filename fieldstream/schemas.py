@@ -33,3 +33,5 @@ ARCHIVE = _of(
     geohash=S, precision=I, window_start=TS, window_end=TS, count=L, cpm_avg=D, cpm_max=D, cpm_min=D, safe_count=L, warn_count=L, danger_count=L, worst_classification=S,
     centroid_latitude=D, centroid_longitude=D, rolling_cpm_avg=D, cpm_zscore=D, anomaly=B,
 )
+#: Columns of a log of configurations.
+LOG = {"version": L, "effective_at": TS, "warn": D, "danger": D, "area": AREA, "timespan": SPAN}

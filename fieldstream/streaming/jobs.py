@@ -11,19 +11,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.listener import StreamingQueryListener
+from pyspark.sql.types import StringType, StructField, StructType
 
 from fieldstream.functions import expr as X
 from fieldstream.operators import alerts as A
 from fieldstream.operators import cells as C
 from fieldstream.operators import clean as Q
 from fieldstream.operators import config_log as G
-from fieldstream.schemas import CELL, EVENT
+from fieldstream.operators import ingest as I
+from fieldstream.operators import views as V
+from fieldstream.schemas import CELL, EVENT, LOG
 from fieldstream.sources.tables import append_batch, archive_rows, console_line, to_json
-from fieldstream.streaming.processors import Cooldown, FirstOfRepeats, NewestCell, Rolling, RisingTrend
+from fieldstream.streaming.processors import Cooldown, FirstOfRepeats, Mobility, NewestCell, RisingTrend, Rolling
 
-LATE, EVERY, PAUSE = "30 seconds", "60 seconds", 3600
+LATE, EVERY, PAUSE, FLUSH = "30 seconds", "60 seconds", 3600, "1 second"
 #: What keyed state needs.  State with a wall-clock life asks for a batch without data again and again, so jobs that end
 #: when their input does (availableNow) set spark.sql.streaming.noDataMicroBatches.enabled to false.
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.multipleWatermarkPolicy": "min"}
@@ -59,6 +63,70 @@ def write_clean(events: DataFrame, read_versions: Callable[[], DataFrame], path:
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
+def write_config_log(messages: DataFrame, path: str, checkpoint: str):
+    """Start the job configuration topic -> log.  Malformed and invalid messages are left out, so the last good one stays in force."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # a batch of a configuration topic is a few messages
+        rows = batch.select(G.parse_message(F.col("value")).alias("c"), place.alias("n")).where("c is not null").where(G.fault(F.col("c")).isNull())
+        version = F.lit(batch_id).cast("long") * 1_000_000 + F.col("n")
+        rows.select(version.alias("version"), F.current_timestamp().alias("effective_at"), "c.*").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return messages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
+def config_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The versions that ``write_config_log`` has accepted so far; each is a whole configuration.  None where nothing was written yet."""
+    schema = StructType([*(StructField(n, t) for n, t in LOG.items())])
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch_id=*")
+
+
+def write_delivery(messages: DataFrame, path: str, checkpoint: str, every: str = FLUSH):
+    """Start the job that delivers to viewers: of each batch (type, key, order and data), alerts first, then the newest message of each type and key."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        named = batch.withColumn("state_key", F.concat_ws("/", "type", "key"))
+        alerts, state = named.where("type = 'alert'"), named.where("type <> 'alert'")
+        V.delivery(alerts, state, "state_key", "order").drop("state_key").coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return messages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
+def mobility(events: DataFrame, least_m: float = I.MOBILE_M, order: str = "uploaded_at") -> DataFrame:
+    """A stream of events with sensor_type, by all positions of a sensor so far."""
+    schema = StructType([*(f for f in events.schema.fields if f.name != "sensor_type"), StructField("sensor_type", StringType())])
+    return events.groupBy("sensor_id").transformWithState(Mobility(events.columns, order, least_m, X.EARTH_M), schema, "Append", "ProcessingTime")
+
+
+class Counters(StreamingQueryListener):
+    """Adds up what the queries observe (see ``observed`` and ``observed_messages``), the rows that came too late, and failed queries."""
+
+    def __init__(self):
+        self.totals: dict[str, int] = {"late": 0, "errors": 0}
+        self.last_event = None
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for row in event.progress.observedMetrics.values():
+            for name, value in row.asDict().items():
+                if name == "last_event":
+                    self.last_event = max(filter(None, (self.last_event, value)), default=None)
+                else:
+                    self.totals[name] = self.totals.get(name, 0) + (value or 0)
+        self.totals["late"] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.totals["errors"] += event.exception is not None
+
+
 def timed(clean: DataFrame, late: str | None) -> DataFrame:
     """With a watermark; a stream that has one already (``late`` None) keeps it."""
     return clean.withWatermark("captured_at", late) if late else clean

@@ -7,7 +7,7 @@ time, and keeps a bounded state: a few numbers, or the last windows of a cell.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import floor, sqrt
+from math import asin, cos, floor, radians, sin, sqrt
 
 from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -135,3 +135,26 @@ class NewestCell(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class Mobility(StatefulProcessor):
+    """Adds sensor_type: mobile from the reading on whose box of positions so far spans over ``least_m`` metres, else fixed.  A box never shrinks, so it has no end."""
+
+    def __init__(self, columns: list[str], order: str, least_m: float, earth_m: float):
+        self.columns, self.order, self.least_m, self.earth_m = columns, order, least_m, earth_m
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.box = handle.getValueState("box", "low_lat double, high_lat double, low_lon double, high_lon double, mobile boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.box.get()
+        low_lat, high_lat, low_lon, high_lon, mobile = held or (90.0, -90.0, 180.0, -180.0, False)
+        for r in sorted(rows, key=lambda r: r[self.order]):
+            low_lat, high_lat, low_lon, high_lon = min(low_lat, r["latitude"]), max(high_lat, r["latitude"]), min(low_lon, r["longitude"]), max(high_lon, r["longitude"])
+            a = sin(radians(high_lat - low_lat) / 2) ** 2 + cos(radians(low_lat)) * cos(radians(high_lat)) * sin(radians(high_lon - low_lon) / 2) ** 2
+            mobile = mobile or 2 * self.earth_m * asin(sqrt(min(a, 1.0))) > self.least_m
+            yield Row(**{c: r[c] for c in self.columns if c != "sensor_type"}, sensor_type="mobile" if mobile else "fixed")
+        self.box.update((low_lat, high_lat, low_lon, high_lon, mobile))
+
+    def close(self) -> None:
+        pass

@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 from fieldstream.operators import alerts as A
 from fieldstream.operators import cells as C
 from fieldstream.operators import clean as Q
+from fieldstream.operators import ingest as I
+from fieldstream.operators import insights as H
 from fieldstream.streaming import jobs as J
 
 
@@ -57,6 +60,83 @@ def test_repeats_by_clock(spark, tmp_path):
     assert sorted(r.md5sum for r in spark.table("clocked").collect()) == ["m1", "m2", "m3"]
 
 
+def again(stream, name, tmp_path):
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120), q.stop()
+    return q
+
+
+def test_repeats_are_forgotten(spark, tmp_path):
+    """A checksum that was met longer ago than the state lives is new again."""
+    src = tmp_path / "raw"
+    put(src, [[message(1, 1, 5), message(2, 2, 6)]])
+    stream = lambda ttl: J.clean_events_by_clock(J.read_json_folder(spark, str(src)), ttl)
+    for name, ttl, want in (("long", 3_600_000, ["m1", "m2"]), ("short", 1000, ["m1", "m1", "m2"])):
+        again(stream(ttl), name, tmp_path)
+        time.sleep(1.5)
+        (src / f"{name}.txt").write_text(message(1, 1, 5) + "\n")
+        again(stream(ttl), name, tmp_path)
+        (src / f"{name}.txt").unlink()
+        assert sorted(r.md5sum for r in spark.read.parquet(str(tmp_path / name)).collect()) == want
+
+
+def test_mobility_equals_batch(spark, tmp_path):
+    rows = [message(k, k, 5, sensor="still" if k % 2 else "moves", lat=35.0 + (k % 3) * 1e-5 + (0.001 * (k > 12) * (1 - k % 2)), lon=139.0) for k in range(40)]
+    src = put(tmp_path / "raw", [rows[:10], rows[10:14], rows[14:]])
+    events = Q.parse(J.read_json_folder(spark, src)).drop("sensor_type")
+    again(J.mobility(events, least_m=50.0), "tagged", tmp_path)
+    got = {(r.md5sum, r.sensor_type) for r in spark.read.parquet(str(tmp_path / "tagged")).collect()}
+    batch = I.tag_mobility(Q.parse(spark.createDataFrame([(r,) for r in rows], "value string")), ["uploaded_at"], 50.0)
+    assert got == {(r.md5sum, r.sensor_type) for r in batch.collect()} and {t for _, t in got} == {"mobile", "fixed"}
+
+
+def test_counters(spark, tmp_path):
+    src = put(tmp_path / "raw", [[message(1, 100, 5), message(2, 2, 6), "garbage"], [message(3, 3000, 7), "[1]"], [message(4, 1, 8)], [message(5, 3001, 9)]])
+    counters = J.Counters()
+    spark.streams.addListener(counters)
+    try:
+        events = J.clean_events(H.observed_messages(J.read_json_folder(spark, src), "raw"))
+        run(C.cell_windows(Q.with_class(H.observed(events, "clean"))), "counted", None)
+        deadline = time.time() + 20
+        while counters.totals.get("consumed", 0) < 7 and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counters)
+    assert counters.totals["consumed"] == 7 and counters.totals["malformed"] == 2 and counters.totals["bytes"] > 500
+    assert counters.totals["late"] >= 1 and counters.totals["errors"] == 0 and counters.last_event is not None
+
+
+def test_configuration_topic_reaches_the_running_job(spark, tmp_path):
+    """Malformed and invalid messages leave the last good configuration in force; a later good one takes over."""
+    whole = lambda warn, danger, **more: json.dumps({"cpm_warn_threshold": warn, "cpm_danger_threshold": danger, **more})
+    topics, log = tmp_path / "config", str(tmp_path / "log")
+    put(topics, [[whole(10, 50)], ["garbage", whole(90, 20), '{"cpm_warn_threshold": 1}']])
+    put(tmp_path / "raw", [[message(1, 1, 60)]])
+
+    def both():
+        q = J.write_config_log(J.read_json_folder(spark, str(topics)), log, str(tmp_path / "cp1")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120), q.stop()
+        q = J.write_clean(J.clean_events(J.read_json_folder(spark, str(tmp_path / "raw"))), lambda: J.config_versions(spark, log), str(tmp_path / "clean"), str(tmp_path / "cp2")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120), q.stop()
+
+    assert J.config_versions(spark, log).count() == 0
+    both()
+    (topics / "2.txt").write_text(whole(100, 1000, area={"min_lat": 0, "max_lat": 1, "min_lon": 0, "max_lon": 1}) + "\n")
+    (tmp_path / "raw" / "1.txt").write_text(message(2, 2, 60) + "\n")
+    both()
+    got = spark.read.parquet(str(tmp_path / "clean"))
+    assert sorted((r.md5sum, r.classification, r.in_region) for r in got.collect()) == [("m1", "DANGER", True), ("m2", "SAFE", False)]
+
+
+def test_delivery(spark, tmp_path):
+    rows = [("clean", "s1", 1), ("clean", "s1", 2), ("alert", "s1", 3), ("aggregated", "s1", 4), ("clean", "s2", 5), ("alert", "s2", 6), ("clean", "s1", 7)]
+    path = str(tmp_path / "in")
+    df = spark.createDataFrame([(*r, f"d{r[2]}") for r in rows], "type string, key string, order long, data string")
+    df.coalesce(1).write.parquet(path)
+    J.write_delivery(spark.readStream.schema(df.schema).parquet(path), str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    assert [(r.lane, r.data) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("lane", "order").collect()] == [(0, "d3"), (0, "d6"), (1, "d4"), (1, "d5"), (1, "d7")]
+
+
 def cell_rows(spark, means):
     rows = [(k, m) for k, m in enumerate(means)]
     df = spark.createDataFrame(rows, "k long, cpm_avg double").withColumn("window_start", F.timestamp_seconds(F.lit(1_780_000_000) + 60 * F.col("k"))).withColumn("window_end", F.timestamp_seconds(F.lit(1_780_000_060) + 60 * F.col("k")))
