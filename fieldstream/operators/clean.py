@@ -16,8 +16,31 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     return messages.select("*", F.from_json(F.col(value), RAW_EVENT, {"mode": "PERMISSIVE"}).alias("event"))
 
 
+# JSON types of the fields of an event, with those that may be null explicitly, and the lists and patterns of some.
+TEXTS = {"sensor_id": False, "captured_at": False, "uploaded_at": False, "unit": False, "classification": True, "sensor_type": True, "location_name": True, "surface": True, "md5sum": True, "loader_id": True}
+NUMBERS = {"latitude": False, "longitude": False, "cpm": True, "height": True}
+MOBILITY = ("mobile", "fixed")
+MD5 = "^[a-f0-9]{32}$"
+
+
+def breaks_contract(raw: Column) -> Column:
+    """Whether a JSON object has an unknown property, a field of the wrong JSON type, or a value that its list or pattern doesn't have; false for what is no object."""
+    known = F.array(*(F.lit(n) for n in (*TEXTS, *NUMBERS)))
+    parsed = F.try_parse_json(raw)
+    kind = lambda name: F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+    bad = F.coalesce(F.size(F.array_except(F.json_object_keys(raw), known)) > 0, F.lit(False))
+    for fields, types in ((TEXTS, "STRING"), (NUMBERS, "BIGINT|DOUBLE|FLOAT|DECIMAL.*")):
+        for name, nullable in fields.items():
+            bad = bad | F.coalesce(~kind(name).rlike(f"^(?:{types}{'|VOID' if nullable else ''})$"), F.lit(False))
+    text = lambda name: F.get_json_object(raw, f"$.{name}")
+    return bad | F.coalesce(~text("classification").isin(*X.LEVELS) | ~text("sensor_type").isin(*MOBILITY), F.lit(False)) | F.coalesce(~text("md5sum").rlike(MD5), F.lit(False))
+
+
 def discard_reason(e: Column, raw: Column | None = None) -> Column:
-    """Why the contract rejects an event (a struct of texts), the first reason that holds; null if it is valid."""
+    """Why the contract rejects an event (a struct of texts), the first reason that holds; null if it is valid.
+
+    With the message's text (``raw``), JSON types, unknown properties and the other fields are checked as well.
+    """
     missing = F.lit(False)
     for name in REQUIRED:
         missing = missing | F.coalesce(e[name].cast("string"), F.lit("")).eqNullSafe("")
@@ -26,6 +49,8 @@ def discard_reason(e: Column, raw: Column | None = None) -> Column:
     no_object = e.isNull() if raw is None else (e.isNull() | ~F.coalesce(F.trim(raw), F.lit("")).startswith("{"))
     lat, lon = e["latitude"].cast("string").try_cast("double"), e["longitude"].cast("string").try_cast("double")
     odd = ~X.valid_position(lat, lon) | X.timestamp(e["captured_at"].cast("string")).isNull() | (e["unit"].isNotNull() & ~e["unit"].isin(*X.UNITS))
+    if raw is not None:
+        odd = odd | breaks_contract(raw)
     return (
         F.when(no_object, "not an object").when(missing, "missing field").when(text.isNotNull() & cpm.isNull(), "cpm not numeric")
         .when(~X.plausible(text), "cpm out of range").when(odd, "schema violation")

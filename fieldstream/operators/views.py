@@ -73,8 +73,11 @@ def recent(rows: DataFrame, n: int, order: str = "seq") -> DataFrame:
     return rows.orderBy(F.desc(order)).limit(max(0, n)).orderBy(order)
 
 
-def page(rows: DataFrame, cursor: int | None = None, limit: int = PAGE, window: int = RECENT, order: str = "seq") -> DataFrame:
-    """Of the newest ``window`` rows, the newest ``limit`` before the cursor, the oldest first, with has_more and next_cursor on each row."""
+def page(rows: DataFrame, cursor: int | Column | None = None, limit: int = PAGE, window: int = RECENT, order: str = "seq") -> DataFrame:
+    """Of the newest ``window`` rows, the newest ``limit`` before the cursor, the oldest first, with has_more and next_cursor on each row.
+
+    The cursor may be a column of the rows; where it is null, there are none.
+    """
     limit = min(max(limit, 1), MOST_PAGE)
     held = rows.orderBy(F.desc(order)).limit(window)
     if cursor is not None:

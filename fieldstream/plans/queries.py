@@ -6,6 +6,9 @@ day; the operators' defaults are those of a live stream.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,7 +85,28 @@ def raw_rows(spark, sf_dir):
 
 def csv_map_events(spark, sf_dir):
     rows = I.map_rows(raw_rows(spark, sf_dir))
-    return rows.select("sensor_id", "captured_at", "uploaded_at", "latitude", "longitude", "cpm", "unit", "reject_reason", (F.length("md5sum") == 32).alias("has_md5"))
+    return rows.select("sensor_id", "captured_at", "uploaded_at", "latitude", "longitude", "cpm", "unit", "reject_reason", "md5sum")
+
+
+def csv_scan(spark, sf_dir):
+    """The same rows written as CSV files with the headers of a provider, scanned, and mapped to events."""
+    path = f"{S.scratch_dir(spark)}/csv-{uuid.uuid4().hex}"
+    heads = {"captured_at": " Captured Time", "uploaded_at": "Uploaded Time", "device_id": "Device ID", "value": "Value ", "md5sum": "MD5Sum"}
+    raw = raw_rows(spark, sf_dir)
+    named = raw.select(*(F.col(c).alias(heads.get(c, c.title())) for c in raw.columns), F.lit("x").alias("Other"))
+    named.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    rows = I.map_rows(S.read_csv(spark, path))
+    return rows.select("sensor_id", "captured_at", "uploaded_at", "latitude", "longitude", "cpm", "unit", "reject_reason", "md5sum")
+
+
+def backfill_spans(spark, sf_dir):
+    """How many events a span, one open to a side, and a preset with one bound of its own let through."""
+    events = I.map_rows(raw_rows(spark, sf_dir)).where("reject_reason is null")
+    cases = {"both": dict(start="2024-01-05T06:00:00", end="2024-01-20 12:00:00"), "from": dict(start="2024-01-25T00:00:00Z"), "until": dict(end="2024-01-02T00:00:00"), "preset": dict(preset="fukushima"), "preset_open": dict(preset="fukushima", end="2024-01-03T00:00:00")}
+    ends = (F.count("*").alias("events"), F.min("captured_at").alias("first"), F.max("captured_at").alias("last"))
+    return reduce(DataFrame.union, (I.backfill(events, **span).agg(*ends).select(F.lit(name).alias("span"), "events", "first", "last") for name, span in cases.items()))
 
 
 def messages(spark, sf_dir):
@@ -90,9 +114,12 @@ def messages(spark, sf_dir):
     r, k = readings(spark, sf_dir), F.col("seq")
     fields = [
         F.when(k % 19 == 0, "").otherwise(F.col("sensor_id")).alias("sensor_id"), F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss").alias("captured_at"), F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at"),
-        F.when(k % 23 == 0, F.lit(200.0)).otherwise(F.col("latitude")).alias("latitude"), "longitude", F.when(k % 29 == 0, "x").when(k % 31 == 0, "-5").when(k % 37 == 0, "9999999").otherwise(F.col("cpm").cast("string")).alias("cpm"), "unit",
+        F.when(k % 23 == 0, F.lit(200.0)).otherwise(F.col("latitude")).alias("latitude"), "longitude", "unit", F.when(k % 59 == 0, "never").otherwise("SAFE").alias("classification"),
     ]
-    value = F.when(k % 41 == 0, "null").when(k % 43 == 0, "[1]").otherwise(S.to_json(*fields))
+    number = F.when(k % 31 == 0, -5.0).when(k % 37 == 0, 9_999_999.0).otherwise(F.col("cpm"))
+    odd = S.to_json(*fields, F.when(k % 29 == 0, "x").otherwise("7").alias("cpm"))  # the second is a number sent as text
+    more = S.to_json(*fields, number.alias("cpm"), F.lit(1).alias("unknown"))
+    value = F.when(k % 41 == 0, "null").when(k % 43 == 0, "[1]").when((k % 29 == 0) | (k % 47 == 0), odd).when(k % 53 == 0, more).otherwise(S.to_json(*fields, number.alias("cpm")))
     return r.select("seq", value.alias("value"))
 
 
@@ -159,7 +186,7 @@ def rolling_zscore(spark, sf_dir):
 
 
 def sustained_high(spark, sf_dir):
-    return flat(high(spark, sf_dir).drop("triggered_at"))
+    return flat(high(spark, sf_dir))
 
 
 def alert_cooldown(spark, sf_dir):
@@ -224,8 +251,8 @@ def latest_per_sensor(spark, sf_dir):
 
 def recent_page(spark, sf_dir):
     rows = accepted(spark, sf_dir)
-    cursor = rows.agg(F.max("seq").alias("top")).select((F.col("top") - 20).alias("c")).first().c
-    return V.page(rows, cursor, 25).select("seq", "sensor_id", "cpm", "has_more", "next_cursor")
+    top = rows.agg((F.max("seq") - 20).alias("cursor"))  # one row
+    return V.page(rows.crossJoin(F.broadcast(top)), F.col("cursor"), 25).select("seq", "sensor_id", "cpm", "has_more", "next_cursor")
 
 
 def view_filter_failopen(spark, sf_dir):
@@ -314,7 +341,7 @@ CELLS_SQL = cells_of("classed", "cells")
 HIGH_SQL = """
 , high_rows as (select *, date_trunc('day', captured_at)::timestamp - to_days(k::int) as window_start from classed, (select unnest(range(5)) as k) where classification = 'DANGER'),
 high as (select sensor_id, window_start, window_start + interval 5 day as window_end, max(cpm) as cpm, count(*)::int as breach_count,
-    arg_max(latitude, (captured_at, -seq)) as latitude, arg_max(longitude, (captured_at, -seq)) as longitude from high_rows group by sensor_id, window_start having count(*) >= 3)
+    arg_max(latitude, (captured_at, -seq)) as latitude, arg_max(longitude, (captured_at, -seq)) as longitude, max(captured_at)::varchar as triggered_at from high_rows group by sensor_id, window_start having count(*) >= 3)
 """
 COOL_SQL = f"""
 , recursive_cool as (select sensor_id, min(window_end) as window_end from high group by sensor_id
@@ -368,13 +395,25 @@ UNION_SQL = f"""
 WEIGHTED = "sum((cpm_avg::decimal(18,4) * case when cpm_avg is not null then count end::decimal(12,0))::decimal(30,4))::double / nullif(sum(count), 0)"
 IN_VIEW = "centroid_latitude between -40 and 50 and centroid_longitude between -120 and 120 and window_start between timestamp '2024-01-05' and timestamp '2024-01-20 12:00:00'"
 
+MAPPED_SQL = f"""
+, raw as (select seq, captured_at as o_captured, uploaded_at as o_uploaded, sensor_id as o_sensor, latitude as o_latitude, longitude as o_longitude, cpm, unit as o_unit, strftime(captured_at, '%Y-%m-%d %H:%M:%S') as captured_at, case when seq % 11 = 0 then '' else strftime(uploaded_at, '%Y-%m-%dT%H:%M:%SZ') end as uploaded_at, case when seq % 3 = 0 then ' ' else sensor_id end as sensor_id,
+    case when seq % 15 = 0 then '0' else 'd' || sensor_id end as device_id, case when seq % 23 = 0 then 'north' when seq % 29 = 0 then '95.5' else latitude::varchar end as latitude, longitude::varchar as longitude,
+    coalesce(case when seq % 13 = 0 then 'n/a' else cpm::varchar end, '') as value, unit || ' ' as unit, case when seq % 7 = 0 then '' else md5sum end as md5sum from readings),
+mapped as (select case when seq % 3 <> 0 then o_sensor when seq % 15 <> 0 then 'd' || o_sensor end as sensor_id, strftime(o_captured, '%Y-%m-%dT%H:%M:%S') as captured_at,
+    case when seq % 11 = 0 then strftime(o_captured, '%Y-%m-%dT%H:%M:%S') else strftime(o_uploaded, '%Y-%m-%dT%H:%M:%S+00:00') end as uploaded_at,
+    case when seq % 23 = 0 then null when seq % 29 = 0 then 95.5::double else o_latitude end as latitude, o_longitude as longitude, case when o_unit = 'cpm' and seq % 13 <> 0 then cpm end as cpm, case when o_unit in ({UNITS_SQL}) then o_unit end as unit,
+    case when seq % 15 = 0 then 'no sensor' when seq % 23 = 0 or seq % 29 = 0 then 'no position' end as reject_reason, case when raw.md5sum <> '' then raw.md5sum else
+      md5(concat_ws(',', {", ".join(f"'{c}=' || raw.{c}" for c in sorted(("captured_at", "uploaded_at", "sensor_id", "device_id", "latitude", "longitude", "value", "unit", "md5sum")))})) end as md5sum
+  from raw)
+"""
+
 SQL = {
-    "csv_map_events": sql(f"""select case when seq % 3 <> 0 then sensor_id when seq % 15 <> 0 then 'd' || sensor_id end as sensor_id, strftime(captured_at, '%Y-%m-%dT%H:%M:%S') as captured_at,
-      case when seq % 11 = 0 then strftime(captured_at, '%Y-%m-%dT%H:%M:%S') else strftime(uploaded_at, '%Y-%m-%dT%H:%M:%S+00:00') end as uploaded_at,
-      case when seq % 23 = 0 then null when seq % 29 = 0 then 95.5::double else latitude end as latitude, longitude, case when unit = 'cpm' and seq % 13 <> 0 then cpm end as cpm, case when unit in ({UNITS_SQL}) then unit end as unit,
-      case when seq % 15 = 0 then 'no sensor' when seq % 23 = 0 or seq % 29 = 0 then 'no position' end as reject_reason, true as has_md5 from readings"""),
+    "csv_map_events": sql(MAPPED_SQL, "select * from mapped"),
+    "csv_scan": sql(MAPPED_SQL, "select * from mapped"),
+    "backfill_spans": sql(MAPPED_SQL, ", spans as (select * from (values ('both', '2024-01-05T06:00:00', '2024-01-20T12:00:00'), ('from', '2024-01-25T00:00:00', '9'), ('until', '0', '2024-01-02T00:00:00'), ('preset', '2011-03-11T00:00:00', '2011-04-30T23:59:59'), ('preset_open', '2011-03-11T00:00:00', '2024-01-03T00:00:00')) v(span, low, high))",
+      "select span, count(captured_at) as events, min(captured_at) as first, max(captured_at) as last from spans left join (select * from mapped where reject_reason is null) on captured_at between low and high group by span"),
     "validate_reasons": sql("""select reason, count(*) as events, min(seq) as first_seq, sum(seq)::bigint as sum_seq from (select seq, case when seq % 41 = 0 or seq % 43 = 0 then 'not an object' when seq % 19 = 0 then 'missing field' when seq % 29 = 0 then 'cpm not numeric'
-      when seq % 31 = 0 or seq % 37 = 0 then 'cpm out of range' when seq % 23 = 0 or unit = 'bogus' then 'schema violation' else 'valid' end as reason from readings) group by reason"""),
+      when seq % 47 <> 0 and (seq % 31 = 0 or seq % 37 = 0) then 'cpm out of range' when seq % 23 = 0 or unit = 'bogus' or seq % 47 = 0 or seq % 53 = 0 or seq % 59 = 0 then 'schema violation' else 'valid' end as reason from readings) group by reason"""),
     "clean_filters": sql("select seq, sensor_id, cpm, unit from readings where cpm between 0 and 1000000"),
     "dedup_first": sql(f"select seq, sensor_id, md5sum, {text_sql('uploaded_at')} as uploaded_at from (select *, row_number() over (partition by sensor_id, md5sum order by uploaded_at, seq) as rn from readings) where rn = 1"),
     "classify_levels": sql(f"select seq, cpm, c as classification, case c when 'SAFE' then 1 when 'WARN' then 2 when 'DANGER' then 3 else 0 end::int as severity from (select seq, cpm, {class_sql('cpm')} as c from readings)"),
@@ -386,7 +425,7 @@ SQL = {
     "cell_windows": sql(ACCEPTED_SQL, CELLS_SQL, f"select {CELL_COLUMNS} from cells"),
     "worst_class": sql(ACCEPTED_SQL, "select sensor_id, case max(case classification when 'SAFE' then 1 when 'WARN' then 2 else 3 end) when 1 then 'SAFE' when 2 then 'WARN' else 'DANGER' end as worst_classification, count(*) as readings from classed group by sensor_id"),
     "rolling_zscore": sql(ACCEPTED_SQL, CELLS_SQL, f"select geohash, {text_sql('window_start')} as window_start, cpm_avg, rolling_cpm_avg, cpm_zscore, anomaly from cells_scored"),
-    "sustained_high": sql(ACCEPTED_SQL, HIGH_SQL, f"select sensor_id, 'sustained-high' as reason, {text_sql('window_start')} as window_start, {text_sql('window_end')} as window_end, cpm, breach_count, 'DANGER' as classification, latitude, longitude from high"),
+    "sustained_high": sql(ACCEPTED_SQL, HIGH_SQL, f"select sensor_id, 'sustained-high' as reason, {text_sql('window_start')} as window_start, {text_sql('window_end')} as window_end, cpm, breach_count, 'DANGER' as classification, latitude, longitude, triggered_at from high"),
     "alert_cooldown": sql(ACCEPTED_SQL, HIGH_SQL, COOL_SQL, f"select sensor_id, {text_sql('window_start')} as window_start, {text_sql('window_end')} as window_end, cpm, breach_count from cool", recursive=True),
     "rising_trend": sql(ACCEPTED_SQL, CELLS_SQL, TREND_SQL, f"""select geohash as sensor_id, 'rising-trend' as reason, {text_sql("window_start")} as window_start, {text_sql("window_end")} as window_end, cpm_max as cpm, 3::int as breach_count, centroid_latitude as latitude, centroid_longitude as longitude,
       strftime(window_end, '%Y-%m-%dT%H:%M:%S+00:00') as triggered_at, geohash, 3::int as trend_window_count, concat_ws(',', floor(a * 10000 + 0.5)::bigint, floor(b * 10000 + 0.5)::bigint, floor(cpm_avg * 10000 + 0.5)::bigint) as trend_cpm_series, {round_sql("cpm_avg - a")} as trend_delta from trend""", recursive=True),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,16 @@ def read_csv(spark: SparkSession, path: str, skip_rows: int = 0) -> DataFrame:
     return with_known_columns(rows.offset(skip_rows) if skip_rows else rows)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only in local mode without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="fieldstream-")
+
+
 def in_upload_order(rows: DataFrame, whole: bool = False) -> DataFrame:
     """By uploaded_at, or captured_at without it, blanks last; within partitions, or over all with ``whole``."""
     column = "uploaded_at" if "uploaded_at" in rows.columns else "captured_at"

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -71,11 +72,29 @@ def test_validation_reasons(spark):
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, value string")
     valid, bad = Q.split_valid(df)
     reasons = {r.k: r.discard_reason for r in bad.collect()}
-    assert sorted(r.k for r in valid.collect()) == [0, 1, 2]
-    assert [reasons[k] for k in range(3, 13)] == ["cpm not numeric", "cpm out of range", "cpm out of range", "schema violation", "missing field", "missing field", "not an object", "not an object", "missing field", "not an object"]
+    assert sorted(r.k for r in valid.collect()) == [0, 1]
+    assert [reasons[k] for k in range(2, 13)] == ["schema violation", "cpm not numeric", "cpm out of range", "cpm out of range", "schema violation", "missing field", "missing field", "not an object", "not an object", "missing field", "not an object"]
     assert sorted(r.cpm is None for r in Q.parse(df).collect())[-1] and Q.parse(df).count() == 8
 
 
+def test_contract_on_types_and_properties(spark):
+    """JSON types, unknown properties, lists and patterns of the fields."""
+    whole = {"sensor_id": "s", "captured_at": "2026-06-19T01:00:00Z", "uploaded_at": "2026-06-19T01:00:00Z", "latitude": 1.5, "longitude": 2}
+    good = [{}, {"cpm": 21.0, "unit": "cpm"}, {"cpm": None, "height": None, "surface": None, "md5sum": None}, {"classification": "WARN", "sensor_type": "fixed", "md5sum": "0a" * 16, "loader_id": "7", "height": 1e3}]
+    bad = [{"cpm": "7"}, {"latitude": "1.5"}, {"sensor_id": 5}, {"height": "1"}, {"unit": None}, {"unit": "bq"}, {"extra": 1}, {"classification": "HIGH"}, {"sensor_type": "car"}, {"md5sum": "xyz"}, {"location_name": 3}, {"loader_id": True}, {"surface": {"a": 1}}]
+    df = spark.createDataFrame([(k, json.dumps(whole | x)) for k, x in enumerate(good + bad)], "k int, value string")
+    valid, quarantine = Q.split_valid(df)
+    assert sorted(r.k for r in valid.collect()) == list(range(len(good)))
+    assert {r.discard_reason for r in quarantine.collect()} == {"schema violation"}
+
+
+def test_csv_with_bad_bytes(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"Captured Time,Device ID,Location Name,Other\n2026-01-01 00:00:00,1,caf\xe9 \xff,x\n2026-01-02 00:00:00,2,,x\n2026-01-03 00:00:00,3\n")
+    rows = S.read_csv(spark, str(tmp_path / "a.csv")).orderBy("captured_at").collect()
+    assert [r.location_name for r in rows] == ["caf\ufffd \ufffd", "", ""]
+    assert rows[0].asDict().keys() == {"captured_at", "device_id", "location_name"}
+
+
 def series(spark, means):
     df = spark.createDataFrame(list(enumerate(means)), "k int, cpm_avg double")
     at = lambda k: F.timestamp_seconds(F.lit(1_780_000_000) + 60 * (F.col("k") + k))
