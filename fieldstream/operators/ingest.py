@@ -46,17 +46,39 @@ def backfill(events: DataFrame, start: str | None = None, end: str | None = None
     return events.where(X.in_backfill(X.timestamp(F.col("captured_at").cast("string")), start, end))
 
 
-def tag_mobility(events: DataFrame, order: list[str], least_m: float = MOBILE_M) -> DataFrame:
+#: The sides of a box: south-west and north-east.
+SIDES = {"__south": (F.min, "latitude"), "__west": (F.min, "longitude"), "__north": (F.max, "latitude"), "__east": (F.max, "longitude")}
+
+
+def _with_earlier(rows: DataFrame, found: dict) -> DataFrame:
+    """Adds for each name the least or greatest value of a column over the sensor's earlier slices; one row for each slice of a sensor meets in one task."""
+    per = rows.groupBy(F.col("sensor_id").alias("__sensor"), F.col("__slice").alias("__part")).agg(*(f(c).alias(n) for n, (f, c) in found.items()))
+    earlier = Window.partitionBy("__sensor").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select("__sensor", "__part", *(f(n).over(earlier).alias(n) for n, (f, _) in found.items()))
+    same = F.col("sensor_id").eqNullSafe(F.col("__sensor")) & F.col("__slice").eqNullSafe(F.col("__part"))
+    return rows.join(carried, same, "left").drop("__sensor", "__part")
+
+
+def tag_mobility(events: DataFrame, order: list[str], least_m: float = MOBILE_M, slices: Column | None = None) -> DataFrame:
     """Adds sensor_type: mobile from the reading on whose box of positions so far spans over ``least_m`` metres, else fixed.
 
     The flag is kept, not the span: near a pole a growing box can get a shorter diagonal.
+    ``slices`` never falls as ``order`` rises; with it each slice of a sensor is sorted on its own, with the box and the flag that the
+    slices before it leave, so a sensor with a large share of all rows is spread over tasks.
     """
     if least_m <= 0:
         raise ValueError("the least distance must be positive")
-    so_far = Window.partitionBy("sensor_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    low_lat, high_lat, low_lon, high_lon = (f(c).over(so_far) for c in ("latitude", "longitude") for f in (F.min, F.max))
-    boxed = events.withColumn("__far", X.haversine_m(low_lat, low_lon, high_lat, high_lon) > least_m)
-    return boxed.withColumn("sensor_type", F.when(F.max("__far").over(so_far), "mobile").otherwise("fixed")).drop("__far")
+    sliced = events.withColumn("__slice", F.lit(0) if slices is None else slices)
+    so_far = Window.partitionBy("sensor_id", "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    box, flag = [f(c).over(so_far) for f, c in SIDES.values()], F.max("__far").over(so_far)
+    if slices is not None:
+        sliced = _with_earlier(sliced, SIDES)
+        wider = {F.min: F.least, F.max: F.greatest}
+        box, flag = [wider[f](own, F.col(n)) for own, (n, (f, _)) in zip(box, SIDES.items())], F.greatest(flag, F.col("__was"))
+    boxed = sliced.withColumn("__far", X.haversine_m(*box) > least_m)
+    if slices is not None:
+        boxed = _with_earlier(boxed, {"__was": (F.max, "__far")})
+    return boxed.withColumn("sensor_type", F.when(flag, "mobile").otherwise("fixed")).drop("__far", "__was", "__slice", *SIDES)
 
 
 def fleet_counts(tagged: DataFrame) -> DataFrame:

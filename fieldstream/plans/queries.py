@@ -212,7 +212,7 @@ def alerts_union(spark, sf_dir):
 
 
 def tagged(spark, sf_dir):
-    return I.tag_mobility(readings(spark, sf_dir), ["seq", "uploaded_at"])
+    return I.tag_mobility(readings(spark, sf_dir), ["seq", "uploaded_at"], slices=F.floor(F.col("seq") / 100_000))
 
 
 def mobility_tag(spark, sf_dir):

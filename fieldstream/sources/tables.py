@@ -32,10 +32,24 @@ def with_known_columns(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(n) for n, c in found.items()))
 
 
+def without_first(rows: DataFrame, skip: int) -> DataFrame:
+    """Rows of a file scan but for the first ``skip``, files in order of their paths.
+
+    Each split counts its rows; only one row for each split meets in one task, and no row of the scan moves.
+    """
+    placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    upto = F.sum("n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    splits = placed.groupBy("__file", "__block").agg(F.min("__id").alias("first"), F.count("*").alias("n")).withColumn("upto", upto)
+    # ids rise by one inside a split; no split left: null, so no row passes
+    start = F.struct("__file", "__block", (F.col("first") + skip - F.col("upto") + F.col("n")).alias("__id"))
+    cut = splits.where(F.col("upto") > skip).agg(F.min(start).alias("__start"))
+    return placed.crossJoin(F.broadcast(cut)).where(F.struct("__file", "__block", "__id") >= F.col("__start")).select(*(f"`{c}`" for c in rows.columns))
+
+
 def read_csv(spark: SparkSession, path: str, skip_rows: int = 0) -> DataFrame:
-    """All columns as text, missing cells empty, the first ``skip_rows`` rows of the file left out."""
+    """All columns as text, missing cells empty, the first ``skip_rows`` rows left out."""
     rows = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("mode", "PERMISSIVE").csv(path)
-    return with_known_columns(rows.offset(skip_rows) if skip_rows else rows)
+    return with_known_columns(without_first(rows, skip_rows) if skip_rows > 0 else rows)
 
 
 def scratch_dir(spark: SparkSession) -> str:

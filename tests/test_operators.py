@@ -95,6 +95,23 @@ def test_csv_with_bad_bytes(spark, tmp_path):
     assert rows[0].asDict().keys() == {"captured_at", "device_id", "location_name"}
 
 
+def test_csv_skips_rows_over_many_splits(spark, tmp_path):
+    path = tmp_path / "many"
+    path.mkdir()
+    names = [f"d{k:04}" for k in range(1500)]
+    for n, part in enumerate((names[:900], names[900:901], names[901:])):
+        (path / f"{n}.csv").write_text("Device ID,Other\n" + "".join(f"{d},x\n" for d in part))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert S.read_csv(spark, str(path)).rdd.getNumPartitions() > 8
+        for skip in (0, 1, 777, 899, 900, 901, 1499, 1500, 9000):
+            rows = S.read_csv(spark, str(path), skip)
+            assert rows.columns == ["device_id"] and sorted(r.device_id for r in rows.collect()) == names[skip:]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def series(spark, means):
     df = spark.createDataFrame(list(enumerate(means)), "k int, cpm_avg double")
     at = lambda k: F.timestamp_seconds(F.lit(1_780_000_000) + 60 * (F.col("k") + k))
@@ -163,6 +180,17 @@ def test_mobility_is_sticky(spark):
         I.tag_mobility(got, ["k"], 0)
 
 
+def test_mobility_in_slices(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", "c", "d", None]), k, rng.choice([None, 35.0]) and 35.0 + rng.randrange(6) / 2000 * (k > 60), 139.0) for k in range(200)]
+    rows += [("pole", k, 89.999, lon) for k, lon in enumerate((0.0, 90.0, 180.0))] + [("late", None, 1.0, 1.0), ("late", 3, 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "sensor_id string, k int, latitude double, longitude double")
+    whole = sorted(map(str, I.tag_mobility(df, ["k"]).collect()))
+    assert {r.count("mobile") for r in whole} == {0, 1}
+    for width in (1, 7, 50, 1000):
+        assert sorted(map(str, I.tag_mobility(df, ["k"], slices=F.floor(F.col("k") / width)).collect())) == whole
+
+
 LOG = "version long, effective_at timestamp, warn double, danger double, area struct<min_lat: double, max_lat: double, min_lon: double, max_lon: double>, timespan struct<start: timestamp, end: timestamp>"
 
 
