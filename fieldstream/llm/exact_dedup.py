@@ -184,8 +184,8 @@ def exact_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     Texts are equal when identical after each run of ASCII white space became
     one space; a null text is empty.  Of equal texts the smallest doc_id stays;
     of rows that repeat both, one.  A null doc_id loses to every other; a group
-    of nulls has keep_id null and still keeps one row.  An empty table gives an
-    empty result.  Other columns of ``docs`` are not read.
+    of nulls has keep_id null and still keeps one row.  A very long text is compared whole.  An empty table gives an
+    empty result.  Other columns of ``docs`` are not read, so their names don't matter.
     """
     local = keep(texts_of(docs).mapInArrow(_locally(budget), "doc_id long, group_key long, stands boolean, least_id long, n long, text binary"), "dedup")
     standing = local.where("stands").select("group_key", "least_id", "n", "text").repartition(F.xxhash64("text"))
@@ -196,6 +196,8 @@ def exact_groups(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
 def drop_copies(docs: DataFrame, budget: int = TABLE_BYTES) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns; of rows that repeat doc_id and text, one.
 
+    Null and empty texts are equal, so one of them stays, as it is; an empty table stays empty; other columns may have any name that doesn't begin with "__".
+
     The join deals rows by id and digest, so the last step needs no further shuffle.
     """
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))  # a plain key, so that all steps deal rows alike

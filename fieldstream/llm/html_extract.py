@@ -277,7 +277,7 @@ def extract(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, salts: int
         joined = rows.join(F.broadcast(paths), "host", "left")
     else:
         per_host = keep(rows.groupBy("host").count(), "hosts")
-        every = per_host.agg(F.sum("count")).first()[0]
+        every = per_host.agg(F.sum("count")).first()[0] or 0
         many = F.broadcast(per_host.where((F.col("count") >= MANY * every) & F.col("host").isNotNull()).select("host", F.lit(True).alias("many")))
         salt = F.when(F.col("many") | F.col("host").isNull(), F.pmod(F.xxhash64("page_id", "url"), F.lit(salts))).otherwise(0).cast("int")
         dealt = rows.join(many, "host", "left").withColumn("salt", salt).withColumn("host", F.coalesce("host", F.lit("")))

@@ -181,7 +181,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", window: int
 
     Documents keep their order inside an input split, and no text is shuffled.
     Every document has its ids and then id 0, so an empty or null text is one piece of one id.  Rows
-    with equal or null doc_ids are packed like any other.  An empty table gives no rows.
+    with equal or null doc_ids are packed like any other; a very long text is cut into as many windows as it fills.  An empty table gives no rows;
+    other columns are not read, so their names don't matter.
     """
     # the split of the input decides the sequences; a retried task reads the same split and makes the same rows
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_run(vocabulary, window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -312,8 +312,8 @@ def detect(docs: DataFrame) -> DataFrame:
     """doc_id and found: array of (kind, start, end, base, votes, bare), base kinds first, each kind by start.
 
     Trained on all of ``docs``.  A null or empty text has no span; repeated rows
-    give equal rows; a null doc_id stays null.  Without candidates nothing is learnt
-    and nothing found.
+    give equal rows; a null doc_id stays null; a very long text is searched whole.  Without candidates nothing is learnt
+    and nothing found; an empty table gives no rows; other columns are not read, so their names don't matter.
     """
     marks = keep(docs.select("doc_id", candidates(_text()).alias("found")), "pii")
     return marks.select("doc_id", spans(F.col("found"), train(marks)).alias("found"))
@@ -349,7 +349,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced by order of their starts; what an earlier one
     covered is not replaced again.  A null text stays null, an empty one empty; repeated rows give equal rows; an empty
-    table stays empty; other columns stay as they are.  The documents are written once with their candidates, and read for training and for the result.
+    table stays empty; a very long text is covered whole; other columns stay as they are and may have any name that doesn't begin with "__".  The documents are written once with their candidates, and read for training and for the result.
     """
     marked = keep(docs.withColumn("__found", candidates(_text())), "pii")
     shown = marked.withColumn("__spans", spans(F.col("__found"), train(marked.select(F.col("__found").alias("found")))))

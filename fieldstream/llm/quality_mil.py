@@ -152,6 +152,9 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFram
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Labels of held-out rows are never read for training; nothing but the text
-    makes a score, so equal texts score alike.  Without labels of both classes the score is the share of label 1, or 0.5.
+    makes a score, so equal texts and repeated rows score alike, up to 1e-6: the
+    network sums in single precision, and the texts beside one in its batch decide the order.  Without labels of both classes the score is the share of label 1, or 0.5.
+    A null or empty text scores as one passage without words; a very long one is read whole, passage by passage.
+    A null doc_id stays null and is not held out; an empty table gives no rows; other columns are not read, so their names don't matter.
     """
     return score(docs, train(docs, labels)).select("doc_id", remainder(3, 1).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

@@ -188,7 +188,8 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model") -> DataFrame:
     """doc_id, ids (the end id last), begins and ends (byte spans in the source text), decoded.
 
     A null text is empty and has the end id only.  ``decoded`` is what the
-    model's decoder makes of the ids.  Equal rows give equal rows; a null doc_id stays null.
+    model's decoder makes of the ids.  A very long text is encoded whole.  Equal rows give equal rows; a null doc_id stays null;
+    an empty table gives no rows; other columns are not read, so their names don't matter.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(_run(model), "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string")

@@ -344,7 +344,8 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile:
 def drop_near(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` without all but the first (by doc_id) document of each group of near copies.
 
-    Rows with a null doc_id stay; rows that share a doc_id stay or go together.
+    Rows with a null doc_id stay; rows that share a doc_id stay or go together.  Null and empty texts are alike, so one of them stays; very long texts count
+    whole; an empty table stays empty; all columns stay as they are, whatever their names.
     """
     lost = near_groups(docs, words, similarity).where("doc_id != root").select("doc_id")
     return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
