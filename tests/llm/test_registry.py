@@ -11,7 +11,8 @@ DATA = "/root/testdata/sf0.001"
 def test_query_equals_sql(spark, name):
     got = queries.queries()[name](spark, DATA)
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for name_of in ("documents", "embeddings"):
+        con.sql(f"create view {name_of} as select * from '{DATA}/{name_of}.parquet'")
     want = con.sql(queries.oracle_sql()[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
@@ -20,5 +21,5 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     found = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} <= {k.split("_")[0] for k in found} and "pipeline" in found
+    assert {f"op{n}" for n in range(1, 14)} <= {k.split("_")[0] for k in found} and "pipeline" in found
     assert set(queries.oracle_sql()) <= set(found)

@@ -1,0 +1,90 @@
+import math
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from fieldstream.llm import whitening as W
+
+NAN, INF = float("nan"), float("inf")
+
+
+def fit(rows, size, weigh="counts", most=32):
+    """The plain way: all vectors as Python integers, one covariance."""
+    good = [(i, [math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v]) for i, v in rows if v is not None and len(v) == size and all(c is not None and math.isfinite(c) for c in v)]
+    base = [x for _, x in good] if weigh == "counts" else [list(x) for x in {tuple(x) for _, x in good}]
+    n, sums = len(base), [sum(c) for c in zip(*base, strict=True)]
+    centred = np.array([[(n * c - s) / n for c, s in zip(x, sums, strict=True)] for x in base])
+    v = centred.T @ centred / n
+    e, u = np.linalg.eigh(v)
+    e, u = e[::-1][:most], u[:, ::-1][:, :most]
+    out = {}
+    for _, x in good:
+        d = [(n * c - s) for c, s in zip(x, sums, strict=True)]
+        out[tuple(x)] = (sum(c * c for c in d), (np.array(d) / n) @ u / np.sqrt(e))
+    return good, n, out, e / np.trace(v)
+
+
+def check(spark, rows, size, weigh="counts", components=32, budget=W.GROUP_BYTES):
+    df = spark.createDataFrame([(i, v, "c", "c", "c", "c") for i, v in rows], "vec_id long, embedding array<float>, id string, group string, x string, white string").repartition(4)
+    got = defaultdict(list)
+    for r in W.whiten(df, weigh=weigh, components=components, budget=budget).collect():
+        got[r.vec_id].append(r)
+    good, n, want, explained = fit(rows, size, weigh, components)
+    k = len(explained)
+    assert {i: len(v) for i, v in got.items()} == {i: c * k for i, c in Counter(i for i, _ in good).items()}
+    signs = {}
+    for i, x in good:
+        if sum(j == i for j, _ in good) > 1:
+            continue
+        mine = sorted(got[i], key=lambda r: r.component)
+        assert [r.component for r in mine] == list(range(1, k + 1)) and {(r.n, r.deviation) for r in mine} == {(n, want[tuple(x)][0])}
+        for j, r in enumerate(mine):
+            w = want[tuple(x)][1][j]
+            if abs(w) > 1e-3:
+                signs.setdefault(j, math.copysign(1, w * r.whitened))
+            assert abs(r.whitened - signs.get(j, 1) * w) < 1e-7 or abs(w) <= 1e-3
+            assert abs(r.explained / explained[j] - 1) < 1e-8 and r.identity_error < 1e-8
+    return got
+
+
+def made(seed, n, size, hot=0.3):
+    rng = np.random.default_rng(seed)
+    mix = rng.normal(size=(size, size)) * np.linspace(3, 0.3, size)[:, None]
+    rows = [(k, (rng.normal(size=size) @ mix).astype("f4").tolist()) for k in range(n)]
+    return [(k, rows[0][1] if rng.random() < hot else rows[k - 5][1] if k % 9 == 8 else v) for k, v in rows]
+
+
+@pytest.mark.parametrize("weigh", ["counts", "one"])
+def test_equals_the_plain_way(spark, weigh):
+    rows = made(1, 400, 7)
+    check(spark, rows, 7, weigh)
+    check(spark, rows, 7, weigh, components=3, budget=500)  # many groups for each vector
+
+
+def test_more_dimensions_than_components(spark):
+    check(spark, made(2, 300, 40), 40)
+
+
+def test_odd_rows(spark):
+    rows = made(3, 60, 3)
+    rows += [(None, [0.5, 0.25, 0.125]), (1000, [1.0, None, 2.0]), (1001, [1.0, NAN, 2.0]), (1002, [INF, 1.0, 2.0]), (1003, None), (1004, []), (1005, [1.0, 2.0]), (7, [0.1, 0.2, 0.3]), (7, [0.1, 0.2, 0.3])]
+    got = check(spark, rows, 3)
+    assert not {1000, 1001, 1002, 1003, 1004, 1005} & set(got) and len(got[None]) == 3 and len(got[7]) == 9
+    assert {i for i in got if i is not None} == set(range(60))
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert W.whiten(frame([])).count() == W.whiten(frame([(1, None), (2, []), (3, [NAN])])).count() == W.whiten(frame([(1, [1.0, 2.0])] * 3)).count() == 0
+    # all vary in one direction only, so there is one component
+    assert {r.component for r in W.whiten(frame([(k, [float(k), 2.0 * k]) for k in range(9)])).collect()} == {1}
+    with pytest.raises(ValueError):
+        W.whiten(frame([]), weigh="twice")
+
+
+def test_exact_beyond_a_long():
+    sums = [10**30, -(10**25)]
+    x = np.array([[2**62, -(2**62)], [5, 7]])
+    assert W._int_sum(x, np.array([10**6, 3])).tolist() == [2**62 * 10**6 + 15, -(2**62) * 10**6 + 21]
+    for n in (10, 10**9, 3 * 10**12):
+        for rows in (np.array([[3, 4]]), x):
+            want = [sum((n * int(c) - s) ** 2 for c, s in zip(r, [s % (n * 10) for s in sums], strict=True)) for r in rows]
+            assert W.deviations(rows, n, [s % (n * 10) for s in sums]) == [w if w < 2**63 else None for w in want]
