@@ -15,24 +15,45 @@ BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 LEVELS = ("SAFE", "WARN", "DANGER")
 
 
+# Fixed value: what counts as white space at the ends of a text.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
+#: A decimal number, single underscores between its digits, or a name of infinity or NaN; no suffix of a type and no hexadecimal.
+NUMBER = r"^[+-]?(?:(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?|(?i:inf|infinity|nan))$"
+#: A whole date, and after it perhaps a time and an offset.
+TIME = r"^(?!0000)\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::\d{2}(?::\d{2}(?:\.\d+)?)?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
+
+
+def stripped(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.btrim(c, F.lit(WHITE))
+
+
 def number(c: Column | str) -> Column:
-    """Text to double; blanks and garbage become null."""
-    return F.trim(F.col(c) if isinstance(c, str) else c).try_cast("double")
+    """Text to double; blanks and whatever is no decimal number become null."""
+    text = stripped(F.col(c) if isinstance(c, str) else c)
+    return F.when(text.rlike(NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    return F.nullif(stripped(c), F.lit(""))
 
 
 def timestamp(text: Column) -> Column:
-    """ISO-8601 text to a timestamp: T or a space, any number of fraction digits, Z or an offset; without one it is UTC."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(text), r"^(\d{4}-\d{2}-\d{2}) ", "$1T"), r"(\.\d{6})\d+", "$1")
-    return plain.try_cast("timestamp")
+    """ISO-8601 text to a timestamp, null for anything else (a time without a date, a year alone, names of zones).
+
+    A date, T or a space, hours with or without minutes and seconds, any number of fraction digits, Z or an offset; without one it is UTC.
+    """
+    text = stripped(text)
+    whole = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
+    for shorter in (r"^(\S{10}[T ]\d{2})(?=$|[Z+-])", r"^(\S{10}[T ]\d{2}:\d{2})(?=$|[Z+-])"):
+        whole = F.regexp_replace(whole, shorter, "$1:00")
+    return F.when(text.rlike(TIME), whole.try_cast("timestamp"))
 
 
 def normal_time(text: Column) -> Column:
-    """The text form that events carry: trimmed, T between date and time, +00:00 for Z; blank becomes null."""
-    return blank_to_null(F.regexp_replace(F.regexp_replace(F.trim(text), "Z$", "+00:00"), r"^(\d{4}-\d{2}-\d{2}) ", "$1T"))
+    """The text form that events carry: trimmed, +00:00 for each Z, T between date and time; blank becomes null."""
+    plain = F.replace(stripped(text), F.lit("Z"), F.lit("+00:00"))
+    return F.nullif(F.regexp_replace(plain, r"(?s)^(.{10}) (?=.)", "$1T"), F.lit(""))
 
 
 def millis(ts: Column) -> Column:
@@ -101,17 +122,17 @@ def dedup_key(md5sum: Column, captured_at: Column) -> Column:
 
 def sensor_of(sensor_id: Column, device_id: Column) -> Column:
     """sensor_id, or a device_id that is neither blank nor "0"."""
-    device = F.trim(device_id)
+    device = stripped(device_id)
     return F.coalesce(blank_to_null(sensor_id), F.when((device != "") & (device != "0"), device))
 
 
 def checked_unit(unit: Column) -> Column:
-    return F.when(F.trim(unit).isin(*UNITS), F.trim(unit))
+    return F.when(stripped(unit).isin(*UNITS), stripped(unit))
 
 
 def plausible(cpm: Column) -> Column:
     """Between 0 and a million; a null passes, text that is no number and NaN don't."""
-    value = cpm.try_cast("double")
+    value = F.when(F.typeof(cpm) == "string", number(cpm.cast("string"))).otherwise(cpm.try_cast("double"))  # the optimizer takes one of them
     return cpm.isNull() | F.coalesce(value.between(0.0, MOST_CPM) & ~F.isnan(value), F.lit(False))
 
 

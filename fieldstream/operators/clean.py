@@ -45,9 +45,9 @@ def discard_reason(e: Column, raw: Column | None = None) -> Column:
     for name in REQUIRED:
         missing = missing | F.coalesce(e[name].cast("string"), F.lit("")).eqNullSafe("")
     text = e["cpm"].cast("string")
-    cpm = text.try_cast("double")
+    cpm = X.number(text)
     no_object = e.isNull() if raw is None else (e.isNull() | ~F.coalesce(F.trim(raw), F.lit("")).startswith("{"))
-    lat, lon = e["latitude"].cast("string").try_cast("double"), e["longitude"].cast("string").try_cast("double")
+    lat, lon = X.number(e["latitude"].cast("string")), X.number(e["longitude"].cast("string"))
     odd = ~X.valid_position(lat, lon) | X.timestamp(e["captured_at"].cast("string")).isNull() | (e["unit"].isNotNull() & ~e["unit"].isin(*X.UNITS))
     if raw is not None:
         odd = odd | breaks_contract(raw)
@@ -68,7 +68,7 @@ def parse(messages: DataFrame, value: str = "value") -> DataFrame:
     e = F.col("event")
     typed = decode(messages, value).select(
         *(e[n].alias(n) for n in ("sensor_id", "unit", "classification", "sensor_type", "location_name", "surface", "loader_id", "md5sum")),
-        X.timestamp(e["captured_at"]).alias("captured_at"), X.timestamp(e["uploaded_at"]).alias("uploaded_at"), *(e[n].try_cast("double").alias(n) for n in ("latitude", "longitude", "cpm", "height")),
+        X.timestamp(e["captured_at"]).alias("captured_at"), X.timestamp(e["uploaded_at"]).alias("uploaded_at"), *(X.number(e[n]).alias(n) for n in ("latitude", "longitude", "cpm", "height")),
     )
     return typed.dropna(subset=list(REQUIRED))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +22,18 @@ FIELDS = {
 }
 
 
+def instant(text: str) -> datetime:
+    """An ISO-8601 text as ``X.timestamp`` reads it: an instant, UTC where it has no offset."""
+    text = text.strip(X.WHITE)
+    if not re.match(X.TIME, text):
+        raise ValueError(f"no ISO-8601 time: {text!r}")
+    when = datetime.fromisoformat(re.sub(r"(\.\d{6})\d+", r"\1", text))
+    return when.replace(tzinfo=UTC) if when.tzinfo is None else when.astimezone(UTC)
+
+
 @dataclass(frozen=True)
 class View:
-    """A box and a span, either of which may be absent; both ends count."""
+    """A box and a span, either of which may be absent; both ends count.  A span is kept as UTC text."""
 
     box: Box | None = None
     start: str | None = None
@@ -31,16 +42,31 @@ class View:
     def __post_init__(self):
         if (self.start is None) != (self.end is None):
             raise ValueError("a span needs both ends")
-        if self.start is not None and not self.start < self.end:
-            raise ValueError("a span must end after it starts")
+        if self.start is not None:
+            start, end = instant(self.start), instant(self.end)
+            if not start < end:
+                raise ValueError("a span must end after it starts")
+            object.__setattr__(self, "start", start.isoformat())
+            object.__setattr__(self, "end", end.isoformat())
 
     @classmethod
     def of(cls, request: Mapping) -> View:
-        """From a request: a box has all four sides or none."""
-        sides = [request.get(k) for k in ("min_lat", "max_lat", "min_lon", "max_lon")]
+        """From a request: sides and ends in it, or in its objects ``area`` and ``timespan``.
+
+        A box has all four sides or none, which must be numbers; ends are ISO-8601 texts, and a blank one is none.
+        """
+        area, span = (request.get(k) or {} if "area" in request or "timespan" in request else request for k in ("area", "timespan"))
+        if not isinstance(area, Mapping) or not isinstance(span, Mapping):
+            raise ValueError("area and timespan must be objects")
+        sides = [area.get(k) for k in ("min_lat", "max_lat", "min_lon", "max_lon")]
         if any(s is not None for s in sides) and any(s is None for s in sides):
             raise ValueError("a box needs all four sides")
-        return cls(None if sides[0] is None else Box(*map(float, sides)), request.get("start"), request.get("end"))
+        if any(isinstance(s, bool) or not isinstance(s, int | float) for s in sides if s is not None):
+            raise ValueError("the sides of a box must be numbers")
+        ends = [span.get(k) or None for k in ("start", "end")]
+        if any(e is not None and not isinstance(e, str) for e in ends):
+            raise ValueError("the ends of a span must be texts")
+        return cls(None if sides[0] is None else Box(*map(float, sides)), *ends)
 
     def matches(self, kind: str, columns: list[str]) -> Column:
         """Whether a message of this kind is seen; one without the fields is, and so is an unknown kind."""

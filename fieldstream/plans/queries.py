@@ -26,6 +26,11 @@ from fieldstream.sources.readings import READINGS_SQL, readings
 
 PRECISION, COOLDOWN_S = 2, 3 * 86_400
 TIE = ["uploaded_at", "seq"]
+# texts that are no numbers but for the last four, and blanks of several kinds
+ODD_NUMBERS = ("5d", "5f", "0x1p3", "1__0", "1_0", "\t7.5\u00a0", "+.5e1", "8.")
+BLANK = "\t\x1f\u2003"
+# texts that are no times, and one that is
+ODD_TIMES = ("12:30", "2024", "2024-01", "2024-01-01 5:3", "2024-01-01T05:03:00 Europe/Paris", "2024-01-01T05:03:04.1234567+09:00")
 VIEW = V.View(H.Box(-40.0, 50.0, -120.0, 120.0), "2024-01-05", "2024-01-20 12:00:00")
 
 
@@ -75,11 +80,12 @@ def archive(spark, sf_dir):
 def raw_rows(spark, sf_dir):
     """Readings as rows of text, the way a file has them, with what goes wrong in files."""
     r, k = readings(spark, sf_dir), F.col("seq")
+    odd = F.get(F.array(*map(F.lit, ODD_NUMBERS)), F.floor(k / 31).cast("int") % len(ODD_NUMBERS))
     return r.select(
         F.date_format("captured_at", "yyyy-MM-dd HH:mm:ss").alias("captured_at"), F.when(k % 11 == 0, "").otherwise(F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("uploaded_at"),
-        F.when(k % 3 == 0, F.lit(" ")).otherwise(F.col("sensor_id")).alias("sensor_id"), F.when(k % 15 == 0, "0").otherwise(F.concat(F.lit("d"), "sensor_id")).alias("device_id"),
+        F.when(k % 3 == 0, F.when(k % 2 == 0, " ").otherwise(BLANK)).otherwise(F.col("sensor_id")).alias("sensor_id"), F.when(k % 15 == 0, "0").otherwise(F.concat(F.lit("d"), "sensor_id")).alias("device_id"),
         F.when(k % 23 == 0, "north").when(k % 29 == 0, "95.5").otherwise(F.col("latitude").cast("string")).alias("latitude"), F.col("longitude").cast("string").alias("longitude"),
-        F.when(k % 13 == 0, "n/a").otherwise(F.col("cpm").cast("string")).alias("value"), F.concat(F.col("unit"), F.lit(" ")).alias("unit"), F.when(k % 7 == 0, "").otherwise(F.col("md5sum")).alias("md5sum"),
+        F.when(k % 13 == 0, "n/a").when(k % 31 == 0, odd).otherwise(F.col("cpm").cast("string")).alias("value"), F.concat(F.col("unit"), F.when(k % 5 == 0, BLANK).otherwise(" ")).alias("unit"), F.when(k % 7 == 0, "").otherwise(F.col("md5sum")).alias("md5sum"),
     )
 
 
@@ -112,12 +118,13 @@ def backfill_spans(spark, sf_dir):
 def messages(spark, sf_dir):
     """Readings as JSON messages, some of which break the contract."""
     r, k = readings(spark, sf_dir), F.col("seq")
+    odd = F.get(F.array(*map(F.lit, ODD_TIMES)), F.floor(k / 11).cast("int") % len(ODD_TIMES))
     fields = [
-        F.when(k % 19 == 0, "").otherwise(F.col("sensor_id")).alias("sensor_id"), F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss").alias("captured_at"), F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at"),
+        F.when(k % 19 == 0, "").otherwise(F.col("sensor_id")).alias("sensor_id"), F.when(k % 11 == 0, odd).otherwise(F.date_format("captured_at", "yyyy-MM-dd'T'HH:mm:ss")).alias("captured_at"), F.date_format("uploaded_at", "yyyy-MM-dd'T'HH:mm:ss").alias("uploaded_at"),
         F.when(k % 23 == 0, F.lit(200.0)).otherwise(F.col("latitude")).alias("latitude"), "longitude", "unit", F.when(k % 59 == 0, "never").otherwise("SAFE").alias("classification"),
     ]
     number = F.when(k % 31 == 0, -5.0).when(k % 37 == 0, 9_999_999.0).otherwise(F.col("cpm"))
-    odd = S.to_json(*fields, F.when(k % 29 == 0, "x").otherwise("7").alias("cpm"))  # the second is a number sent as text
+    odd = S.to_json(*fields, F.when(k % 29 == 0, F.when(k % 2 == 0, "x").otherwise("5d")).otherwise("7").alias("cpm"))  # the last is a number sent as text
     more = S.to_json(*fields, number.alias("cpm"), F.lit(1).alias("unknown"))
     value = F.when(k % 41 == 0, "null").when(k % 43 == 0, "[1]").when((k % 29 == 0) | (k % 47 == 0), odd).when(k % 53 == 0, more).otherwise(S.to_json(*fields, number.alias("cpm")))
     return r.select("seq", value.alias("value"))
@@ -395,13 +402,14 @@ UNION_SQL = f"""
 WEIGHTED = "sum((cpm_avg::decimal(18,4) * case when cpm_avg is not null then count end::decimal(12,0))::decimal(30,4))::double / nullif(sum(count), 0)"
 IN_VIEW = "centroid_latitude between -40 and 50 and centroid_longitude between -120 and 120 and window_start between timestamp '2024-01-05' and timestamp '2024-01-20 12:00:00'"
 
+ODD_SQL = "[" + ", ".join(f"'{x}'" for x in ODD_NUMBERS) + f"][seq // 31 % {len(ODD_NUMBERS)} + 1]"
 MAPPED_SQL = f"""
-, raw as (select seq, captured_at as o_captured, uploaded_at as o_uploaded, sensor_id as o_sensor, latitude as o_latitude, longitude as o_longitude, cpm, unit as o_unit, strftime(captured_at, '%Y-%m-%d %H:%M:%S') as captured_at, case when seq % 11 = 0 then '' else strftime(uploaded_at, '%Y-%m-%dT%H:%M:%SZ') end as uploaded_at, case when seq % 3 = 0 then ' ' else sensor_id end as sensor_id,
+, raw as (select seq, captured_at as o_captured, uploaded_at as o_uploaded, sensor_id as o_sensor, latitude as o_latitude, longitude as o_longitude, cpm, unit as o_unit, strftime(captured_at, '%Y-%m-%d %H:%M:%S') as captured_at, case when seq % 11 = 0 then '' else strftime(uploaded_at, '%Y-%m-%dT%H:%M:%SZ') end as uploaded_at, case when seq % 6 = 0 then ' ' when seq % 3 = 0 then '{BLANK}' else sensor_id end as sensor_id,
     case when seq % 15 = 0 then '0' else 'd' || sensor_id end as device_id, case when seq % 23 = 0 then 'north' when seq % 29 = 0 then '95.5' else latitude::varchar end as latitude, longitude::varchar as longitude,
-    coalesce(case when seq % 13 = 0 then 'n/a' else cpm::varchar end, '') as value, unit || ' ' as unit, case when seq % 7 = 0 then '' else md5sum end as md5sum from readings),
+    coalesce(case when seq % 13 = 0 then 'n/a' when seq % 31 = 0 then {ODD_SQL} else cpm::varchar end, '') as value, unit || case when seq % 5 = 0 then '{BLANK}' else ' ' end as unit, case when seq % 7 = 0 then '' else md5sum end as md5sum from readings),
 mapped as (select case when seq % 3 <> 0 then o_sensor when seq % 15 <> 0 then 'd' || o_sensor end as sensor_id, strftime(o_captured, '%Y-%m-%dT%H:%M:%S') as captured_at,
     case when seq % 11 = 0 then strftime(o_captured, '%Y-%m-%dT%H:%M:%S') else strftime(o_uploaded, '%Y-%m-%dT%H:%M:%S+00:00') end as uploaded_at,
-    case when seq % 23 = 0 then null when seq % 29 = 0 then 95.5::double else o_latitude end as latitude, o_longitude as longitude, case when o_unit = 'cpm' and seq % 13 <> 0 then cpm end as cpm, case when o_unit in ({UNITS_SQL}) then o_unit end as unit,
+    case when seq % 23 = 0 then null when seq % 29 = 0 then 95.5::double else o_latitude end as latitude, o_longitude as longitude, case when o_unit = 'cpm' and seq % 13 <> 0 then case when seq % 31 = 0 then [null, null, null, null, 10.0::double, 7.5, 5.0, 8.0][seq // 31 % {len(ODD_NUMBERS)} + 1] else cpm end end as cpm, case when o_unit in ({UNITS_SQL}) then o_unit end as unit,
     case when seq % 15 = 0 then 'no sensor' when seq % 23 = 0 or seq % 29 = 0 then 'no position' end as reject_reason, case when raw.md5sum <> '' then raw.md5sum else
       md5(concat_ws(',', {", ".join(f"'{c}=' || raw.{c}" for c in sorted(("captured_at", "uploaded_at", "sensor_id", "device_id", "latitude", "longitude", "value", "unit", "md5sum")))})) end as md5sum
   from raw)
@@ -413,7 +421,7 @@ SQL = {
     "backfill_spans": sql(MAPPED_SQL, ", spans as (select * from (values ('both', '2024-01-05T06:00:00', '2024-01-20T12:00:00'), ('from', '2024-01-25T00:00:00', '9'), ('until', '0', '2024-01-02T00:00:00'), ('preset', '2011-03-11T00:00:00', '2011-04-30T23:59:59'), ('preset_open', '2011-03-11T00:00:00', '2024-01-03T00:00:00')) v(span, low, high))",
       "select span, count(captured_at) as events, min(captured_at) as first, max(captured_at) as last from spans left join (select * from mapped where reject_reason is null) on captured_at between low and high group by span"),
     "validate_reasons": sql("""select reason, count(*) as events, min(seq) as first_seq, sum(seq)::bigint as sum_seq from (select seq, case when seq % 41 = 0 or seq % 43 = 0 then 'not an object' when seq % 19 = 0 then 'missing field' when seq % 29 = 0 then 'cpm not numeric'
-      when seq % 47 <> 0 and (seq % 31 = 0 or seq % 37 = 0) then 'cpm out of range' when seq % 23 = 0 or unit = 'bogus' or seq % 47 = 0 or seq % 53 = 0 or seq % 59 = 0 then 'schema violation' else 'valid' end as reason from readings) group by reason"""),
+      when seq % 47 <> 0 and (seq % 31 = 0 or seq % 37 = 0) then 'cpm out of range' when seq % 23 = 0 or (seq % 11 = 0 and seq // 11 % 6 < 5) or unit = 'bogus' or seq % 47 = 0 or seq % 53 = 0 or seq % 59 = 0 then 'schema violation' else 'valid' end as reason from readings) group by reason"""),
     "clean_filters": sql("select seq, sensor_id, cpm, unit from readings where cpm between 0 and 1000000"),
     "dedup_first": sql(f"select seq, sensor_id, md5sum, {text_sql('uploaded_at')} as uploaded_at from (select *, row_number() over (partition by sensor_id, md5sum order by uploaded_at, seq) as rn from readings) where rn = 1"),
     "classify_levels": sql(f"select seq, cpm, c as classification, case c when 'SAFE' then 1 when 'WARN' then 2 when 'DANGER' then 3 else 0 end::int as severity from (select seq, cpm, {class_sql('cpm')} as c from readings)"),

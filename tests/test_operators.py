@@ -54,6 +54,32 @@ def test_scalars(spark):
     assert one(spark, *(X.track_time(F.lit(10.0), F.lit(20.0), F.lit(f)) for f in (-1.0, 0.25, 3.0))) == (10.0, 12.5, 20.0)
 
 
+def test_strict_texts(spark):
+    """What a plain parser of numbers and ISO times refuses is null, on any day."""
+    assert "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) == "".join(sorted(X.WHITE))
+    numbers = ["5d", "5f", "0x1p3", "1__0", "_1", "1_", "1_0", "\t7.5\u00a0", "+.5e1", "8.", ".", "1e", "-3E-2", "inf", "-Infinity", "nan", "NaN", "1,5", "", "\u2003", "٣", "1 2"]
+
+    def plain(text):
+        try:
+            return float(text) if text.isascii() or text.strip().isascii() else None  # digits of other scripts are left out
+        except ValueError:
+            return None
+
+    got = one(spark, *(X.number(F.lit(x)) for x in numbers))
+    assert [repr(g) for g in got] == [repr(plain(x)) for x in numbers]
+    assert one(spark, *(X.plausible(F.lit(x)) for x in ("5d", "1_0", "\t7 "))) == (False, True, True)
+    bad = ["12:30", "2024", "2024-01", "2024-01-01 5:3", "2024-01-01T05:03 Europe/Paris", "2024-01-01T05:03:04 UTC", "2024-1-1", "2024-13-01", "2024-02-30", "2024-01-01T24:00", "2024-01-01T05:03:", "2024-01-01T05:03:04.", "T05:03", "epoch", "now", "20240101", "0000-01-01", "2024-01-01T05:03+9", "2024-01-01Z"]
+    good = ["2024-01-01", "2024-01-01T05", "2024-01-01 05:03", "\t2024-01-01T05:03:04.1234567+09:00\u2003", "2024-01-01T05:03:04Z", "2024-01-01T05-02:30", "2024-02-29T23:59:59.999999"]
+    assert one(spark, *(X.timestamp(F.lit(t)) for t in bad)) == (None,) * len(bad)
+    got = one(spark, *(F.unix_micros(X.timestamp(F.lit(t))) for t in good))
+    assert list(got) == [round(V.instant(t).timestamp() * 1e6) for t in good]
+    for t in bad:
+        with pytest.raises(ValueError):
+            V.View(start=t, end="2099-01-01")
+    assert one(spark, *(X.normal_time(F.lit(t)) for t in ("\t2024-01-01 05:03:04Z ", "2024-01-01Z05", "\x1f", "12:30"))) == ("2024-01-01T05:03:04+00:00", "2024-01-01+00:0005", None, "12:30")
+    assert one(spark, X.sensor_of(F.lit("\t"), F.lit("77\u3000")), X.sensor_of(F.lit("\x1c"), F.lit("\t0")), X.checked_unit(F.lit("cpm\t")), X.blank_to_null(F.lit("\u2003"))) == ("77", None, "cpm", None)
+
+
 def test_map_rows(spark):
     names = ["captured_at", "device_id", "sensor_id", "latitude", "longitude", "value", "unit", "height", "location_name", "measurement_import_id"]
     rows = [
@@ -81,7 +107,7 @@ def test_contract_on_types_and_properties(spark):
     """JSON types, unknown properties, lists and patterns of the fields."""
     whole = {"sensor_id": "s", "captured_at": "2026-06-19T01:00:00Z", "uploaded_at": "2026-06-19T01:00:00Z", "latitude": 1.5, "longitude": 2}
     good = [{}, {"cpm": 21.0, "unit": "cpm"}, {"cpm": None, "height": None, "surface": None, "md5sum": None}, {"classification": "WARN", "sensor_type": "fixed", "md5sum": "0a" * 16, "loader_id": "7", "height": 1e3}]
-    bad = [{"cpm": "7"}, {"latitude": "1.5"}, {"sensor_id": 5}, {"height": "1"}, {"unit": None}, {"unit": "bq"}, {"extra": 1}, {"classification": "HIGH"}, {"sensor_type": "car"}, {"md5sum": "xyz"}, {"location_name": 3}, {"loader_id": True}, {"surface": {"a": 1}}]
+    bad = [{"captured_at": t} for t in ("12:30", "2024", "2024-01", "2024-01-01 5:3")] + [{"cpm": "7"}, {"latitude": "1.5"}, {"sensor_id": 5}, {"height": "1"}, {"unit": None}, {"unit": "bq"}, {"extra": 1}, {"classification": "HIGH"}, {"sensor_type": "car"}, {"md5sum": "xyz"}, {"location_name": 3}, {"loader_id": True}, {"surface": {"a": 1}}]
     df = spark.createDataFrame([(k, json.dumps(whole | x)) for k, x in enumerate(good + bad)], "k int, value string")
     valid, quarantine = Q.split_valid(df)
     assert sorted(r.k for r in valid.collect()) == list(range(len(good)))
@@ -261,6 +287,23 @@ def test_views(spark):
     assert [r.lane for r in d] == [0, 0, 1, 1, 1]
 
 
+def test_views_with_offsets_and_types(spark):
+    """Ends of a span are compared as instants, and a request's parts must have their types."""
+    view = V.View(start="2024-01-05T00:00:00+09:00", end="2024-01-04T20:00:00Z")
+    assert (view.start, view.end) == ("2024-01-04T15:00:00+00:00", "2024-01-04T20:00:00+00:00")
+    for start, end in (("2024-01-04T20:00:00Z", "2024-01-05T00:00:00+09:00"), ("2024-01-05", "2024-01-05T00:00:00Z"), ("2024-01-05T09:00:00+09:00", "2024-01-05")):
+        with pytest.raises(ValueError):
+            V.View(start=start, end=end)
+    rows = spark.createDataFrame([(k, f"2024-01-04 {h}:00:00") for k, h in enumerate((14, 15, 18, 20, 21))] + [(9, None), (10, "12:30")], "seq long, captured_at string")
+    assert sorted(r.seq for r in V.seen(rows, view).collect()) == [1, 2, 3, 9, 10]
+    box = {"min_lat": 1, "max_lat": 2.5, "min_lon": 3, "max_lon": 4}
+    assert V.View.of({"type": "subscribe", "area": box, "timespan": {"start": "2024-01-05", "end": "2024-01-06"}}) == V.View(H.Box(1.0, 2.5, 3.0, 4.0), "2024-01-05", "2024-01-06")
+    assert V.View.of({"area": None, "timespan": {"start": "", "end": None}}) == V.View() == V.View.of({})
+    for bad in ({"area": box | {"min_lat": "1"}}, {"area": box | {"min_lon": True}}, {"area": [1]}, {"timespan": "2024"}, {"timespan": {"start": "2024-01-05", "end": 7}}, {"timespan": {"start": "2024", "end": "2025-01-01"}}, {"timespan": {"start": "2024-01-05"}}, {"min_lat": "1", "max_lat": 2, "min_lon": 3, "max_lon": 4}):
+        with pytest.raises(ValueError):
+            V.View.of(bad)
+
+
 def test_insights_of_an_empty_archive(spark):
     empty = spark.createDataFrame([], "geohash string, window_start timestamp, count long, cpm_avg double, cpm_max double, danger_count long, anomaly boolean, centroid_latitude double, centroid_longitude double")
     assert tuple(H.summary(empty).first()) == (0, 0, 0, None, None, None) and H.timeseries(empty).count() == 0 and H.hotspots(empty).count() == 0
