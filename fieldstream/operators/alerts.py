@@ -20,20 +20,59 @@ def sustained_high(events: DataFrame, window: str = "300 seconds", slide: str =
     )
 
 
+#: Gaps that a slice of positions spans.
+SLICE_GAPS = 512
+
+
+def _first(rows: Column, keep) -> Column:
+    """The first element that ``keep`` holds for, or null."""
+    return F.get(F.filter(rows, keep), F.lit(0))
+
+
+def _jumps(at: Column, gap: int) -> Column:
+    """The jump table of a slice: (entry, exit) for each position at which a walk can come in, and the last one it then takes.
+
+    A walk comes in at the first position that is a gap after some position before the slice, so at one less than a gap after the first of the slice, or at the next one.
+    """
+    first = F.get(at, F.lit(0))
+    near = F.filter(at, lambda x: x < first + gap)
+    after = F.slice(F.filter(at, lambda x: x >= first + gap), 1, 1)
+    leave = lambda e: F.aggregate(F.filter(at, lambda x: x > e), e, lambda last, x: F.when(x - last >= gap, x).otherwise(last))
+    return F.transform(F.concat(near, after), lambda e: F.struct(e.alias("entry"), leave(e).alias("exit")))
+
+
 def spaced(rows: DataFrame, key: str, position: Column, gap: int) -> DataFrame:
     """The rows of each key that a greedy walk takes: the first, then each at least ``gap`` after the last one taken.
 
-    The walk folds over the sorted distinct positions of a key, which are few: one for each alert window.
+    The positions of a key are cut into slices of 512 gaps.  A slice alone tells where a walk leaves it for each
+    position at which it can come in; these tables, composed over the slices of a key, give the position taken before each slice, from
+    which it is walked on its own.  So a row holds the positions of one slice, or one table for each slice of a key (a hundred years of
+    ten-minute gaps are 10,000 slices), and each position is met once for each other one within a gap of it.  Rows without a key or position are left out.
     """
+    reach = max(gap, 1)
     placed = rows.withColumn("__at", position.cast("long"))
+    points = placed.where(F.col("__at").isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), "__at", F.expr(f"__at div {SLICE_GAPS * reach}").alias("__slice"))
+    # few bytes and much work: without a number the small partitions would become one
+    dealt = points.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__key", "__slice")
+    slices = dealt.groupBy("__key", "__slice").agg(F.sort_array(F.collect_set("__at")).alias("at"))
+    table = F.struct(F.col("__slice").alias("slice"), _jumps(F.col("at"), reach).alias("jumps"))
+    chain = slices.select("__key", table.alias("__table")).groupBy("__key").agg(F.sort_array(F.collect_list("__table")).alias("tables"))
+    begin = F.get(F.get("tables", F.lit(0))["jumps"], F.lit(0))["entry"] - reach
+    none = F.struct(begin.alias("last"), F.expr("cast(array() as array<struct<slice: bigint, last: bigint>>)").alias("out"))
+
+    def through(acc: Column, t: Column) -> Column:
+        """A slice without a position far enough changes nothing."""
+        last = F.coalesce(_first(t["jumps"], lambda j: j["entry"] >= acc["last"] + reach)["exit"], acc["last"])
+        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(F.struct(t["slice"].alias("slice"), acc["last"].alias("last")))).alias("out"))
+
+    known = chain.select("__key", F.explode(F.aggregate("tables", none, through, lambda acc: acc["out"])).alias("s")).select("__key", F.col("s.slice").alias("__slice"), F.col("s.last").alias("__last"))
 
     def take(acc: Column, x: Column) -> Column:
-        ok = (F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap)
-        return F.when(ok, F.concat(acc, F.array(x))).otherwise(acc)
+        return F.when(x - acc["last"] >= reach, F.struct(x.alias("last"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
 
-    empty = F.expr("cast(array() as array<bigint>)")
-    taken = placed.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_set("__at")), empty, lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(take(a, x))).alias("__all"))
-    return placed.join(taken.select(key, F.explode("__all").alias("__at")), [key, "__at"], "left_semi").select(rows.columns)
+    walked = F.aggregate("at", F.struct(F.col("__last").alias("last"), F.expr("cast(array() as array<bigint>)").alias("out")), take, lambda acc: acc["out"])
+    taken = slices.join(known, ["__key", "__slice"]).select("__key", F.explode(walked).alias("__taken"))
+    return placed.join(taken, (F.col(key) == F.col("__key")) & (F.col("__at") == F.col("__taken")), "left_semi").select(rows.columns)
 
 
 def cooldown(alerts: DataFrame, seconds: int = COOLDOWN_S) -> DataFrame:

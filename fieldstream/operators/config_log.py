@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from fieldstream.functions import expr as X
 from fieldstream.schemas import AREA, CONFIG, SPAN
+from fieldstream.sources.scratch import kept, ranked
 
-#: Events and versions are dealt to slices of so many seconds; a log to so many slices of about equal size.
-SLICE_S, LOG_SLICES = 600, 256
+#: Seconds of a slice of events at least, slices that the versions of a log span at most, and lanes that the events of a slice are dealt to.
+SLICE_S, MOST_SLICES, LANES = 600, 100_000, 16
+#: Updates in a slice of a log.
+LOG_SLICE = 128
+COLUMNS = ["version", "effective_at", "warn", "danger", "area", "timespan"]
 
 
 def fault(u: Column) -> Column:
@@ -67,37 +72,94 @@ def _carried(rows: DataFrame, names: list[str], part: list[str], order: list[str
     return joined.select(*rows.columns, *(F.coalesce(f"__own_{n}", f"__in_{n}").alias(f"__last_{n}") for n in names))
 
 
+STATE = "struct<warn: double, danger: double>"
+NONE = 1 << 62  # a rank after all others
+
+
+def _state(warn: Column, danger: Column) -> Column:
+    return F.struct(warn.alias("warn"), danger.alias("danger"))
+
+
+def _piece(updates: Column, warn: Column, danger: Column, fixed: str) -> Column:
+    """What sound updates make of a state: ``t``, the rank of the first accepted one, and the thresholds after the last; ``fixed`` is null while no update replaces it."""
+    start = F.struct(_state(warn, danger).alias("now"), F.lit(None).cast("long").alias("t"), F.lit(False).alias("replaced"))
+
+    def step(acc: Column, u: Column) -> Column:
+        new = _state(*(F.coalesce(u[n], acc["now"][n]) for n in ("warn", "danger")))
+        after = F.struct(new.alias("now"), F.coalesce(acc["t"], u["rank"]).alias("t"), (acc["replaced"] | u[fixed].isNotNull()).alias("replaced"))
+        return F.when(new["warn"] < new["danger"], after).otherwise(acc)
+
+    def end(acc: Column) -> Column:
+        value = lambda n: (F.when(acc["replaced"], acc["now"][n]) if n == fixed else acc["now"][n]).alias(n)
+        return F.struct(acc["t"].alias("t"), value("warn"), value("danger"))
+
+    return F.aggregate(updates, start, step, end)
+
+
+def _pieces(updates: Column) -> tuple[Column, Column]:
+    """A slice of the log as a map of the state before it: pieces by the danger threshold, and pieces by the warn threshold.
+
+    Until one is replaced, an update is judged by the other threshold alone: a new warn by the danger that came in, a new danger by the
+    warn that came in.  What happens once the first is accepted depends on the one that still stands.  So there is one piece
+    for each interval between the values that it is compared with; neighbours alike are merged.
+    """
+    values = lambda n: F.array_sort(F.array_distinct(F.filter(F.transform(updates, lambda u: u[n]), lambda v: v.isNotNull())))
+    infinite = F.lit(float("inf"))
+    by_danger = F.transform(F.concat(values("warn"), F.array(infinite)), lambda b: F.struct(b.alias("bound"), _piece(updates, infinite, b, "danger").alias("then")))
+    by_warn = F.transform(F.concat(F.array(-infinite), values("danger")), lambda a: F.struct(a.alias("bound"), _piece(updates, a, -infinite, "warn").alias("then")))
+    return by_danger, by_warn
+
+
+def _merged(pieces: Column, step: int) -> Column:
+    """Of neighbours with one outcome, the one whose bound holds for all."""
+    return F.filter(pieces, lambda p, i: ~F.coalesce(p["then"].eqNullSafe(F.get(pieces, i + step)["then"]) & F.get(pieces, i + step).isNotNull(), F.lit(False)))
+
+
+def _after(now: Column, by_danger: Column, by_warn: Column) -> Column:
+    """The state after a slice."""
+    d = F.coalesce(F.get(F.filter(by_danger, lambda p: now["danger"] <= p["bound"]), F.lit(0)), F.element_at(by_danger, -1))["then"]
+    w = F.element_at(F.filter(by_warn, lambda p: p["bound"] <= now["warn"]), -1)["then"]
+    td, tw = F.coalesce(d["t"], F.lit(NONE)), F.coalesce(w["t"], F.lit(NONE))
+    first_warn, first_danger = _state(d["warn"], F.coalesce(d["danger"], now["danger"])), _state(F.coalesce(w["warn"], now["warn"]), w["danger"])
+    return F.when((td <= tw) & (td < NONE), first_warn).when(tw < NONE, first_danger).otherwise(now)
+
+
 def versions(log: DataFrame) -> DataFrame:
     """Folds a log (version, effective_at, warn, danger, area, timespan; nulls keep what is current) in order.
 
     One row per accepted update: version, effective_at and the merged state.  An update whose
-    merged state is invalid changes nothing.  An update that is invalid by itself is never accepted; a valid one with both thresholds
-    always is, whatever came before.  So the log is cut at these, and each piece is folded on its own; areas and
-    timespans are carried over the accepted updates.  Only a run of updates with one threshold each is folded in one row.
+    merged state is invalid changes nothing.  The log is cut into slices of 128 updates, and each becomes a map of the thresholds
+    that come in.  A slice with an update of both thresholds leaves a state of its own, so maps are composed only from
+    one such slice to the next, and each slice is then folded from the state it begins with.  Only one row for each slice,
+    with its merged map, ever meets in one task.  Areas and timespans are carried over the accepted updates.
     """
-    columns = ["version", "effective_at", "warn", "danger", "area", "timespan"]
-    # plain numbers, so that both uses of the slices agree
-    cuts = log.agg(F.percentile_approx("version", [k / LOG_SLICES for k in range(1, LOG_SLICES)]).alias("c")).first().c or []
-    cuts = F.lit(sorted({int(c) for c in cuts})).cast("array<long>") if cuts else F.array().cast("array<long>")
-    sound = log.select(*columns).where(fault(F.struct("warn", "danger", "area", "timespan")).isNull())
-    sliced = sound.withColumn("__slice", F.size(F.filter(cuts, lambda c: c <= F.col("version"))))
-    sliced = sliced.withColumn("__reset", F.when(F.col("warn").isNotNull() & F.col("danger").isNotNull(), F.struct("version", "effective_at")))
-    pieces = _carried(sliced, ["__reset"], ["__slice"], columns)
-    state_type = "struct<warn: double, danger: double>"
-    rows = F.array_sort(F.collect_list(F.struct(*columns, "__slice")))
-    out_type = f"struct<version: bigint, effective_at: timestamp, warn: double, danger: double, area: {AREA.simpleString()}, timespan: {SPAN.simpleString()}, __slice: int>"
-    first = F.expr(f"named_struct('now', cast(named_struct('warn', {X.WARN}D, 'danger', {X.DANGER}D) as {state_type}), 'out', cast(array() as array<{out_type}>))")
+    sound = log.select(*COLUMNS).where(fault(F.struct("warn", "danger", "area", "timespan")).isNull())
+    update = F.struct(F.col("__rank").alias("rank"), *COLUMNS)
+    ordered = ranked(sound, COLUMNS, "config-log").withColumn("__slice", F.expr(f"cast(__rank div {LOG_SLICE} as int)"))
+    # few bytes and much work: without a number the small partitions would become one
+    slices = ordered.repartition(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__slice").groupBy("__slice").agg(F.sort_array(F.collect_list(update)).alias("updates"))
+    by_danger, by_warn = _pieces(F.col("updates"))
+    both = F.exists("updates", lambda u: u["warn"].isNotNull() & u["danger"].isNotNull())
+    raw = slices.select("__slice", both.alias("both"), by_danger.alias("d"), by_warn.alias("w"))
+    maps = kept(raw.select("__slice", "both", _merged(F.col("d"), 1).alias("d"), _merged(F.col("w"), -1).alias("w")), "config-maps")
+    default = _state(F.lit(X.WARN), F.lit(X.DANGER))
+    earlier = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.when(F.col("both"), _after(default, F.col("d"), F.col("w"))).cast(STATE)
+    begun = maps.select("__slice", own.alias("own"), F.col("both").cast("int").alias("n")).select(F.col("__slice"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("run"), F.coalesce(F.last("own", ignorenulls=True).over(earlier), default.cast(STATE)).alias("start"))
+    runs = maps.join(begun, "__slice").groupBy("run").agg(F.first("start").alias("start"), F.sort_array(F.collect_list(F.struct("__slice", "d", "w"))).alias("parts"))
+    none = F.struct(F.col("start").alias("now"), F.expr(f"cast(array() as array<struct<__slice: int, start: {STATE}>>)").alias("out"))
+    step = lambda acc, p: F.struct(_after(acc["now"], p["d"], p["w"]).cast(STATE).alias("now"), F.concat(acc["out"], F.array(F.struct(p["__slice"].alias("__slice"), acc["now"].alias("start")))).alias("out"))
+    starts = runs.select(F.explode(F.aggregate("parts", none, step, lambda acc: acc["out"])).alias("s")).select("s.*")
+    out_type = f"struct<version: bigint, effective_at: timestamp, warn: double, danger: double, area: {AREA.simpleString()}, timespan: {SPAN.simpleString()}>"
 
     def merge(acc: Column, u: Column) -> Column:
-        now = acc["now"]
-        new = F.struct(*(F.coalesce(u[n], now[n]).alias(n) for n in ("warn", "danger")))
-        ok = fault(F.struct(new["warn"].alias("warn"), new["danger"].alias("danger"), u["area"].alias("area"), u["timespan"].alias("timespan"))).isNull()
-        row = F.struct(u["version"].cast("long").alias("version"), u["effective_at"].alias("effective_at"), new["warn"].alias("warn"), new["danger"].alias("danger"), u["area"].alias("area"), u["timespan"].alias("timespan"), u["__slice"].alias("__slice")).cast(out_type)
-        return F.struct(F.when(ok, new).otherwise(now).alias("now"), F.when(ok, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
-
-    folded = pieces.groupBy("__last___reset").agg(F.aggregate(rows, first, merge, lambda acc: acc["out"]).alias("v"))
-    accepted = folded.select(F.explode("v").alias("v")).select("v.*")
-    whole = _carried(accepted, ["area", "timespan"], ["__slice"], columns)
+        new = _state(*(F.coalesce(u[n], acc["now"][n]) for n in ("warn", "danger")))
+        row = F.struct(u["version"].cast("long").alias("version"), u["effective_at"].alias("effective_at"), new["warn"].alias("warn"), new["danger"].alias("danger"), u["area"].alias("area"), u["timespan"].alias("timespan")).cast(out_type)
+        return F.when(new["warn"] < new["danger"], F.struct(new.cast(STATE).alias("now"), F.concat(acc["out"], F.array(row)).alias("out"))).otherwise(acc)
+
+    folded = F.aggregate("updates", F.struct(F.col("start").alias("now"), F.expr(f"cast(array() as array<{out_type}>)").alias("out")), merge, lambda acc: acc["out"])
+    accepted = kept(slices.join(starts, "__slice").select("__slice", F.explode(folded).alias("v")).select("__slice", "v.*"), "config-versions")
+    whole = _carried(accepted, ["area", "timespan"], ["__slice"], COLUMNS)
     return whole.select("version", "effective_at", "warn", "danger", F.col("__last_area").alias("area"), F.col("__last_timespan").alias("timespan"))
 
 
@@ -108,19 +170,35 @@ def current(all_versions: DataFrame) -> DataFrame:
 
 
 def as_of(events: DataFrame, all_versions: DataFrame, time: str = "captured_at") -> DataFrame:
-    """Adds ``config``: the version in force at each event's time, null before the first.
+    """Adds ``config``: the version in force at each event's time, null before the first; of versions with equal times the later one holds.
 
-    One ordered pass: versions and events of a slice of time are sorted together, versions first, and each event looks
-    back to the last version, or to the one its slice began with; of versions with equal times the later one holds.
+    One ordered pass over versions and events without a join: they are cut into slices of time, the versions of a
+    slice, and the one it begins with, go to each of 16 lanes, and its events are dealt to the lanes, so a slice with all events is spread.  Events are read once.
+    Slices are ten minutes long, or longer where the log spans more than 100,000 of these.
     """
-    part = F.floor(F.unix_seconds("__t") / SLICE_S)
     config = F.struct("version", "warn", "danger", "area", "timespan")
-    side = all_versions.where("effective_at is not null").select(F.col("effective_at").alias("__t"), F.lit(0).alias("__kind"), F.col("version").alias("__v"), config.alias("__config"), F.lit(None).cast(events.schema).alias("__event"))
-    main = events.select(F.col(time).cast("timestamp").alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__v"), F.lit(None).cast(side.schema["__config"].dataType).alias("__config"), F.struct(*events.columns).alias("__event"))
-    # events without a time need no version, so they needn't meet
-    both = side.union(main).withColumn("__slice", part).withColumn("__lane", F.when(F.col("__t").isNull(), F.spark_partition_id()).otherwise(0))
-    seen = _carried(both, ["__config"], ["__slice", "__lane"], ["__t", "__kind", "__v"])
-    return seen.where("__kind = 1").select("__event.*", F.col("__last___config").alias("config"))
+    timed = all_versions.where("effective_at is not null").select(F.col("effective_at").alias("__t"), F.lit(0).alias("__kind"), F.col("version").alias("__v"), config.alias("__config"))
+    ends = timed.agg(F.min(F.unix_seconds("__t")).alias("low"), F.max(F.unix_seconds("__t")).alias("high")).first()
+    low, high = (ends.low, ends.high) if ends.low is not None else (0, 0)
+    width = max(SLICE_S, -(-(high - low) // MOST_SLICES))
+    place = lambda t: F.floor((F.unix_seconds(t) - low) / width)
+    last = (high - low) // width
+    timed = timed.withColumn("__slice", place("__t"))
+    ordered = Window.orderBy("__slice")  # one row for each slice
+    newest = timed.groupBy("__slice").agg(F.max_by("__config", F.struct("__t", "__v")).alias("__config")).withColumn("__next", F.coalesce(F.lead("__slice").over(ordered), F.lit(last + 1)))
+    carried = newest.select(F.explode(F.sequence(F.col("__slice") + 1, "__next")).alias("__slice"), "__config").select(
+        F.timestamp_seconds(F.col("__slice") * width + low).alias("__t"), F.lit(-1).alias("__kind"), F.lit(None).cast("long").alias("__v"), "__config", "__slice",
+    )
+    side = timed.unionByName(carried).withColumn("__lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1)))).withColumn("__event", F.lit(None).cast(events.schema))
+    plain = [f"`{f.name}`" for f in events.schema.fields if not isinstance(f.dataType, MapType | ArrayType | StructType | VariantType)]
+    at = F.col(time).cast("timestamp")
+    main = events.select(
+        at.alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__v"), F.lit(None).cast(timed.schema["__config"].dataType).alias("__config"), F.least(place(at), F.lit(last + 1)).alias("__slice"),
+        F.pmod(F.xxhash64(*plain, F.spark_partition_id()), F.lit(LANES)).cast("int").alias("__lane"), F.struct(*(F.col(f"`{c}`") for c in events.columns)).alias("__event"),
+    )
+    so_far = Window.partitionBy("__slice", "__lane").orderBy("__t", "__kind", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = side.unionByName(main).withColumn("__last", F.last("__config", ignorenulls=True).over(so_far)).where("__kind = 1")
+    return seen.select("__event.*", F.col("__last").alias("config"))
 
 
 def classify_as_of(events: DataFrame, all_versions: DataFrame) -> DataFrame:

@@ -59,7 +59,11 @@ def scratch_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="fieldstream-")
+    made = "file://" + tempfile.mkdtemp(prefix="fieldstream-")
+    at = spark._jvm.org.apache.hadoop.fs.Path(made)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def in_upload_order(rows: DataFrame, whole: bool = False) -> DataFrame:

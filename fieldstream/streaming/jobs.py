@@ -23,9 +23,9 @@ from fieldstream.operators import clean as Q
 from fieldstream.operators import config_log as G
 from fieldstream.operators import ingest as I
 from fieldstream.operators import views as V
-from fieldstream.schemas import CELL, EVENT, LOG
+from fieldstream.schemas import ALERT, CELL, EVENT, HOT_REGION, LOG, TREND
 from fieldstream.sources.tables import append_batch, archive_rows, console_line, to_json
-from fieldstream.streaming.processors import Cooldown, FirstOfRepeats, Mobility, NewestCell, RisingTrend, Rolling
+from fieldstream.streaming.processors import Cooldown, CooldownByTime, FirstOfRepeats, Mobility, NewestCell, RegionByTime, RisingTrend, Rolling, TrendByTime
 
 LATE, EVERY, PAUSE, FLUSH = "30 seconds", "60 seconds", 3600, "1 second"
 #: What keyed state needs.  State with a wall-clock life asks for a batch without data again and again, so jobs that end
@@ -166,6 +166,29 @@ def regional(alerts: DataFrame, cell_stream: DataFrame, precision: int = 5, wind
     return c.union(a).groupBy("geohash").transformWithState(NewestCell(max(10 * window_s, PAUSE) * 1000), "geohash string, alert string, hot_region string", "Append", "ProcessingTime")
 
 
+def alert_stream(clean: DataFrame, precision: int = 5, cell: str = "60 seconds", window: str = "300 seconds", slide: str = "60 seconds", cooldown_s: int = A.COOLDOWN_S, tie: str = "tie", keep_s: int = PAUSE) -> DataFrame:
+    """All alerts of a stream of classified events in the form of the contract: sustained ones after the cooldown with their hot_region, and rising trends.
+
+    One running query: windows, cooldown, the join to cells and the trends are chained stateful operators by event
+    time, and each hands a watermark on, so an alert meets all cells that ended before it.  The events have a watermark already.
+    State of a key goes ``keep_s`` after its last row by event time; the cells that an alert can need ended within its own window.
+    """
+    rows = clean if tie in clean.columns else clean.withColumn(tie, F.xxhash64("md5sum", "uploaded_at"))
+    high = A.sustained_high(rows, window, slide, tie=tie)
+    cool = high.groupBy("sensor_id").transformWithState(CooldownByTime(high.columns, cooldown_s), high.schema, "Append", "EventTime", eventTimeColumnName="window_end")
+    cells_now = C.cell_windows(clean, precision, cell)
+    of_alert = [f for f in ALERT.fields if f.name not in ("hot_region", "trend")]
+    placed = cool.withColumn("geohash", X.geohash(F.col("latitude"), F.col("longitude"), precision))
+    a = placed.select(F.coalesce("geohash", F.lit("")).alias("key"), F.col("window_end").alias("at"), F.lit(None).cast(HOT_REGION).alias("cell"), *(f.name for f in of_alert))
+    c = cells_now.select(F.col("geohash").alias("key"), F.col("window_end").alias("at"), F.struct(*(f.name for f in HOT_REGION.fields)).cast(HOT_REGION).alias("cell"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in of_alert))
+    joined = StructType([*of_alert, StructField("hot_region", HOT_REGION)])
+    regional = a.union(c).groupBy("key").transformWithState(RegionByTime([f.name for f in of_alert], keep_s), joined, "Append", "EventTime", eventTimeColumnName="window_end")
+    steps = cells_now.withColumn("triggered_at", X.iso(F.col("window_end")))
+    rising = steps.groupBy("geohash").transformWithState(TrendByTime(keep_s=keep_s), ALERT, "Append", "EventTime", eventTimeColumnName="window_end")
+    names = [f.name for f in ALERT.fields]
+    return regional.withColumn("trend", F.lit(None).cast(TREND)).select(names).union(rising.select(names))
+
+
 def write_archive(cell_stream: DataFrame, path: str, checkpoint: str):
     """Start the job cells -> archive: every batch is written to a folder named by its id."""
     return cell_stream.writeStream.foreachBatch(lambda batch, k: append_batch(archive_rows(batch), path, k)).option("checkpointLocation", checkpoint)

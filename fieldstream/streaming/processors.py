@@ -137,6 +137,116 @@ class NewestCell(StatefulProcessor):
         pass
 
 
+class Timed(StatefulProcessor):
+    """State by event time: a key is forgotten once the watermark is ``keep_ms`` past its newest row.  One timer for each key."""
+
+    keep_ms: int
+
+    def renew(self, newest_ms: int) -> None:
+        """Forget the key ``keep_ms`` after this time instead of the time set before."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(newest_ms + self.keep_ms)
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def millis(t) -> int:
+    return round(t.timestamp() * 1000)
+
+
+class CooldownByTime(Timed):
+    """Alerts of a sensor whose window ends at least ``seconds`` after the last one that was let through; a forgotten sensor's next alert is far enough."""
+
+    def __init__(self, columns: list[str], seconds: int = 600):
+        self.columns, self.seconds, self.keep_ms = columns, seconds, max(10 * seconds, 3600) * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ended long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.last.get()
+        last = held[0] if held else None
+        for r in sorted(rows, key=lambda r: r["window_end"]):
+            ended = millis(r["window_end"])
+            if last is None or ended - last >= self.seconds * 1000:
+                last = ended
+                yield Row(**{c: r[c] for c in self.columns})
+        if last is not None:
+            self.last.update((last,))
+            self.renew(last)
+
+    def forget(self) -> None:
+        self.last.clear()
+
+
+class RegionByTime(Timed):
+    """Joins alerts to the newest cell of their geohash.  Rows have ``cell`` (a struct, null for an alert), ``at`` and the fields of an alert; out go the fields and hot_region."""
+
+    def __init__(self, columns: list[str], keep_s: int = 3600):
+        self.columns, self.keep_ms = columns, keep_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cell = handle.getValueState("cell", "at long, cpm_avg double, cpm_max double, count long, worst_classification string, centroid_latitude double, centroid_longitude double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.cell.get()
+        at, cell = (held[0], tuple(held[1:])) if held else (None, None)
+        fresh = False
+        for r in sorted(rows, key=lambda r: (r["at"], r["cell"] is None)):
+            if r["cell"] is not None:
+                at, cell, fresh = millis(r["at"]), tuple(r["cell"]), True
+            else:
+                yield Row(**{c: r[c] for c in self.columns}, hot_region=cell)
+        if fresh:
+            self.cell.update((at, *cell))
+            self.renew(at)
+
+    def forget(self) -> None:
+        self.cell.clear()
+
+
+class TrendByTime(Timed):
+    """As ``RisingTrend``, with the fields of an alert."""
+
+    def __init__(self, windows: int = 3, least: float = 5.0, keep_s: int = 3600):
+        self.windows, self.least, self.keep_ms = max(2, windows), least, keep_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.series = handle.getValueState("series", "means array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.series.get()
+        means = list(held[0]) if held else []
+        rows = sorted(rows, key=lambda r: r["window_start"])
+        for r in rows:
+            if r["cpm_avg"] is None:
+                continue
+            means = [*means, r["cpm_avg"]][-self.windows :]
+            if len(means) == self.windows and all(a < b for a, b in zip(means, means[1:], strict=False)) and means[-1] - means[0] >= self.least:
+                yield Row(
+                    sensor_id=key[0], reason="rising-trend", window_start=r["window_start"], window_end=r["window_end"], cpm=r["cpm_max"], breach_count=self.windows, classification=None,
+                    latitude=r["centroid_latitude"], longitude=r["centroid_longitude"], triggered_at=r["triggered_at"], geohash=key[0], hot_region=None, trend=(self.windows, means, round4(means[-1] - means[0])),
+                )
+                means = []
+        self.series.update((means,))
+        self.renew(millis(rows[-1]["window_end"]))
+
+    def forget(self) -> None:
+        self.series.clear()
+
+
 class Mobility(StatefulProcessor):
     """Adds sensor_type: mobile from the reading on whose box of positions so far spans over ``least_m`` metres, else fixed.  A box never shrinks, so it has no end."""
 

@@ -1,6 +1,7 @@
 import json
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +189,42 @@ def test_cooldown_is_greedy(spark):
     assert sorted(r.x for r in A.cooldown(df).collect()) == [0, 600, 1300, 1900]
 
 
+def walk(positions, gap):
+    out = []
+    for x in sorted(set(positions)):
+        if not out or x - out[-1] >= gap:
+            out.append(x)
+    return out
+
+
+def test_spacing_over_slices(spark):
+    """Keys of several densities and lengths, below and above zero, against the plain walk; rows without key or position go."""
+    rng = random.Random(1)
+    for gap in (0, 1, 3, 60):
+        rows = [(None, 1), ("z", None)]
+        for k in range(8):
+            n = rng.choice([1, 3, 50, 1500])
+            span, start = rng.choice([n, 5 * n, 300 * n]), rng.choice([0, -2 * n, 10**9])
+            rows += [(f"k{k}", start + rng.randrange(span + 1)) for _ in range(n)]
+        got, want = {}, {}
+        for r in A.spaced(spark.createDataFrame(rows, "s string, x long"), "s", F.col("x"), gap).distinct().collect():
+            got.setdefault(r.s, []).append(r.x)
+        for k, x in rows:
+            if k is not None and x is not None:
+                want.setdefault(k, []).append(x)
+        assert {k: sorted(v) for k, v in got.items()} == {k: walk(v, gap) for k, v in want.items()}
+
+
+def test_spacing_of_a_million_positions(spark):
+    """One sensor with a million windows: cut into slices, not walked in one row."""
+    df = spark.range(1_000_000).select(F.lit("s").alias("sensor_id"), F.timestamp_seconds(F.col("id") * 60).alias("window_end"))
+    began = time.monotonic()
+    got = A.cooldown(df).agg(F.count("*").alias("n"), F.sum(F.unix_seconds("window_end")).alias("s")).first()
+    assert time.monotonic() - began < 60
+    want = walk(range(0, 60_000_000, 60), 600)
+    assert (got.n, got.s) == (len(want), sum(want))
+
+
 def test_region_of_an_alert(spark):
     cells = C.rolling(series(spark, [1.0, 2.0])).withColumn("geohash", F.lit("xn774")).withColumns({"count": F.lit(3).cast("long"), "worst_classification": F.lit("SAFE")})
     at = lambda s: F.timestamp_seconds(F.lit(1_780_000_000 + s))
@@ -268,6 +305,58 @@ def test_long_log_in_pieces(spark):
     assert "Join" not in "".join(line for line in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if ">=" in line)
 
 
+def fold(rows):
+    """Accepted (version, warn, danger) by the plain fold."""
+    w, d, out = 100.0, 1000.0, []
+    for v, uw, ud in rows:
+        new = uw if uw is not None else w, ud if ud is not None else d
+        sound = (uw is None or uw > 0) and (ud is None or ud > 0) and (uw is None or ud is None or uw < ud)
+        if sound and new[0] < new[1]:
+            (w, d), _ = new, out.append((v, *new))
+    return out
+
+
+def folded(spark, rows):
+    df = spark.createDataFrame([(v, None, w, d, None, None) for v, w, d in rows], LOG).repartition(3)
+    return [(r.version, r.warn, r.danger) for r in G.versions(df).orderBy("version").collect()]
+
+
+@pytest.mark.parametrize(("n", "whole", "most"), [(700, 0, 6), (2000, 0.002, 60), (1500, 0.05, 3000)])
+def test_fold_of_single_thresholds(spark, n, whole, most):
+    """Runs of updates with one threshold each over many slices: few values with many ties, and many values."""
+    rng = random.Random(n)
+    draw = lambda: float(rng.randint(-1, most))
+    kinds = rng.choices(["w", "d", "both"], [0.5, 0.5, whole], k=n)
+    rows = [(k, draw() if kind != "d" else None, draw() if kind != "w" else None) for k, kind in enumerate(kinds)]
+    assert folded(spark, rows) == fold(rows)
+
+
+def test_fold_of_a_long_run(spark):
+    rows = [(k, float(k * 7919 % 900 + 50) if k % 2 == 0 else None, float(k * 104_729 % 1900 + 20) if k % 2 else None) for k in range(100_000)]
+    began = time.monotonic()
+    assert folded(spark, rows) == fold(rows)
+    assert time.monotonic() - began < 90
+
+
+def test_as_of_spreads_a_hot_slice(spark):
+    """All events in one slice of time are dealt to lanes, and read once."""
+    v = spark.createDataFrame([(k, float(k), 5000.0) for k in range(1, 51)], "version long, warn double, danger double").select("version", F.timestamp_seconds(F.col("version") * 2).alias("effective_at"), "warn", "danger", F.lit(None).cast(LOG.split("area ")[1].split(", timespan")[0]).alias("area"), F.lit(None).cast("struct<start: timestamp, end: timestamp>").alias("timespan"))
+    e = spark.range(0, 40_000, 1, 4).select("id", F.timestamp_seconds(F.col("id") % 120).alias("captured_at"))
+    joined = G.as_of(e, v)
+    assert {r.id: r.config and r.config.version for r in joined.collect()} == {k: min(k % 120 // 2, 50) or None for k in range(40_000)}
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Range (0, 40000") == 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per = [r.n for r in G.as_of(e, v).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per) == 4 and max(per) < 20_000
+    far = v.union(v.limit(1).withColumn("effective_at", F.lit("2300-01-01").cast("timestamp")).withColumn("version", F.lit(99).cast("long")))
+    late = spark.createDataFrame([(1, "2299-12-31"), (2, "2300-01-01"), (3, "3000-01-01"), (4, "1900-01-01")], "id int, t string").withColumn("captured_at", F.col("t").cast("timestamp"))
+    assert {r.id: r.config and r.config.version for r in G.as_of(late, far).collect()} == {1: 50, 2: 99, 3: 99, 4: None}
+
+
 def test_views(spark):
     with pytest.raises(ValueError):
         V.View.of({"min_lat": 1})

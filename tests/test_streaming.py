@@ -191,6 +191,50 @@ def test_sustained_and_regional(spark, tmp_path):
     assert json.loads(r.hot_region)["cpm_avg"] == 20.0 and json.loads(r.alert)["sensor_id"] == "s1"
 
 
+def alert_rows(df):
+    return sorted(str(r.asDict(True)) for r in df.collect())
+
+
+def test_raw_to_alerts_in_one_query(spark, tmp_path):
+    """Raw messages to alerts of both kinds in the contract's form, with a restart after every two files: the rows of the batch operators, each once."""
+    rows = []
+    for k in range(240):  # two sensors near each other, one in another cell whose means rise, then fall
+        t = 10 * k
+        rows.append(message(f"a{k}", t, 1500 + k % 7 if k % 100 < 60 else 20, sensor="s1"))
+        if k % 2:
+            rows.append(message(f"b{k}", t + 1, 1200 + k if 40 < k < 90 else 30, sensor="s2", lat=35.69, lon=139.70))
+        rows.append(message(f"c{k}", t + 2, 10 + (k // 6 % 5) * 8, sensor="s3", lat=48.1, lon=11.5))
+    parts = [[*rows[:200], rows[7], "junk"], rows[200:350], [*rows[350:500], rows[360]], rows[500:], [message("z1", 3500, 5)], [message("z2", 3501, 5)]]
+    src, out, cp = put(tmp_path / "raw", parts), str(tmp_path / "out"), str(tmp_path / "cp")
+    files = sorted(os.listdir(src))
+    held = tmp_path / "held"
+    held.mkdir()
+    for f in files[2:]:
+        os.rename(f"{src}/{f}", held / f)
+
+    def go():
+        alerts = J.alert_stream(Q.with_class(J.clean_events(J.read_json_folder(spark, src))))
+        q = alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        assert q.awaitTermination(300), q.stop()
+
+    for later in (files[2:4], files[4:], []):
+        go()
+        for f in later:
+            os.rename(held / f, f"{src}/{f}")
+    go()
+    got = spark.read.parquet(out)
+    assert got.schema.simpleString() == J.ALERT.simpleString()
+
+    batch = Q.with_class(Q.first_of_repeats(Q.parse(spark.createDataFrame([(r,) for part in parts for r in part], "value string")), ["uploaded_at"])).withColumn("tie", F.xxhash64("md5sum", "uploaded_at"))
+    closed = lambda df: df.where("window_end <= timestamp '2026-06-19 01:57:50'")  # noqa: E731  the last watermark
+    cell_df = C.cell_windows(batch)
+    want = A.all_alerts(A.with_region(A.cooldown(A.sustained_high(batch, tie="tie")), cell_df), A.rising_trends(cell_df))
+    names = [f.name for f in J.ALERT.fields]
+    assert alert_rows(got) == alert_rows(closed(want).select(names))
+    kinds = {(r.reason, r.hot_region is not None, r.trend is not None) for r in got.collect()}
+    assert kinds == {("sustained-high", True, False), ("rising-trend", False, True)} and got.count() >= 6
+
+
 def test_clean_job_uses_the_current_configuration(spark, tmp_path):
     src = put(tmp_path / "raw", [[message(1, 1, 60), message(2, 2, 700)]])
     versions = spark.createDataFrame([(1, 50.0, 500.0, None, None)], "version long, warn double, danger double, area struct<min_lat: double, max_lat: double, min_lon: double, max_lon: double>, timespan struct<start: timestamp, end: timestamp>")
