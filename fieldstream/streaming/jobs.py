@@ -179,8 +179,8 @@ def alert_stream(clean: DataFrame, precision: int = 5, cell: str = "60 seconds",
     cells_now = C.cell_windows(clean, precision, cell)
     of_alert = [f for f in ALERT.fields if f.name not in ("hot_region", "trend")]
     placed = cool.withColumn("geohash", X.geohash(F.col("latitude"), F.col("longitude"), precision))
-    a = placed.select(F.coalesce("geohash", F.lit("")).alias("key"), F.col("window_end").alias("at"), F.lit(None).cast(HOT_REGION).alias("cell"), *(f.name for f in of_alert))
-    c = cells_now.select(F.col("geohash").alias("key"), F.col("window_end").alias("at"), F.struct(*(f.name for f in HOT_REGION.fields)).cast(HOT_REGION).alias("cell"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in of_alert))
+    a = placed.select(F.coalesce("geohash", F.lit("")).alias("key"), F.lit(None).cast(HOT_REGION).alias("cell"), *(f.name for f in of_alert))
+    c = cells_now.select(F.col("geohash").alias("key"), F.struct(*(f.name for f in HOT_REGION.fields)).cast(HOT_REGION).alias("cell"), *(F.col("window_end") if f.name == "window_end" else F.lit(None).cast(f.dataType).alias(f.name) for f in of_alert))
     joined = StructType([*of_alert, StructField("hot_region", HOT_REGION)])
     regional = a.union(c).groupBy("key").transformWithState(RegionByTime([f.name for f in of_alert], keep_s), joined, "Append", "EventTime", eventTimeColumnName="window_end")
     steps = cells_now.withColumn("triggered_at", X.iso(F.col("window_end")))

@@ -189,27 +189,30 @@ class CooldownByTime(Timed):
         self.last.clear()
 
 
+#: Fields of a cell that an alert carries.
+REGION = {"cpm_avg": "double", "cpm_max": "double", "count": "long", "worst_classification": "string", "centroid_latitude": "double", "centroid_longitude": "double"}
+
+
 class RegionByTime(Timed):
-    """Joins alerts to the newest cell of their geohash.  Rows have ``cell`` (a struct, null for an alert), ``at`` and the fields of an alert; out go the fields and hot_region."""
+    """Joins alerts to the newest cell of their geohash.  Rows have ``cell`` (a struct, null for an alert) and the fields of an alert; out go the fields and hot_region."""
 
     def __init__(self, columns: list[str], keep_s: int = 3600):
         self.columns, self.keep_ms = columns, keep_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cell = handle.getValueState("cell", "at long, cpm_avg double, cpm_max double, count long, worst_classification string, centroid_latitude double, centroid_longitude double")
+        self.cell = handle.getValueState("cell", ", ".join(f"{n} {kind}" for n, kind in REGION.items()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = self.cell.get()
-        at, cell = (held[0], tuple(held[1:])) if held else (None, None)
-        fresh = False
-        for r in sorted(rows, key=lambda r: (r["at"], r["cell"] is None)):
+        cell, at = dict(zip(REGION, held, strict=True)) if held else None, None
+        for r in sorted(rows, key=lambda r: (r["window_end"], r["cell"] is None)):
             if r["cell"] is not None:
-                at, cell, fresh = millis(r["at"]), tuple(r["cell"]), True
+                cell, at = r["cell"], millis(r["window_end"])
             else:
                 yield Row(**{c: r[c] for c in self.columns}, hot_region=cell)
-        if fresh:
-            self.cell.update((at, *cell))
+        if at is not None:
+            self.cell.update(tuple(cell[n] for n in REGION))
             self.renew(at)
 
     def forget(self) -> None:
@@ -237,7 +240,7 @@ class TrendByTime(Timed):
             if len(means) == self.windows and all(a < b for a, b in zip(means, means[1:], strict=False)) and means[-1] - means[0] >= self.least:
                 yield Row(
                     sensor_id=key[0], reason="rising-trend", window_start=r["window_start"], window_end=r["window_end"], cpm=r["cpm_max"], breach_count=self.windows, classification=None,
-                    latitude=r["centroid_latitude"], longitude=r["centroid_longitude"], triggered_at=r["triggered_at"], geohash=key[0], hot_region=None, trend=(self.windows, means, round4(means[-1] - means[0])),
+                    latitude=r["centroid_latitude"], longitude=r["centroid_longitude"], triggered_at=r["triggered_at"], geohash=key[0], hot_region=None, trend={"window_count": self.windows, "cpm_series": means, "delta": round4(means[-1] - means[0])},
                 )
                 means = []
         self.series.update((means,))
