@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldstream.sources.archive import in_days
+
 MOST_WINDOWS, MOST_HOTSPOTS, BINS, NEWEST = 5000, 100, 60, 5000
 
 
@@ -28,13 +30,13 @@ class Box:
 
 
 def within(archive: DataFrame, box: Box | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Rows with a centroid in the box (none: left out) and window_start in [start, end]."""
+    """Rows with a centroid in the box (none: left out) and window_start in [start, end]; folders by ``window_date`` are pruned."""
     if box:
         archive = archive.where(box.holds(F.col("centroid_latitude"), F.col("centroid_longitude")))
     for text, test in ((start, F.col("window_start").__ge__), (end, F.col("window_start").__le__)):
         if text:
             archive = archive.where(test(F.lit(text).cast("timestamp")))
-    return archive
+    return archive.where(in_days("window_date", start, end)) if "window_date" in archive.columns else archive
 
 
 def summary(archive: DataFrame) -> DataFrame:

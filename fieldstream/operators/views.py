@@ -73,10 +73,15 @@ class View:
         if kind not in FIELDS:
             return F.lit(True)
         (lat, lon), times = FIELDS[kind]
+        place = (F.col(lat), F.col(lon)) if lat in columns and lon in columns else None
+        return self.holds(place, [F.col(t) for t in times if t in columns])
+
+    def holds(self, place: tuple[Column, Column] | None, times: list[Column]) -> Column:
+        """Whether a place and the first of some times that can be read are in the view; what is missing is."""
         ok = F.lit(True)
-        if self.box and lat in columns and lon in columns:
-            ok = ok & F.coalesce(self.box.holds(F.col(lat), F.col(lon)), F.lit(True))
-        have = [X.timestamp(F.col(t).cast("string")) for t in times if t in columns]
+        if self.box and place:
+            ok = ok & F.coalesce(self.box.holds(*place), F.lit(True))
+        have = [X.timestamp(t.cast("string")) for t in times]
         if self.start and have:
             at = F.coalesce(*have)
             ok = ok & F.coalesce(at.between(F.lit(self.start).cast("timestamp"), F.lit(self.end).cast("timestamp")), F.lit(True))

@@ -8,9 +8,9 @@ Sources and sinks are streams of the same shape from Kafka or from files.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -24,8 +24,9 @@ from fieldstream.operators import config_log as G
 from fieldstream.operators import ingest as I
 from fieldstream.operators import views as V
 from fieldstream.schemas import ALERT, CELL, EVENT, HOT_REGION, LOG, TREND
-from fieldstream.sources.tables import append_batch, archive_rows, console_line, to_json
-from fieldstream.streaming.processors import Cooldown, CooldownByTime, FirstOfRepeats, Mobility, NewestCell, RegionByTime, RisingTrend, Rolling, TrendByTime
+from fieldstream.sources.archive import Archive
+from fieldstream.sources.tables import archive_rows, console_line, to_json
+from fieldstream.streaming.processors import Cooldown, CooldownByTime, FirstOfRepeats, Mobility, NewestCell, Pending, RegionByTime, RisingTrend, Rolling, TrendByTime
 
 LATE, EVERY, PAUSE, FLUSH = "30 seconds", "60 seconds", 3600, "1 second"
 #: What keyed state needs.  State with a wall-clock life asks for a batch without data again and again, so jobs that end
@@ -63,6 +64,26 @@ def write_clean(events: DataFrame, read_versions: Callable[[], DataFrame], path:
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
 
 
+def write_checked(messages: DataFrame, path: str, checkpoint: str):
+    """Start the job raw -> valid messages, quarantine and counts by reason, three folders below ``path``.
+
+    A batch is judged once.  What it gives has its id in every folder, so a replay overwrites each of them; quarantined
+    messages keep their text.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        judged = Q.decode(batch).withColumn("discard_reason", Q.discard_reason(F.col("event"), F.col("value"))).persist()
+        try:
+            judged.where("discard_reason is null").select("event.*").write.mode("overwrite").parquet(f"{path}/valid/batch_id={batch_id}")
+            judged.where("discard_reason is not null").drop("event").write.mode("overwrite").parquet(f"{path}/quarantine/batch_id={batch_id}")
+            reasons = judged.groupBy(F.coalesce("discard_reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("messages"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).cast("long").alias("bytes"))
+            reasons.coalesce(1).write.mode("overwrite").parquet(f"{path}/reasons/batch_id={batch_id}")
+        finally:
+            judged.unpersist()
+
+    return messages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+
+
 def write_config_log(messages: DataFrame, path: str, checkpoint: str):
     """Start the job configuration topic -> log.  Malformed and invalid messages are left out, so the last good one stays in force."""
 
@@ -95,6 +116,21 @@ def write_delivery(messages: DataFrame, path: str, checkpoint: str, every: str =
     return messages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(processingTime=every)
 
 
+def deliver(messages: DataFrame, views: Mapping[str, V.View], flush_s: float = 1.0, most_alerts: int = V.MOST_ALERTS, most_keys: int = V.MOST_KEYS) -> DataFrame:
+    """What each client gets of a stream of messages (type, key, order, data, and latitude, longitude and time to filter by), at most one flush in ``flush_s`` seconds.
+
+    ``views`` has one entry for each client.  Between flushes messages wait in the client's state: those with a key are replaced by newer ones of the type and key, alerts and
+    messages without a key queue.  Beyond ``most_alerts`` the oldest of the queue goes, beyond ``most_keys`` the key that changed longest ago.  A flush gives the queue, then
+    the newest of each key in the order of their last change; each row has the flush's number and the client's counts so far of messages replaced, dropped and filtered.
+    """
+    known = F.col("type").isin(*V.FIELDS)
+    seen = lambda view: ~known | view.holds((F.col("latitude"), F.col("longitude")), [F.col("time")])
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("client"), seen(view).alias("seen")) for name, view in views.items()))).alias("c")
+    rows = messages.select("type", "key", "order", "data", each).select("c.*", "type", "key", "order", "data")
+    schema = "client string, flush long, lane int, type string, key string, order long, data string, replaced long, dropped long, filtered long"
+    return rows.groupBy("client").transformWithState(Pending(flush_s, most_alerts, most_keys), schema, "Append", "ProcessingTime")
+
+
 def mobility(events: DataFrame, least_m: float = I.MOBILE_M, order: str = "uploaded_at") -> DataFrame:
     """A stream of events with sensor_type, by all positions of a sensor so far."""
     schema = StructType([*(f for f in events.schema.fields if f.name != "sensor_type"), StructField("sensor_type", StringType())])
@@ -190,8 +226,8 @@ def alert_stream(clean: DataFrame, precision: int = 5, cell: str = "60 seconds",
 
 
 def write_archive(cell_stream: DataFrame, path: str, checkpoint: str):
-    """Start the job cells -> archive: every batch is written to a folder named by its id."""
-    return cell_stream.writeStream.foreachBatch(lambda batch, k: append_batch(archive_rows(batch), path, k)).option("checkpointLocation", checkpoint)
+    """Start the job cells -> archive: every batch is written to folders named by its id."""
+    return cell_stream.writeStream.foreachBatch(lambda batch, k: Archive(batch.sparkSession, path).append(archive_rows(batch), k)).option("checkpointLocation", checkpoint)
 
 
 def write_topic(rows: DataFrame, options: dict[str, str], checkpoint: str, every: str = EVERY):

@@ -250,6 +250,83 @@ class TrendByTime(Timed):
         self.series.clear()
 
 
+class Pending(StatefulProcessor):
+    """What waits for one client between flushes: a queue, and the newest message of each key by recency.  It is flushed once the oldest message has waited long enough, by a batch or by a timer of the wall clock.
+
+    The queue and the keys are bounded by their caps, so the state of a client is.  Slots are numbered as messages come, so the least number changed longest ago.
+    """
+
+    def __init__(self, flush_s: float, most_alerts: int, most_keys: int):
+        self.flush_ms, self.most_alerts, self.most_keys = round(flush_s * 1000), most_alerts, most_keys
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.queue = handle.getMapState("queue", "slot long", "type string, key string, order long, data string")
+        self.newest = handle.getMapState("newest", "type string, key string", "slot long, order long, data string")
+        self.counts = handle.getValueState("counts", "slots long, flushes long, replaced long, dropped long, filtered long, since long")
+
+    def _known(self) -> list[int]:
+        return list(self.counts.get() or (0, 0, 0, 0, 0, 0))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        slots, flushes, replaced, dropped, filtered, since = self._known()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        queue, newest = {k[0]: tuple(v) for k, v in self.queue.iterator()}, {tuple(k): tuple(v) for k, v in self.newest.iterator()}
+        before, was = set(queue), dict(newest)
+        for r in sorted(rows, key=lambda r: r["order"]):
+            if not r["seen"]:
+                filtered += 1
+                continue
+            slots += 1
+            if r["type"] in ("clean", "aggregated") and r["key"] is not None:
+                name = (r["type"], r["key"])
+                if name in newest:
+                    replaced += 1
+                elif len(newest) >= self.most_keys:
+                    del newest[min(newest, key=lambda k: newest[k][0])]
+                    dropped += 1
+                newest[name] = (slots, r["order"], r["data"])
+            else:
+                queue[slots] = (r["type"], r["key"], r["order"], r["data"])
+                if len(queue) > self.most_alerts:
+                    del queue[min(queue)]
+                    dropped += 1
+        for slot in before - set(queue):
+            self.queue.removeKey((slot,))
+        for slot in set(queue) - before:
+            self.queue.updateValue((slot,), queue[slot])
+        for name in set(was) - set(newest):
+            self.newest.removeKey(name)
+        for name, value in newest.items():
+            if was.get(name) != value:
+                self.newest.updateValue(name, value)
+        if not since and (queue or newest):
+            since = now
+            self.handle.registerTimer(since + self.flush_ms)
+        self.counts.update((slots, flushes, replaced, dropped, filtered, since))
+        if since and now - since >= self.flush_ms:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            yield from self._flush(key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._flush(key)
+
+    def _flush(self, key) -> Iterator[Row]:
+        slots, flushes, *counts, _ = self._known()
+        queue = sorted((k[0], *v) for k, v in self.queue.iterator())
+        newest = sorted((v[0], *k, v[1], v[2]) for k, v in self.newest.iterator())
+        self.queue.clear()
+        self.newest.clear()
+        self.counts.update((slots, flushes + 1, *counts, 0))
+        for lane, part in enumerate((queue, newest)):
+            for _, kind, name, order, data in part:
+                yield Row(client=key[0], flush=flushes + 1, lane=lane, type=kind, key=name, order=order, data=data, replaced=counts[0], dropped=counts[1], filtered=counts[2])
+
+    def close(self) -> None:
+        pass
+
+
 class Mobility(StatefulProcessor):
     """Adds sensor_type: mobile from the reading on whose box of positions so far spans over ``least_m`` metres, else fixed.  A box never shrinks, so it has no end."""
 

@@ -10,6 +10,8 @@ from fieldstream.operators import cells as C
 from fieldstream.operators import clean as Q
 from fieldstream.operators import ingest as I
 from fieldstream.operators import insights as H
+from fieldstream.operators import views as V
+from fieldstream.sources.archive import Archive
 from fieldstream.streaming import jobs as J
 
 
@@ -137,6 +139,84 @@ def test_delivery(spark, tmp_path):
     assert [(r.lane, r.data) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("lane", "order").collect()] == [(0, "d3"), (0, "d6"), (1, "d4"), (1, "d5"), (1, "d7")]
 
 
+def view_messages(spark):
+    """(type, key, order, data, latitude, longitude, time) in three batches."""
+    row = lambda kind, key, n, lat=1.0: (kind, key, n, f"d{n}", lat, 1.0, "2026-06-19T01:00:00Z")
+    first = [row("clean", "s1", 1), row("clean", "s2", 2), row("alert", "s1", 3), row("aggregated", "g1", 4), row("clean", "s1", 5), row("alert", "s2", 6, 50.0)]
+    second = [row("clean", "s3", 7), row("alert", "s3", 8), row("alert", "s4", 9), row("other", "x", 10), row("clean", "s2", 11), row("clean", "s4", 12, 50.0)]
+    return [first, second, [row("clean", "s9", 13)]], "type string, key string, order long, data string, latitude double, longitude double, time string"
+
+
+def test_delivery_with_pending_state(spark, tmp_path):
+    """Two batches wait for one flush: keys are replaced, alerts queue, caps of 3 drop the oldest, each client has its view."""
+    batches, schema = view_messages(spark)
+    src, out, cp = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")
+    views = {"all": V.View(), "south": V.View(H.Box(0.0, 10.0, 0.0, 10.0)), "later": V.View(start="2026-06-19T02:00:00Z", end="2026-06-20")}
+
+    def go(rows, flush_s):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = J.deliver(spark.readStream.schema(schema).parquet(src), views, flush_s, most_alerts=3, most_keys=3)
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
+        assert q.awaitTermination(120), q.stop()
+        return [r.asDict() for r in spark.read.schema(stream.schema).parquet(out).collect()]
+
+    assert go(batches[0], 3600.0) == [] and go(batches[1], 3600.0) == []
+    rows = go(batches[2], 0.001)  # what waited is due now
+    mine = lambda client, flush=1: sorted((r["lane"], r["order"]) for r in rows if (r["client"], r["flush"]) == (client, flush))
+    counts = lambda client, flush=1: {(r["replaced"], r["dropped"], r["filtered"]) for r in rows if (r["client"], r["flush"]) == (client, flush)}
+    # alerts 3 and 6 go from the queue, and s2, g1, s1, s3 from the keys, the ones that changed longest ago
+    assert mine("all") == [(0, 8), (0, 9), (0, 10), (1, 11), (1, 12), (1, 13)] and counts("all") == {(1, 6, 0)}
+    assert mine("south") == [(0, 8), (0, 9), (0, 10), (1, 7), (1, 11), (1, 13)] and counts("south") == {(1, 4, 2)}
+    assert mine("later") == [(0, 10)] and counts("later") == {(0, 0, 12)}  # a type without known fields passes every view
+    # a flushed message does not come again
+    last = [("clean", "s1", 20, "d20", 1.0, 1.0, None), ("clean", "s1", 21, "d21", 1.0, 1.0, "never")]
+    go(last, 1.0)
+    time.sleep(1.5)
+    rows = go([("other", None, 22, "d22", 1.0, 1.0, None)], 1.0)
+    assert mine("all", 2) == [(0, 22), (1, 21)] and mine("later", 2) == [(0, 22), (1, 21)] and {r["flush"] for r in rows} == {1, 2}
+
+
+def test_quarantine_survives_a_replay(spark, tmp_path):
+    """Poison records end in quarantine once each, with their reason, though the last batch runs twice."""
+    poison = ["garbage", "null", "[1]", message(90, 1, -5), message(91, 1, 5).replace('"s1"', '""'), message(92, 1, 5).replace("2026-06-19T01:00:01Z", "12:30"), message(93, 1, "x")]
+    src, out, cp = put(tmp_path / "raw", [[message(1, 1, 5), *poison[:3]], [message(2, 2, None), *poison[3:]]]), str(tmp_path / "out"), str(tmp_path / "cp")
+
+    def go():
+        q = J.write_checked(J.read_json_folder(spark, src), out, cp).trigger(availableNow=True).start()
+        assert q.awaitTermination(120), q.stop()
+        bad = sorted((r.value, r.discard_reason) for r in spark.read.parquet(f"{out}/quarantine").collect())
+        return bad, sorted(r.md5sum for r in spark.read.parquet(f"{out}/valid").collect()), {(r.reason, r.batch_id): r.messages for r in spark.read.parquet(f"{out}/reasons").collect()}
+
+    first = go()
+    reasons = ["not an object"] * 3 + ["cpm out of range", "missing field", "schema violation", "cpm not numeric"]
+    # checksums of the test messages aren't hexadecimal, so no message is valid but for its md5sum
+    assert first[0] == sorted([*zip(poison, reasons, strict=True), *((message(k, k, c), "schema violation") for k, c in ((1, 5), (2, None)))]) and first[1] == []
+    assert sum(first[2].values()) == 9 and first[2]["not an object", 0] == 3
+    os.remove(f"{cp}/commits/1")
+    for crc in (tmp_path / "cp" / "commits").glob(".1.crc"):
+        crc.unlink()
+    assert go() == first
+
+
+def test_cells_reach_the_archive(spark, tmp_path):
+    """The job cells -> archive, with a replay of its last batch; its rows are those of the batch operators."""
+    df = cell_rows(spark, MEANS)
+    src, cp, path = str(tmp_path / "cells"), str(tmp_path / "cp"), str(tmp_path / "archive")
+    for part in (df.where("k < 7"), df.where("k >= 7")) if "k" in df.columns else (df.orderBy("window_start").limit(7), df.orderBy("window_start").offset(7)):
+        part.coalesce(1).write.mode("append").parquet(src)
+        q = J.write_archive(J.scored(spark.readStream.schema(df.schema).parquet(src)), path, cp).trigger(availableNow=True).start()
+        assert q.awaitTermination(120), q.stop()
+    os.remove(f"{cp}/commits/1")
+    for crc in (tmp_path / "cp" / "commits").glob(".1.crc"):
+        crc.unlink()
+    q = J.write_archive(J.scored(spark.readStream.schema(df.schema).parquet(src)), path, cp).trigger(availableNow=True).start()
+    assert q.awaitTermination(120), q.stop()
+    pick = lambda d: sorted((r.window_start, r["count"], r.cpm_zscore or -1, r.anomaly) for r in d.collect())
+    archive = Archive(spark, path)
+    assert pick(archive.read()) == pick(C.rolling(df)) and archive.batches() == [0, 1]
+    assert pick(archive.anomalies()) == [r for r in pick(C.rolling(df)) if r[3]] != []
+
+
 def cell_rows(spark, means):
     rows = [(k, m) for k, m in enumerate(means)]
     df = spark.createDataFrame(rows, "k long, cpm_avg double").withColumn("window_start", F.timestamp_seconds(F.lit(1_780_000_000) + 60 * F.col("k"))).withColumn("window_end", F.timestamp_seconds(F.lit(1_780_000_060) + 60 * F.col("k")))
