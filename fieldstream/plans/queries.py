@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldstream import catalog
 from fieldstream.functions import expr as X
 from fieldstream.operators import alerts as A
 from fieldstream.operators import cells as C
@@ -22,6 +23,7 @@ from fieldstream.operators import ingest as I
 from fieldstream.operators import insights as H
 from fieldstream.operators import views as V
 from fieldstream.sources import tables as S
+from fieldstream.sources.archive import Archive
 from fieldstream.sources.readings import READINGS_SQL, readings
 
 PRECISION, COOLDOWN_S = 2, 3 * 86_400
@@ -248,6 +250,42 @@ def insight_hotspots(spark, sf_dir):
     return top.select("geohash", *(X.round_to(F.col(c), 4).alias(c) for c in ("latitude", "longitude", "cpm_avg", "share")), "peak_cpm", "count", "windows", "anomaly_windows")
 
 
+def stored_archive(spark, sf_dir) -> Archive:
+    """An archive in the shared folder that got two batches, after which one day was compacted."""
+    stored = Archive(spark, f"{S.scratch_dir(spark)}/archive-{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(stored.path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    batches = archive(spark, sf_dir)
+    for k in (0, 1):
+        stored.append(batches.where(F.col("batch_id") == k).drop("batch_id"), k)
+    stored.compact(["2024-01-12"])
+    return stored
+
+
+def archive_timeseries(spark, sf_dir):
+    """As insight_timeseries, from the folders of the span in a stored archive."""
+    rows = H.within(stored_archive(spark, sf_dir).read(VIEW.start, VIEW.end), VIEW.box, VIEW.start, VIEW.end)
+    return flat(H.trend_points(H.timeseries(rows)).withColumn("cpm_avg", X.round_to(F.col("cpm_avg"), 4)))
+
+
+def archive_anomalies(spark, sf_dir):
+    """The anomalies of a stored archive, from its side table."""
+    return flat(stored_archive(spark, sf_dir).anomalies(VIEW.start, VIEW.end).select("geohash", "window_start", "count", "cpm_avg", "cpm_zscore"))
+
+
+def sql_hotspots(spark, sf_dir):
+    """Hotspots by SQL alone, in a box and a span."""
+    catalog.register(spark, archive=S.latest_rows(archive(spark, sf_dir)))
+    top = spark.sql(f"select * from insight_hotspots(-40, 50, -120, 120, timestamp '{VIEW.start}', timestamp '{VIEW.end}', 20)")
+    return top.select("geohash", *(X.round_to(F.col(c), 4).alias(c) for c in ("latitude", "longitude", "cpm_avg")), "peak_cpm", "count", "windows", "anomaly_windows")
+
+
+def sql_alert_levels(spark, sf_dir):
+    """Alerts of both kinds by reason and level, by SQL over the registered views."""
+    catalog.register(spark, events=accepted(spark, sf_dir), precision=PRECISION, window="1 day", spans=("5 days", "1 day"))
+    return spark.sql("select reason, classify(cpm) as level, severity(classify(cpm)) as rank, count(*) as alerts, max(cpm) as peak from sustained group by all union all select reason, classify(cpm), severity(classify(cpm)), count(*), max(cpm) from trends group by all")
+
+
 def density_histogram(spark, sf_dir):
     return H.density(accepted(spark, sf_dir))
 
@@ -356,6 +394,7 @@ COOL_SQL = f"""
   select c.sensor_id, (select min(h.window_end) from high h where h.sensor_id = c.sensor_id and epoch(h.window_end) - epoch(c.window_end) >= {COOLDOWN_S}) from recursive_cool c where c.window_end is not null),
 cool as (select h.* from high h join recursive_cool c on h.sensor_id = c.sensor_id and h.window_end = c.window_end)
 """
+COOL_600_SQL = COOL_SQL.replace(str(COOLDOWN_S), str(A.COOLDOWN_S))
 TREND_SQL = """
 , series as (select *, row_number() over o as row_n, lag(cpm_avg, 2) over o as a, lag(cpm_avg, 1) over o as b from cells where cpm_avg is not null window o as (partition by geohash order by window_start)),
 rising as (select * from series where a < b and b < cpm_avg and cpm_avg - a >= 5.0),
@@ -448,6 +487,10 @@ SQL = {
     "insight_summary": sql(ACCEPTED_SQL, CELLS_SQL, ARCHIVE_SQL, f"select count(*) as windows, count(distinct geohash) as cells, count(*) filter (anomaly) as anomalies, {text_sql('min(window_start)')} as first_window, {text_sql('max(window_start)')} as last_window, max(cpm_max) as peak_cpm from archive"),
     "insight_timeseries": sql(ACCEPTED_SQL, CELLS_SQL, ARCHIVE_SQL, f"select {text_sql('window_start')} as window_start, sum(count)::bigint as count, {round_sql(WEIGHTED)} as cpm_avg, max(cpm_max) as cpm_max, coalesce(sum(class_counts_DANGER), 0)::bigint as danger_count, count(*) filter (anomaly) as anomaly_cells, count(*) filter (anomaly) > 0 as flagged from archive where {IN_VIEW} group by archive.window_start order by archive.window_start desc limit 5000"),
     "insight_hotspots": sql(ACCEPTED_SQL, CELLS_SQL, ARCHIVE_SQL, f", spots as (select geohash, {round_sql('sum(centroid_latitude::decimal(18,6))::double / count(*)')} as latitude, {round_sql('sum(centroid_longitude::decimal(18,6))::double / count(*)')} as longitude, {round_sql(WEIGHTED)} as cpm_avg, max(cpm_max) as peak_cpm, sum(count)::bigint as count, count(*) as windows, count(*) filter (anomaly) as anomaly_windows from archive group by geohash order by peak_cpm desc nulls last, geohash limit 10)", f"select *, {round_sql('greatest(0.03, peak_cpm / greatest(1.0, max(peak_cpm) over ()))')} as share from spots"),
+    "archive_timeseries": sql(ACCEPTED_SQL, CELLS_SQL, ARCHIVE_SQL, f"select {text_sql('window_start')} as window_start, sum(count)::bigint as count, {round_sql(WEIGHTED)} as cpm_avg, max(cpm_max) as cpm_max, coalesce(sum(class_counts_DANGER), 0)::bigint as danger_count, count(*) filter (anomaly) as anomaly_cells, count(*) filter (anomaly) > 0 as flagged from archive where {IN_VIEW} group by archive.window_start order by archive.window_start desc limit 5000"),
+    "archive_anomalies": sql(ACCEPTED_SQL, CELLS_SQL, ARCHIVE_SQL, f"select geohash, {text_sql('window_start')} as window_start, count, cpm_avg, cpm_zscore from archive where anomaly and window_start between timestamp '2024-01-05' and timestamp '2024-01-20 12:00:00'"),
+    "sql_hotspots": sql(ACCEPTED_SQL, CELLS_SQL, ARCHIVE_SQL, f"select geohash, {round_sql('sum(centroid_latitude::decimal(18,6))::double / count(*)')} as latitude, {round_sql('sum(centroid_longitude::decimal(18,6))::double / count(*)')} as longitude, {round_sql(WEIGHTED)} as cpm_avg, max(cpm_max) as peak_cpm, sum(count)::bigint as count, count(*) as windows, count(*) filter (anomaly) as anomaly_windows from archive where {IN_VIEW} group by geohash order by peak_cpm desc nulls last, geohash limit 20"),
+    "sql_alert_levels": sql(ACCEPTED_SQL, CELLS_SQL, HIGH_SQL, COOL_600_SQL, TREND_SQL, f", levels as (select 'sustained-high' as reason, cpm from cool union all select 'rising-trend', cpm_max from trend)", f"select reason, level, case level when 'SAFE' then 1 when 'WARN' then 2 when 'DANGER' then 3 end::int as rank, count(*) as alerts, max(cpm) as peak from (select reason, cpm, {class_sql('cpm')} as level from levels) group by reason, level", recursive=True),
     "density_histogram": sql(ACCEPTED_SQL, ", newest as (select epoch_ms(captured_at) as t from accepted order by seq desc, captured_at desc limit 5000), ends as (select min(t) as lo, max(t) as hi from newest), bins as (select least((t - lo) * 60 // greatest(hi - lo, 1), 59)::int as bin, count(*) as n from newest, ends group by 1)", "select r.bin, coalesce(n, 0)::bigint as count from (select unnest(range(60))::int as bin) r left join bins using (bin)"),
     "latest_per_sensor": sql(f"select sensor_id, seq, {text_sql('uploaded_at')} as uploaded_at, cpm from (select *, row_number() over (partition by sensor_id order by seq desc, uploaded_at desc) as rn from readings) where rn = 1"),
     "recent_page": sql(ACCEPTED_SQL, ", held as (select * from (select * from accepted order by seq desc limit 500) where seq < (select max(seq) - 20 from accepted)), shown as (select * from held order by seq desc limit 25)", "select seq, sensor_id, cpm, (select count(*) from held) > 25 as has_more, (select min(seq) from shown) as next_cursor from shown"),

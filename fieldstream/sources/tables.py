@@ -126,6 +126,13 @@ def keyed(events: DataFrame) -> DataFrame:
     return events.select(F.col("sensor_id").alias("key"), event_json(events).alias("value"))
 
 
+def observed_delivery(checked: DataFrame, name: str) -> DataFrame:
+    """Valid events out of rows with ``discard_reason`` (see ``Q.discard_reason``), with metrics of what is sent and what is discarded."""
+    bad = F.col("discard_reason").isNotNull()
+    counted = checked.observe(name, F.count_if(~bad).alias("rows"), F.count_if(bad).alias("discarded"))
+    return counted.where(~bad).drop("discard_reason")
+
+
 def console_line() -> Column:
     """One line about a clean event, with four digits of its position."""
     return F.format_string("%s %s cpm=%s %s (%.4f, %.4f)", F.col("captured_at").cast("string"), "sensor_id", F.col("cpm").cast("string"), "classification", "latitude", "longitude")

@@ -8,7 +8,9 @@ Sources and sinks are streams of the same shape from Kafka or from files.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
@@ -34,6 +36,43 @@ LATE, EVERY, PAUSE, FLUSH = "30 seconds", "60 seconds", 3600, "1 second"
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.multipleWatermarkPolicy": "min"}
 
 
+@dataclass(frozen=True)
+class Running:
+    """How jobs run: seconds between batches (each is a checkpoint), the folder that keeps checkpoints, and whether state is written as changes or whole.
+
+    A batch that takes longer than the interval is followed at once; Spark has no pause and no timeout of a checkpoint apart from those of its tasks.
+    """
+
+    folder: str
+    interval_s: float = 60.0
+    changelog: bool = True
+    kept_batches: int = 100
+
+    @classmethod
+    def of(cls, env: Mapping[str, str]) -> Running:
+        """From CHECKPOINT_DIR, CHECKPOINT_INTERVAL_MS, CHECKPOINT_CHANGELOG and CHECKPOINT_KEPT; blank ones count as unset."""
+        said = {k: v.strip() for k, v in env.items() if v.strip()}
+        if "CHECKPOINT_DIR" not in said:
+            raise ValueError("CHECKPOINT_DIR must name a folder that all executors share")
+        interval, kept_batches = int(said.get("CHECKPOINT_INTERVAL_MS", 60_000)), int(said.get("CHECKPOINT_KEPT", 100))
+        if interval <= 0 or kept_batches <= 0:
+            raise ValueError("interval and kept batches must be positive")
+        return cls(said["CHECKPOINT_DIR"].rstrip("/"), interval / 1000, said.get("CHECKPOINT_CHANGELOG", "true").lower() in ("1", "true", "yes"), kept_batches)
+
+    def apply(self, spark: SparkSession) -> None:
+        changes = {"spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": str(self.changelog).lower(), "spark.sql.streaming.minBatchesToRetain": str(self.kept_batches)}
+        for k, v in (SETTINGS | changes).items():
+            spark.conf.set(k, v)
+
+    def place(self, job: str) -> str:
+        return f"{self.folder}/{job}"
+
+    def start(self, writer, job: str, once: bool = False):
+        """Start a job under its name, on its own checkpoint; ``once`` ends it with its input."""
+        every = {"availableNow": True} if once else {"processingTime": f"{self.interval_s} seconds"}
+        return writer.queryName(job).option("checkpointLocation", self.place(job)).trigger(**every).start()
+
+
 def clean_events(messages: DataFrame, late: str = LATE) -> DataFrame:
     """Parsed, plausible, first of its repeats within the watermark; on a stream or a table of JSON ``value``."""
     events = Q.plausible(Q.with_value(Q.parse(messages))).withColumn("dedup_key", X.dedup_key(F.col("md5sum"), F.col("captured_at")))
@@ -142,7 +181,7 @@ class Counters(StreamingQueryListener):
 
     def __init__(self):
         self.totals: dict[str, int] = {"late": 0, "errors": 0}
-        self.last_event = None
+        self.last_event, self.began = None, time.time()
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -163,6 +202,23 @@ class Counters(StreamingQueryListener):
         self.totals["errors"] += event.exception is not None
 
 
+    def save(self, spark: SparkSession, path: str, run: str) -> None:
+        """Write what this run has counted so far; a later call for the same run takes its place."""
+        row = {"run": run, "seconds": time.time() - self.began, "last_event": None if self.last_event is None else str(self.last_event)}
+        for sent, seen in (("sent", "rows"), ("discarded", "discarded"), ("malformed", "malformed"), ("errors", "errors"), ("late", "late"), ("bytes", "bytes")):
+            row[sent] = int(self.totals.get(seen, 0))
+        kinds = {"run": "string", "seconds": "double", "last_event": "string"}
+        schema = ", ".join(f"{k} {kinds.get(k, 'long')}" for k in row)
+        spark.createDataFrame([tuple(row.values())], schema).drop("run").coalesce(1).write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def run_totals(spark: SparkSession, path: str) -> DataFrame:
+    """One row over all runs that ``Counters.save`` wrote: sums, the newest event, and events a second."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/run=*")
+    sums = [F.sum(c).alias(c) for c in ("sent", "discarded", "malformed", "errors", "late", "bytes", "seconds")]
+    return rows.agg(F.count("*").alias("runs"), *sums, F.max("last_event").alias("last_event")).withColumn("per_second", F.when(F.col("seconds") > 0, F.col("sent") / F.col("seconds")).otherwise(0.0))
+
+
 def timed(clean: DataFrame, late: str | None) -> DataFrame:
     """With a watermark; a stream that has one already (``late`` None) keeps it."""
     return clean.withWatermark("captured_at", late) if late else clean

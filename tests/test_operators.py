@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from fieldstream import catalog
 from fieldstream.functions import expr as X
 from fieldstream.operators import alerts as A
 from fieldstream.operators import cells as C
@@ -401,6 +402,35 @@ def test_insights_of_an_empty_archive(spark):
     assert len(got) == 60 and got[0] == 4
 
 
+def test_insights_by_sql_alone(spark):
+    """The views and functions of the catalogue give what the operators give."""
+    rows = [(g, d, 10 * k + d, 5.0 * k + d, k == 1, lat) for k, (g, lat) in enumerate((("a", 1.0), ("b", 5.0), ("c", None))) for d in range(1, 6)]
+    archive = spark.createDataFrame(rows, "geohash string, d int, count long, cpm_avg double, anomaly boolean, centroid_latitude double").select(
+        "geohash", F.make_timestamp(F.lit(2024), F.lit(1), "d", F.lit(0), F.lit(0), F.lit(0)).alias("window_start"), F.lit(None).cast("timestamp").alias("window_end"), "count", "cpm_avg", F.col("cpm_avg").alias("cpm_max"), F.col("cpm_avg").alias("cpm_min"),
+        *(F.lit(1).cast("long").alias(f"{c}_count") for c in ("safe", "warn", "danger")), F.lit("SAFE").alias("worst_classification"), "centroid_latitude", F.lit(1.0).alias("centroid_longitude"), F.lit(1.0).alias("rolling_cpm_avg"), F.lit(1.0).alias("cpm_zscore"), "anomaly",
+    )
+    names = catalog.register(spark, archive=archive)
+    assert {"archive", "classify", "insight_hotspots"} <= set(names)
+    ask = lambda text: sorted(map(tuple, spark.sql(text).collect()), key=str)
+    spans = (None, None, None, None), (0.0, 4.0, 0.0, 2.0)
+    for box in spans:
+        for start, end in ((None, None), ("2024-01-02", "2024-01-04")):
+            args = ", ".join("null" if x is None else str(x) for x in box) + ", " + ", ".join("null" if t is None else f"timestamp '{t}'" for t in (start, end))
+            part = H.within(archive, H.Box(*box) if box[0] is not None else None, start, end)
+            whole = lambda df: sorted(map(tuple, df.collect()), key=str)
+            assert ask(f"select * from insight_summary({args})") == whole(H.summary(part))
+            assert ask(f"select * from insight_timeseries({args})") == whole(H.trend_points(H.timeseries(part)))
+            assert ask(f"select * from insight_hotspots({args}, 2)") == whole(H.hotspots(part, 2).drop("share"))
+            assert ask(f"select geohash, window_start from archive_within({args})") == whole(part.select("geohash", "window_start"))
+    levels = ask("select classify(x), classify(x, 1, 2), severity(classify(x)), plausible(x) from values (cast(null as double)), (5), (500), (5000), (-1), (double('nan')) v(x)")
+    d = lambda x: F.lit(x).cast("double")
+    want = [one(spark, X.classify(d(x)), X.classify(d(x), 1.0, 2.0), X.severity(X.classify(d(x))), X.plausible(d(x))) for x in (None, 5.0, 500.0, 5000.0, -1.0, float("nan"))]
+    assert levels == sorted(want, key=str)
+    assert abs(ask("select distance_m(0, 0, 0, 1)")[0][0] - 6_371_000 * math.pi / 180) < 1e-6
+    plan = spark.sql("select * from archive_within(null, null, null, null, timestamp '2024-01-02', null)")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan
+
+
 def test_csv_and_archive(spark, tmp_path):
     (tmp_path / "in.csv").write_text("Captured Time, Device ID ,Latitude,Loader ID,junk,Uploaded Time\nt1,d1,1.0,,x,b\nt2,d2,,7,x,\nt3,d3,2,8,x,a\n")
     rows = S.read_csv(spark, str(tmp_path / "in.csv"))

@@ -11,6 +11,7 @@ from fieldstream.operators import clean as Q
 from fieldstream.operators import ingest as I
 from fieldstream.operators import insights as H
 from fieldstream.operators import views as V
+from fieldstream.sources import tables as S
 from fieldstream.sources.archive import Archive
 from fieldstream.streaming import jobs as J
 
@@ -108,6 +109,59 @@ def test_counters(spark, tmp_path):
     assert counters.totals["late"] >= 1 and counters.totals["errors"] == 0 and counters.last_event is not None
 
 
+def test_counters_over_restarts(spark, tmp_path):
+    """Sent, discarded, malformed and bytes of two runs, kept as a table; a run that saves twice counts once."""
+    src, cp, kept = put(tmp_path / "raw", [[message(1, 1, 5), "garbage", message(2, 2, -1)]]), str(tmp_path / "cp"), str(tmp_path / "counts")
+    ok = lambda text: text.replace(': "m', ': "' + "a" * 31)  # noqa: E731  a checksum of 32 digits
+
+    def go(run_id):
+        counters = J.Counters()
+        spark.streams.addListener(counters)
+        try:
+            judged = Q.decode(H.observed_messages(J.read_json_folder(spark, src), f"in{run_id}")).withColumn("discard_reason", Q.discard_reason(F.col("event"), F.col("value")))
+            sent = S.keyed(S.observed_delivery(judged, f"out{run_id}").select("event.*"))
+            q = sent.writeStream.format("parquet").option("path", str(tmp_path / "sent")).option("checkpointLocation", cp).trigger(availableNow=True).start()
+            assert q.awaitTermination(120), q.stop()
+            deadline = time.time() + 20
+            while not counters.totals.get("consumed") and time.time() < deadline:
+                time.sleep(0.2)
+        finally:
+            spark.streams.removeListener(counters)
+        for _ in range(2):
+            counters.save(spark, kept, run_id)
+
+    go("a")
+    (tmp_path / "raw" / "1.txt").write_text("\n".join([ok(message(3, 3, 7)), ok(message(4, 4, 8)), "[1]"]) + "\n")
+    go("b")
+    r = J.run_totals(spark, kept).first()
+    assert (r.runs, r.sent, r.discarded, r.malformed, r.errors, r.late) == (2, 2, 4, 2, 0, 0) and r.bytes > 500 and 0 < r.per_second < 100
+    assert spark.read.parquet(str(tmp_path / "sent")).count() == 2
+
+
+def test_settings_and_state_on_disk(spark, tmp_path):
+    """Settings of a job, and its state read back from the checkpoint."""
+    folder = str(tmp_path / "checkpoints")
+    run_as = J.Running.of({"CHECKPOINT_DIR": folder + "/", "CHECKPOINT_INTERVAL_MS": "5000", "CHECKPOINT_CHANGELOG": " ", "CHECKPOINT_KEPT": "7"})
+    assert run_as == J.Running(folder, 5.0, True, 7)
+    for bad in ({}, {"CHECKPOINT_DIR": " "}, {"CHECKPOINT_DIR": "x", "CHECKPOINT_INTERVAL_MS": "0"}):
+        with pytest.raises(ValueError):
+            J.Running.of(bad)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "spark.sql.streaming.minBatchesToRetain")}
+    run_as.apply(spark)
+    try:
+        df = cell_rows(spark, MEANS[:5])
+        df.coalesce(1).write.parquet(str(tmp_path / "cells"))
+        writer = J.scored(spark.readStream.schema(df.schema).parquet(str(tmp_path / "cells"))).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        q = run_as.start(writer, "scored", once=True)
+        assert q.awaitTermination(120), q.stop()
+        assert q.name == "scored" and any(name.endswith(".changelog") for _, _, names in os.walk(run_as.place("scored")) for name in names)
+        state = spark.read.format("statestore").option("stateVarName", "last").load(run_as.place("scored")).collect()
+        assert [(r.key[0], list(r.value.means if "means" in r.value else r.value.value.means)) for r in state] == [("xn774", [10.0, 12.0, 11.0, 40.0])]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_configuration_topic_reaches_the_running_job(spark, tmp_path):
     """Malformed and invalid messages leave the last good configuration in force; a later good one takes over."""
     whole = lambda warn, danger, **more: json.dumps({"cpm_warn_threshold": warn, "cpm_danger_threshold": danger, **more})
