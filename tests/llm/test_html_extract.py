@@ -1,7 +1,9 @@
 import random
 import time
 
-from fieldstream.llm.html_extract import Page, extract, votes
+import pytest
+
+from fieldstream.llm.html_extract import Page, extract, host_paths, votes
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{margin:0}}</style><script>var t="</p><article>no</article>";</script></head>
 <body class="no-sidebar"><header><h1>Site</h1></header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- <p>hidden</p> --><div class="ad">Buy now</div>
@@ -115,3 +117,72 @@ def test_made_pages(spark):
     rows = [(k, f"https://h{k % 2}.example/{k}", source) for k, (source, _) in enumerate(made)]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: want for k, (_, want) in enumerate(made)}
+
+
+def mixed(k, share):
+    """A page of a host with two layouts: one has its article in div.content, the other in div.story, below an intro in div.content."""
+    text = " ".join(f"word{k} and {j} more of the article" for j in range(40))
+    side = "<div class='panel'><p>" + "the same panel on every page of this host " * 3 + "</p></div>"
+    if k % 100 < 100 * share:
+        return f"<body><div class='content'><p>{'An intro of the site stands here. ' * 4}</p></div><div class='story'><p>{text}</p></div>{side}</body>", text
+    return f"<body><div class='content'><p>{text}</p></div>{side}</body>", text
+
+
+@pytest.mark.parametrize("share", [0.05, 0.2, 0.5])
+def test_mixed_layouts_keep_their_articles(spark, share):
+    made = [mixed(k, share) for k in range(100)]
+    rows = [(k, "http://mixed.example", source) for k, (source, _) in enumerate(made)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: text for k, (_, text) in enumerate(made)}
+
+
+def test_one_page_of_its_own_layout(spark):
+    """No other page speaks for its path; it has more than eleven times the text at the winning one."""
+    rows = [(k, "http://mixed.example", mixed(k, 0)[0]) for k in range(1, 30)]
+    odd, text = mixed(0, 1)
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame([*rows, (0, "http://mixed.example", odd.replace("stands here. " * 1, "here "))], "page_id long, url string, html string")).collect()}
+    assert got[0] == text
+
+
+READ = "<p>" + "A reader says much about this. " * 12 + "</p>"
+
+
+def test_comments_of_readers_go():
+    article = "<h1>Title</h1>" + "<p>Sentence of the story, one of several. </p>" * 20
+    want = "Title " + " ".join(["Sentence of the story, one of several."] * 20)
+    for block in (f'<div class="comments-open">{READ}</div>', f'<ol class="responses"><li>{READ}</li></ol>', f'<section id="discussion">{READ}</section>', f'<div class="has-comments"><div>{READ}</div></div>', f'<div id="replies-enabled">{READ}</div>'):
+        for page in (f"<body><article>{article}{block}</article></body>", f"<body><div class='content'>{article}{block}</div></body>", f"<body><div class='content'>{article}</div>{block}</body>"):
+            assert Page(page).extract(None) == want, page[-200:]
+    for around in ('<div class="page comments-open">', '<div class="discussion">', '<body class="has-comments">', '<div class="post no-sidebar">'):
+        assert Page(f"<body>{around}{article}</div></body>").extract(None) == want
+
+
+def slow_twin(pages):
+    """Votes, winners, layouts and choice by plain dictionaries over all pages."""
+    hosts = {}
+    for host, source in pages:
+        for place, (path, share) in enumerate(votes(source)):
+            row = hosts.setdefault(host, {}).setdefault(path, [0, 0, 0])
+            row[0], row[1], row[2] = row[0] + share, row[1] + (place == 0), row[2] + 1
+    chosen = {}
+    for host, found in hosts.items():
+        most = max(v[0] for v in found.values())
+        wins = [p for p in sorted(found, key=lambda p: (-round(100 * found[p][0]), p))[:3] if 2 * found[p][0] >= most]
+        chosen[host] = wins, [p for p, v in found.items() if p not in wins and v[1] >= 3 and 2 * v[1] >= v[2]]
+    out = []
+    for host, source in pages:
+        page, (wins, layouts) = Page(source), chosen.get(host, ([], []))
+        best = page.best()
+        own, known = page.text(best), page.paths[best] in wins + layouts
+        fits = [t for w in wins if (t := page.at_path(w)) and len(t) >= (0.5 if known else 0.09) * len(own)]
+        out.append(fits[0] if fits else page.at_path(page.paths[best]) if known else own)
+    return out
+
+
+def test_equals_the_slow_twin(spark):
+    rng = random.Random(8)
+    pages = [(f"h{rng.randrange(4)}.example", rng.choice([lambda k: mixed(k, 0.3)[0], lambda k: made_page(rng, k)[0], lambda k: page(rng.choice(["article", 'div class="story s1"', "section"]), "div", " word" * rng.randrange(60))])(k)) for k in range(200)]
+    df = spark.createDataFrame([(k, f"http://{h}/{k}", s) for k, (h, s) in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    for limit in (1 << 20, -1):
+        assert [r.text for r in sorted(extract(df, limit).collect(), key=lambda r: r.page_id)] == slow_twin(pages)
+    assert any(r.layouts for r in host_paths(df).collect())
