@@ -146,7 +146,7 @@ def signed_tokens(run: str) -> Iterator[tuple[int, int]]:
 
 
 def unframed(text: str) -> Iterator[tuple[int, int, bytes | None]]:
-    """(start, end, bytes) of base64 texts wrapped in lines of one length, the last one shorter perhaps."""
+    """(start, end, bytes) of base64 texts wrapped in lines of one length, the last one shorter perhaps; such a line may be the word that follows, so the text is given without it too."""
     for m in WRAPPED.finditer(text):
         lines, at, width, own = m[0].splitlines(keepends=True), m.start(), None, []
         for line in lines:
@@ -157,8 +157,9 @@ def unframed(text: str) -> Iterator[tuple[int, int, bytes | None]]:
             if len(body) != width:
                 break
             at += len(line)
-        if len(own) > 1:
-            yield own[0][0], own[-1][1], unbase64("".join(b for _, _, b in own))
+        for part in (own, own[:-1]) if len(own) > 1 and len(own[-1][2]) < width else (own,):
+            if len(part) > 1:
+                yield part[0][0], part[-1][1], unbase64("".join(b for _, _, b in part))
 
 
 def confirmed(data: bytes | None) -> str | None:
@@ -170,6 +171,48 @@ def confirmed(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else None
 
 
+def framed_key(m: re.Match) -> bool:
+    """Whether a PEM frame holds a key: bytes that parse, or an encrypted body of whole blocks."""
+    data, locked = unbase64(LINE_END.sub("", m[3])), LOCKED.search(m[2])
+    return bool(confirmed(data) or (locked and data and len(data) % (len(locked[1]) // 2) == 0))
+
+
+def holds_pem(data: bytes | None) -> bool:
+    """Whether decoded bytes are a text with a PEM frame around a key, as a file that was encoded once more."""
+    if not data or b"-----BEGIN " not in data or not data.isascii():
+        return False
+    return any(map(framed_key, PEM.finditer(data.decode("ascii"))))
+
+
+def may_end(run: str, start: int) -> bool:
+    """Whether the lengths that a run has from ``start`` lead to its end: those of an outer ASN.1 sequence, or of up to 16 SSH fields.  Looks at a few bytes only."""
+
+    def peek(at: int, n: int) -> bytes:
+        part = run[start + at // 3 * 4 : start + -(-(at + n) // 3) * 4]
+        return (unbase64(part) or b"")[at % 3 : at % 3 + n]
+
+    total = (len(run) - start - (run.endswith("=") + run.endswith("=="))) * 3 // 4
+    head = peek(0, 6)
+    if head[:1] == b"\x30" and len(head) == 6:
+        n = head[1] & 127 if head[1] & 128 else 0
+        return n <= 4 and 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1]) == total
+    at = 0
+    for _ in range(16):
+        at += 4 + int.from_bytes(peek(at, 4), "big")
+        if at >= total:
+            return at == total
+    return False
+
+
+def after_slashes(run: str) -> Iterator[int]:
+    """Places behind a slash from which a run may hold a key, as at the end of a path."""
+    at = run.find("/") + 1
+    while at and len(run) - at >= LEAST_BLOB:
+        if (run.startswith("M", at) or run.startswith("AAAA", at)) and may_end(run, at):
+            yield at
+        at = run.find("/", at) + 1
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(start, kind, end) of the base spans, and of the confirmed ones; code points, end exclusive."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= LEAST_ASSIGN]
@@ -185,19 +228,24 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     framed = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data, locked = unbase64(LINE_END.sub("", m[3])), LOCKED.search(m[2])
-            if confirmed(data) or (locked and data and len(data) % (len(locked[1]) // 2) == 0):
+            if framed_key(m):
                 framed.append(m.span())
                 more.append((m.start(), 3, m.end()))
     for m in DOTTED.finditer(text):
         more += [(m.start() + s, 4, m.start() + e) for s, e in signed_tokens(m[0])]
     blobs = list(BLOB.finditer(text))
     for m in blobs:
-        if kind := confirmed(unbase64(m[0])):
+        data = unbase64(m[0])
+        if kind := confirmed(data) or ("pem" if holds_pem(data) else None):
             more.append((m.start(), KINDS.index(kind), m.end()))
+        elif "/" in m[0]:
+            for at in after_slashes(m[0]):
+                if kind := confirmed(unbase64(m[0][at:])):
+                    more.append((m.start() + at, KINDS.index(kind), m.end()))
+                    break
     if blobs:
         for s, e, data in unframed(text):
-            if (kind := confirmed(data)) and not any(a < e and s < b for a, b in framed):
+            if (kind := confirmed(data) or ("pem" if holds_pem(data) else None)) and not any(a < e and s < b for a, b in framed):
                 more.append((s, KINDS.index(kind), e))
     return sorted(base), sorted(set(more))
 

@@ -1,6 +1,8 @@
 import base64
 import json
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,6 +83,41 @@ def test_more_candidates():
         scan(odd)
 
 
+def test_keys_in_paths_and_encoded_twice():
+    b64 = lambda x: base64.b64encode(x).decode()
+    for blob, kind in ((KEY, "der"), (SSH, "ssh")):
+        for before in ("https://x/", "/a/b_c-d/", "https://host.example/path/to/", "//"):
+            text = f"see {before}{b64(blob)} end"
+            at = text.index(b64(blob))
+            assert scan(text)[1] == [(at, KINDS.index(kind), at + len(b64(blob)))], before
+        assert scan(f"see x/{b64(blob[:-1])} end")[1] == []
+    whole = pem("RSA PRIVATE KEY", KEY)
+    assert kinds("secret " + b64(whole.encode()))[1] == ["pem"]
+    assert kinds("data:\n" + base64.encodebytes(whole.encode()).decode())[1] == ["pem"]
+    assert kinds("secret " + b64(pem("RSA PRIVATE KEY", bytes(range(200))).encode()))[1] == [] == kinds("x " + b64(b"-----BEGIN of a plain text that is long enough"))[1]
+    began = time.perf_counter()
+    for odd in ("/MIIB" * 60_000, "/AAAAB3NzaC1yc2E" * 20_000, "AAAA/" * 60_000, "/" * 300_000, "/LS0tLS1CRUdJTi" * 20_000):
+        scan(odd)
+    assert time.perf_counter() - began < 20
+
+
+def test_recall_of_planted_keys():
+    """300 keys in ten forms among as many decoys of the same forms: every key is reported, and no decoy."""
+    rng, b64 = random.Random(4), lambda x: base64.b64encode(x).decode()
+    forms = [
+        ("der", b64), ("der", lambda k: base64.urlsafe_b64encode(k).decode().rstrip("=")), ("der", lambda k: k.hex()), ("der", lambda k: k.hex().upper()), ("der", lambda k: "\n" + base64.encodebytes(k).decode()), ("pem", lambda k: pem("PRIVATE KEY", k)),
+        ("pem", lambda k: pem("RSA PRIVATE KEY", k, "\\n")), ("pem", lambda k: b64(pem("PRIVATE KEY", k).encode())), ("der", lambda k: "https://keys.example/v1/" + b64(k)), ("der", lambda k: "key=" + b64(k)),
+    ]
+    found = wrong = 0
+    for _ in range(30):
+        key = der(0x30, der(2, b"\0") + b"".join(der(2, bytes([rng.randrange(1, 127)]) + rng.randbytes(rng.randrange(40, 70))) for _ in range(8)))
+        noise = bytes([0x31]) + rng.randbytes(len(key) - 1)
+        for kind, form in forms:
+            found += kind in kinds(f"Some words, {form(key)} and more words.")[1]
+            wrong += bool(kinds(f"Some words, {form(noise)} and more words.")[1])
+    assert (found, wrong) == (300, 0)
+
+
 PLAIN = (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+"))
 
 
