@@ -330,7 +330,7 @@ def alert_rows(df):
 
 
 def test_raw_to_alerts_in_one_query(spark, tmp_path):
-    """Raw messages to alerts of both kinds in the contract's form, with a restart after every two files: the rows of the batch operators, each once."""
+    """Raw messages to alerts of both kinds in the contract's form, with a restart in the middle: the rows of the batch operators, each once."""
     rows = []
     for k in range(240):  # two sensors near each other, one in another cell whose means rise, then fall
         t = 10 * k
@@ -338,12 +338,12 @@ def test_raw_to_alerts_in_one_query(spark, tmp_path):
         if k % 2:
             rows.append(message(f"b{k}", t + 1, 1200 + k if 40 < k < 90 else 30, sensor="s2", lat=35.69, lon=139.70))
         rows.append(message(f"c{k}", t + 2, 10 + (k // 6 % 5) * 8, sensor="s3", lat=48.1, lon=11.5))
-    parts = [[*rows[:200], rows[7], "junk"], rows[200:350], [*rows[350:500], rows[360]], rows[500:], [message("z1", 3500, 5)], [message("z2", 3501, 5)]]
+    parts = [[*rows[:300], rows[7], "junk"], [*rows[300:], rows[360]], [message("z1", 3500, 5)], [message("z2", 3501, 5)]]
     src, out, cp = put(tmp_path / "raw", parts), str(tmp_path / "out"), str(tmp_path / "cp")
     files = sorted(os.listdir(src))
     held = tmp_path / "held"
     held.mkdir()
-    for f in files[2:]:
+    for f in files[1:]:
         os.rename(f"{src}/{f}", held / f)
 
     def go():
@@ -351,10 +351,9 @@ def test_raw_to_alerts_in_one_query(spark, tmp_path):
         q = alerts.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).trigger(availableNow=True).start()
         assert q.awaitTermination(300), q.stop()
 
-    for later in (files[2:4], files[4:], []):
-        go()
-        for f in later:
-            os.rename(held / f, f"{src}/{f}")
+    go()
+    for f in files[1:]:
+        os.rename(held / f, f"{src}/{f}")
     go()
     got = spark.read.parquet(out)
     assert got.schema.simpleString() == J.ALERT.simpleString()
@@ -369,6 +368,14 @@ def test_raw_to_alerts_in_one_query(spark, tmp_path):
     assert kinds == {("sustained-high", True, False), ("rising-trend", False, True)} and got.count() >= 6
 
 
+def test_console_line_and_envelope(spark):
+    clean = spark.createDataFrame([("s1", "2026-06-19 01:00:05", 12.5, "SAFE", 35.68951, 139.0)], "sensor_id string, captured_at string, cpm double, classification string, latitude double, longitude double")
+    assert clean.select(S.console_line().alias("l")).first().l == "2026-06-19 01:00:05 s1 cpm=12.5 SAFE (35.6895, 139.0000)"
+    rows = [("radiation.clean", '{"a":1}'), ("radiation.alerts", "junk"), ("other", "{}")]
+    q = S.envelope(H.observed_messages(spark.createDataFrame(rows, "topic string, value string"), "seen"))
+    assert [(r.type, r.data) for r in q.collect()] == [("clean", '{"a":1}')]
+
+
 def test_clean_job_uses_the_current_configuration(spark, tmp_path):
     src = put(tmp_path / "raw", [[message(1, 1, 60), message(2, 2, 700)]])
     versions = spark.createDataFrame([(1, 50.0, 500.0, None, None)], "version long, warn double, danger double, area struct<min_lat: double, max_lat: double, min_lon: double, max_lon: double>, timespan struct<start: timestamp, end: timestamp>")
