@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldstream.llm.shared import keep
+from fieldstream.llm.shared import forget, keep
 
 
 def _toward_least(pairs: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     ``edges`` has two long columns in any order; self loops, repeated edges and
     rows with a null are ignored.  An id without an edge is absent from the
     result.  Every round halves the depth at least, and its edges are written to
-    the shared folder; only two counts per round reach the driver.
+    the shared folder in place of the last one's; only two counts per round reach the driver.
     """
     a, b = edges.columns[:2]
     now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -33,5 +33,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.union(now.select("v", "u").toDF("u", "v"))
         large = _toward_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).distinct()
         down = _toward_least(large)
-        now = keep(down.where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(down.select("u", F.col("least"))).distinct(), "edges")
+        past, now = now, keep(down.where("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).union(down.select("u", F.col("least"))).distinct(), "edges")
+        forget(past)  # the next round is written, so a long session doesn't fill the folder
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")

@@ -42,7 +42,16 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.kept_at = path
+    return held
+
+
+def forget(held: DataFrame) -> None:
+    """Delete the files of a table that ``keep`` made, once nothing that is still to run reads it."""
+    spark = held.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(held.kept_at)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def texts_of(df: DataFrame, *more: str) -> DataFrame:

@@ -288,7 +288,7 @@ def fingerprints(docs: DataFrame, words: int = 3, radius: int = 2, tile: int = T
 def _dealt(marks: DataFrame, vertices: DataFrame, similarity: float) -> DataFrame:
     """own, vid, size, fp and keys of the vertices that have any: the first shingles of each, rare ones first, which other rows have too."""
     each = marks.select("own", F.explode("hashes").alias("key"))
-    known = each.groupBy("key").count().where("count > 1")
+    known = keep(each.groupBy("key").count().where("count > 1"), "known")  # a table, so that the join can be split at a shingle that a third of all rows have
     shared = each.join(known, "key").groupBy("own").agg(F.sort_array(F.collect_list(F.struct("count", "key"))).alias("shared"))
     reach = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1
     # those that nobody else has come first in the order and take up places
