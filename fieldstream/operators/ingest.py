@@ -27,15 +27,16 @@ def map_rows(rows: DataFrame) -> DataFrame:
     have = set(rows.columns)
     text = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     unit = X.checked_unit(text("unit"))
-    value = F.when(unit.isNotNull(), X.number(text("value")))
-    captured = X.normal_time(text("captured_at"))
-    lat, lon = X.number(text("latitude")), X.number(text("longitude"))
-    sensor = X.sensor_of(text("sensor_id"), text("device_id"))
-    reason = F.when(sensor.isNull(), "no sensor").when(captured.isNull(), "no time").when(~X.valid_position(lat, lon), "no position")
-    return rows.select(
-        sensor.alias("sensor_id"), captured.alias("captured_at"), F.coalesce(X.normal_time(text("uploaded_at")), captured).alias("uploaded_at"), lat.alias("latitude"), lon.alias("longitude"),
-        F.when(F.isnan(value), None).otherwise(value).alias("cpm"), unit.alias("unit"), X.blank_to_null(text("location_name")).alias("location_name"), X.blank_to_null(text("surface")).alias("surface"),
-        X.blank_to_null(text("measurement_import_id")).alias("loader_id"), X.number(text("height")).alias("height"), F.coalesce(X.blank_to_null(text("md5sum")), row_md5(rows.columns)).alias("md5sum"), reason.alias("reject_reason"),
+    # each text is parsed once: what is used more often has a column of its own first
+    parsed = rows.select(
+        X.sensor_of(text("sensor_id"), text("device_id")).alias("sensor_id"), X.normal_time(text("captured_at")).alias("captured_at"), X.normal_time(text("uploaded_at")).alias("uploaded_at"),
+        X.number(text("latitude")).alias("latitude"), X.number(text("longitude")).alias("longitude"), F.when(unit.isNotNull(), X.number(text("value"))).alias("cpm"), unit.alias("unit"),
+        X.blank_to_null(text("location_name")).alias("location_name"), X.blank_to_null(text("surface")).alias("surface"), X.blank_to_null(text("measurement_import_id")).alias("loader_id"), X.number(text("height")).alias("height"),
+        F.coalesce(X.blank_to_null(text("md5sum")), row_md5(rows.columns)).alias("md5sum"),
+    )
+    reason = F.when(F.col("sensor_id").isNull(), "no sensor").when(F.col("captured_at").isNull(), "no time").when(~X.valid_position(F.col("latitude"), F.col("longitude")), "no position")
+    return parsed.select(
+        "sensor_id", "captured_at", F.coalesce("uploaded_at", "captured_at").alias("uploaded_at"), "latitude", "longitude", F.when(~F.isnan("cpm"), F.col("cpm")).alias("cpm"), "unit", "location_name", "surface", "loader_id", "height", "md5sum", reason.alias("reject_reason"),
     )
 
 
