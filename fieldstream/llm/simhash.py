@@ -235,34 +235,90 @@ def _forest(radius: int, lanes: int, similarity: float | None = None):
     return run
 
 
-def _edges(rows: DataFrame, radius: int, lanes: int, tile: int, similarity: float | None = None) -> DataFrame:
-    """Edges (u, v) between the vids of ``rows`` that share a key and lie within the radius.
+def _tiles(rows: DataFrame, tile: int, similarity: float | None = None) -> DataFrame:
+    """The tiles of ``rows``, a table: key, tile, rows, and the least and greatest vid and size (or pop) of each.
 
     Columns: key, fp binary and vid; pop, or with ``similarity`` size, by which tiles are in order; perhaps
-    hashes, the sets whose exact similarity decides, and own, which tells rows of one vid apart.
+    hashes, the sets whose exact similarity decides; own, which tells rows of one vid apart; and lead, by which tiles are in order
+    before that: a tile is pure if all its rows are of the vid that leads its key.
     """
     by = "pop" if similarity is None else "size"
     carried = [c for c in ("fp", "vid", "size", "hashes") if c in rows.columns]
-    room = F.lit(1) if "hashes" not in rows.columns else 1 + F.floor(F.col("size") / 256)
-    order = Window.partitionBy("key").orderBy(by)
+    first = [c for c in ("lead",) if c in rows.columns]
+    room = _room(rows)
+    order = Window.partitionBy("key").orderBy(*first, by)
     whole = Window.partitionBy("key")
-    counts = rows.groupBy("key", by).count().withColumn("room", F.col("count") * room)
-    counts = counts.select("key", by, "count", (F.sum("room").over(order) - F.col("room")).alias("before"), F.sum("count").over(whole).alias("all"))
-    placed = rows.join(counts.where("all > 1").drop("all"), ["key", by])
+    counts = rows.groupBy("key", *first, by).count().withColumn("room", F.col("count") * room)
+    counts = counts.select("key", *first, by, "count", (F.sum("room").over(order) - F.col("room")).alias("before"), F.sum("count").over(whole).alias("all"))
+    placed = rows.join(counts.where("all > 1").drop("all"), ["key", *first, by])
     at = F.floor((F.col("before") + F.pmod(F.xxhash64("own" if "own" in rows.columns else "vid"), F.col("count")) * room) / tile)
-    tiles = keep(placed.groupBy("key", at.alias("tile")).agg(F.collect_list(F.struct(*carried)).alias("rows"), *(f(c).alias(f"{n}_{c}") for c in (by, "vid") for n, f in (("low", F.min), ("high", F.max)))), "tiles")
+    ends = [f(c).alias(f"{n}_{c}") for c in (by, "vid") for n, f in (("low", F.min), ("high", F.max))]
+    return keep(placed.groupBy("key", at.alias("tile")).agg(F.collect_list(F.struct(*carried)).alias("rows"), *ends, *(F.min(c).alias("pure") for c in first)), "tiles")
+
+
+def _room(rows: DataFrame):
+    """How much of a tile a row takes: those with shingle sets take more."""
+    return F.lit(1) if "hashes" not in rows.columns else 1 + F.floor(F.col("size") / 256)
+
+
+def _compared(tiles: DataFrame, radius: int, lanes: int, similarity: float | None = None, neighbours: bool = False) -> DataFrame:
+    """Edges (u, v) between the vids of ``tiles`` that share a key and lie within the radius.
+
+    With ``neighbours``, a tile meets itself and the next one only.  Two pure tiles of a key needn't meet.
+    """
+    by = "pop" if similarity is None else "size"
     run = _forest(radius, lanes, similarity)
     found = tiles.where("low_vid < high_vid").select("rows").mapInArrow(run, "u long, v long")
-    ends = lambda x: tiles.select("key", F.col("tile").alias(f"t{x}"), *(F.col(f"{n}_{c}").alias(f"{n}_{c}_{x}") for c in (by, "vid") for n in ("low", "high")))
+    pure = ["pure"] if "pure" in tiles.columns else []
+    ends = lambda x: tiles.select("key", F.col("tile").alias(f"t{x}"), *(F.col(c).alias(f"{c}_{x}") for c in (*pure, *(f"{n}_{c}" for c in (by, "vid") for n in ("low", "high")))))
     within = f"low_{by}_b - high_{by}_a <= {radius} and low_{by}_a - high_{by}_b <= {radius}" if similarity is None else f"low_{by}_b * {similarity}D <= high_{by}_a and low_{by}_a * {similarity}D <= high_{by}_b"
     apart = "least(low_vid_a, low_vid_b) < greatest(high_vid_a, high_vid_b)"
-    pairs = ends("a").join(ends("b"), "key").where(f"ta < tb and {within} and {apart}").select("key", "ta", "tb")
+    one, two = ends("a"), ends("b")
+    if neighbours:
+        met = one.withColumn("tb", F.col("ta") + 1).join(two, ["key", "tb"])
+    elif pure:
+        met = one.where("not pure_a").join(two, "key").where("pure_b or ta < tb")
+    else:
+        met = one.join(two, "key").where("ta < tb")
+    pairs = met.where(f"{within} and {apart}").select("key", "ta", "tb")
     ra = tiles.select("key", F.col("tile").alias("ta"), F.col("rows").alias("a"))
     rb = tiles.select("key", F.col("tile").alias("tb"), F.col("rows").alias("b"))
     across = pairs.join(ra, ["key", "ta"]).join(rb, ["key", "tb"]).select("a", "b").mapInArrow(run, "u long, v long")
     return found.union(across)
 
 
+def _open(rows: DataFrame, tile: int) -> DataFrame:
+    """``rows`` of the keys that hold several vids, and lead: whether the vid is the commonest of a key that fills more than a tile."""
+    each = rows.groupBy("key", "vid").agg(F.count("*").alias("n"), F.sum(_room(rows)).alias("room"))
+    keys = each.groupBy("key").agg(F.min("vid").alias("low"), F.max("vid").alias("high"), F.sum("room").alias("room"), F.max(F.struct("n", "vid")).alias("most"))
+    several = keys.where("low < high").select("key", F.when(F.col("room") > tile, F.col("most.vid")).alias("leader"))
+    # a table, so that the join can be split at a key that a third of all rows have
+    return rows.join(keep(several, "open"), "key").withColumn("lead", F.coalesce(F.col("vid") == F.col("leader"), F.lit(False))).drop("leader")
+
+
+def _chained(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(id, root): the roots ``first``, themselves joined by the roots ``then`` (both tables)."""
+    then = then.select(F.col("id").alias("root"), F.col("root").alias("last"))
+    every = first.union(first.select("root", "root")).union(then.select("root", "root")).distinct()
+    return every.join(then, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+
+
+def _joined(rows: DataFrame, tile: int, similarity: float) -> DataFrame:
+    """(id, root): components of the vids of ``rows`` over links inside their keys.
+
+    Neighbouring tiles meet first, which joins a large group of near copies at a cost that is linear in its rows.  Of a key with more
+    tiles that still holds several components, the rows of the largest then meet all others, and the others one another, so no link is lost.
+    """
+    tiles = _tiles(rows, tile, similarity)
+    first = keep(components(_compared(tiles, RADIUS, LANES, similarity, neighbours=True)), "roots")
+    wide = tiles.groupBy("key").agg(F.max("tile").alias("tiles")).where("tiles > 1").select("key")
+    held = tiles.join(wide, "key", "left_semi").select("key", F.explode("rows").alias("row")).select("key", "row.*")
+    rooted = held.join(first.withColumnRenamed("id", "vid"), "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    rooted = keep(rooted.withColumnRenamed("vid", "own").withColumnRenamed("root", "vid"), "rooted")
+    rest = _open(rooted, tile)
+    return _chained(first, keep(components(_compared(_tiles(rest, tile, similarity), RADIUS, LANES, similarity)), "roots"))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, radius: int = 2, tile: int = TILE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over links of ``radius`` bits or fewer.
 
@@ -279,7 +335,7 @@ def fingerprints(docs: DataFrame, words: int = 3, radius: int = 2, tile: int = T
     key = F.array(*(F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) * blocks + k for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))))
     # the order of the bytes is of no account to exclusive-or and bit counts
     rows = vertices.select(F.explode(key).alias("key"), F.bit_count("fp").alias("pop"), F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("bits"), F.col("fp").alias("vid"))
-    roots = components(_edges(rows.withColumnRenamed("bits", "fp"), radius, 1, tile))
+    roots = components(_compared(_tiles(rows.withColumnRenamed("bits", "fp"), tile), radius, 1))
     rooted = vertices.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return marks.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -301,19 +357,17 @@ def _dealt(marks: DataFrame, vertices: DataFrame, similarity: float) -> DataFram
 def _candidates(marks: DataFrame, vertices: DataFrame, similarity: float, tile: int) -> DataFrame:
     """(id, root): components of vertices whose fingerprints are near.
 
-    A group of copies shares many keys.  So a few keys of each document come first, and then only the
-    keys that still hold more than one component, with components for vertices: no link is lost, and few pairs are compared twice.
+    A group of copies shares many keys.  So neighbouring tiles of a few keys of each document come first, and then only the
+    keys that still hold more than one component, with components for vertices: the rows of a key's largest one meet all others, not
+    one another.  No link is lost, few pairs are compared twice, and a large group costs what is linear in its rows.
     """
     dealt = keep(_dealt(marks, vertices, similarity), "dealt")
     few = dealt.select(F.explode(F.slice(F.sort_array("keys"), 1, FIRST_KEYS)).alias("key"), "size", "fp", "vid", "own")
-    first = keep(components(_edges(few, RADIUS, LANES, tile, similarity)), "roots")
+    first = keep(components(_compared(_tiles(few, tile, similarity), RADIUS, LANES, similarity, neighbours=True)), "roots")
     rooted = dealt.join(first.withColumnRenamed("id", "vid"), "vid", "left").select("own", "size", "fp", "keys", F.coalesce("root", "vid").alias("root"))
     rooted = keep(rooted, "rooted")
-    open_keys = rooted.select(F.explode("keys").alias("key"), "root").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    rest = rooted.select(F.explode("keys").alias("key"), "size", "fp", F.col("root").alias("vid"), "own").join(open_keys, "key", "left_semi")
-    then = keep(components(_edges(rest, RADIUS, LANES, tile, similarity)), "roots").select(F.col("id").alias("root"), F.col("root").alias("last"))
-    every = first.union(first.select("root", "root")).union(then.select("root", "root")).distinct()
-    return every.join(then, "root", "left").select("id", F.coalesce("last", "root").alias("root"))
+    rest = _open(rooted.select(F.explode("keys").alias("key"), "size", "fp", F.col("root").alias("vid"), "own"), tile)
+    return _chained(first, keep(components(_compared(_tiles(rest, tile, similarity), RADIUS, LANES, similarity)), "roots"))
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile: int = TILE) -> DataFrame:
@@ -336,7 +390,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, tile:
     sets = sets.groupBy("vid", "sig").agg(*(F.first(c).alias(c) for c in ("size", "fp", "hashes")))
     # a doc_id that repeats has sets of its own that other documents stand for
     named = vertices.join(maybe.withColumnRenamed("id", "vid"), "vid").select("vid", "sig", F.col("root").alias("key"))
-    roots = components(_edges(sets.join(named, ["vid", "sig"]).drop("sig"), RADIUS, LANES, tile, similarity))
+    roots = _joined(sets.join(named, ["vid", "sig"]).drop("sig"), tile, similarity)
     named = vertices.join(roots.withColumnRenamed("id", "vid"), "vid", "left").select("sig", F.coalesce("root", "vid").alias("root"))
     return marks.select("doc_id", "sig").join(named, "sig").select("doc_id", "root").where("doc_id is not null")
 

@@ -138,3 +138,49 @@ def test_near_groups_are_exact(spark):
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
     for tile in (simhash.TILE, 5):
         assert {r.doc_id: r.root for r in simhash.near_groups(df, tile=tile).collect()} == want
+
+
+def test_large_group_is_linear(spark):
+    """Of a group over many tiles, neighbours meet, and then only rows that are not of it; nothing is lost."""
+    rng = np.random.default_rng(8)
+    base, own = [f"w{x}" for x in rng.integers(0, 100_000, 300)], lambda n: [f"v{x}" for x in rng.integers(0, 100_000, n)]
+    rows = [(k, [*base[: 5 * int(rng.integers(60))], f"e{k}", *base]) for k in range(240)]
+    rows = [(d, w[-300:] if d % 2 else w[-300:-8]) for d, w in rows]
+    rows += [(1000 + k, [*base[:150], *own(150)]) for k in range(20)]
+    rows += [(2000 + k, [*w[:-2], f"z{k}", "z"]) for k, (_, w) in enumerate(rows[240:])]
+    sets = [{*zip(*(w[i:] for i in range(5)), strict=False)} for _, w in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                p, q = sorted((group[i], group[j]))
+                group = [p if g == q else g for g in group]
+    want = {d: rows[g][0] for (d, _), g in zip(rows, group, strict=True)}
+    assert len(set(want.values())) == 21
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    assert {r.doc_id: r.root for r in simhash.near_groups(df, tile=9).collect()} == want
+
+
+def test_joined_meets_every_pair(spark):
+    """Sets of one key over many tiles: a bridge from the large group to a row far from it in the order is found."""
+    rng = np.random.default_rng(6)
+    core = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    def row(vid, h):
+        h = np.unique(h)
+        return (1, bytes(32), vid, len(h), h.tobytes())
+    rows = [row(k, np.r_[core, rng.integers(0, 2**63, 1 + k % 12, dtype=np.uint64)]) for k in range(60)]
+    rows += [row(100, core[:82]), row(101, core[:67]), row(102, rng.integers(0, 2**63, 90, dtype=np.uint64)), row(103, rng.integers(0, 2**63, 107, dtype=np.uint64))]
+    df = spark.createDataFrame(rows, "key long, fp binary, vid long, size long, hashes binary")
+    for tile in (4, 1000):
+        got = {r.id: r.root for r in simhash._joined(df, tile, 0.8).collect()}
+        assert got == {k: 0 for k in [*range(60), 100, 101]}, tile
+
+
+def test_pure_tiles_do_not_meet(spark):
+    """Tiles of a key's largest component are in no pair with one another."""
+    rows = [(1, bytes(32), 5, 10, k) for k in range(400)] + [(1, bytes(32), 900 + k, 10, 900 + k) for k in range(6)] + [(2, bytes(32), 7, 10, 7000)]
+    df = spark.createDataFrame(rows, "key long, fp binary, vid long, size long, own long")
+    tiles = simhash._tiles(simhash._open(df, 8), 8, 0.8)
+    assert tiles.where("key != 1").count() == 0
+    assert tiles.where("pure").count() > 40 and tiles.where("not pure").count() <= 2
+    assert sum(r.n for r in tiles.selectExpr("size(rows) n").collect()) == 406
